@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.constants import PAGERANK_ALPHA, PAGERANK_ROUNDS, PAGERANK_TOLERANCE
-from wordloom.operators import paths
+from wordloom.operators import paths, tiles
+from wordloom.operators.tiles import TiledGraph
 from wordloom.session import checkpoint
 
 
@@ -29,9 +30,10 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 
 def closeness(edges: DataFrame) -> DataFrame:
     """Closeness over distances ``1 / weight``, scaled by the reachable part of the graph."""
-    inverse = edges.select("src", "dst", (F.lit(1.0) / F.col("weight")).alias("weight"))
-    graph = paths.PathGraph(inverse)
-    reach = paths.reach(paths.shortest_paths(graph))
+    graph = TiledGraph(edges.select("src", "dst", (F.lit(1.0) / F.col("weight")).alias("weight")))
+    if graph.size == 0:
+        return graph.no_scores()
+    reach = paths.reach(paths.shortest_distances(graph))
     others = F.lit(graph.size - 1.0)
     score = F.coalesce(F.try_divide("reached", "total") * F.try_divide("reached", others), F.lit(0.0))
     return graph.with_terms(reach.select("node", score.alias("score")))
@@ -39,8 +41,10 @@ def closeness(edges: DataFrame) -> DataFrame:
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """Share of shortest paths through a term, the weight itself being the distance."""
-    graph = paths.PathGraph(edges)
-    through = paths.dependencies(paths.shortest_paths(graph))
+    graph = TiledGraph(edges)
+    if graph.size == 0:
+        return graph.no_scores()
+    through = paths.dependencies(graph, paths.count_paths(graph, paths.shortest_distances(graph)))
     pairs = (graph.size - 1) * (graph.size - 2)
     score = F.col("through") / F.lit(float(pairs)) if pairs > 0 else F.lit(0.0)
     return graph.with_terms(through.select("node", score.alias("score")))
@@ -57,7 +61,7 @@ def pagerank(
     degrees = F.broadcast(directed.groupBy("src").agg(F.sum("weight").alias("degree")))
     moves = checkpoint(
         directed.join(degrees, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("share"))
-    )
+    ).persist()
     terms = checkpoint(moves.select(F.col("src").alias("term")).distinct())
     size = terms.count()
     if size == 0:
@@ -76,44 +80,40 @@ def pagerank(
         )
         ranks = moved.select("term", "score")
         if moved.agg(F.sum("change")).first()[0] < size * tolerance:
+            moves.unpersist()
             return ranks
     raise RuntimeError(f"PageRank did not converge in {max_rounds} rounds")
 
 
-# Products with the matrix between two checkpoints, and when and how late to stop.
-EIGEN_STEPS = 4
-EIGEN_TOLERANCE = 1e-11
-EIGEN_ROUNDS = 250
+# When to stop squaring, and the number of squarings that is taken for no convergence.
+EIGEN_TOLERANCE = 1e-12
+EIGEN_SQUARINGS = 40
 
 
 def eigenvector(edges: DataFrame) -> DataFrame:
     """Leading eigenvector of the weight matrix, of unit length and positive.
 
-    Power iteration on the matrix plus a multiple of the identity, which moves no
-    eigenvector but stops bipartite graphs from swinging. A graph in several parts gets
-    the limit of the iteration that starts from equal scores.
+    Power iteration by repeated squaring: ``k`` products stand for ``2 ** k`` steps. A
+    multiple of the identity is added first; it moves no eigenvector but stops bipartite
+    graphs from swinging. A graph in several parts gets the limit of the iteration that
+    starts from equal scores.
     """
-    directed = checkpoint(both_ways(edges).select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    terms = checkpoint(directed.select(F.col("src").alias("term")).distinct())
-    size = terms.count()
-    if size == 0:
-        return terms.select("term", F.lit(0.0).alias("score"))
-    shift = directed.agg(F.sum("weight")).first()[0] / size
-    scores = terms.select("term", F.lit(size**-0.5).alias("score"))
-    for _ in range(EIGEN_ROUNDS):
-        product = scores
-        for _ in range(EIGEN_STEPS):
-            own = product.select(F.col("term").alias("dst"), (F.col("score") * F.lit(shift)).alias("part"))
-            parts = directed.join(
-                F.broadcast(product.select(F.col("term").alias("src"), "score")), "src"
-            ).select("dst", (F.col("weight") * F.col("score")).alias("part"))
-            product = parts.unionByName(own).groupBy(F.col("dst").alias("term")).agg(F.sum("part").alias("score"))
-        # Weights and start are positive, so dividing by the largest entry is safe and
-        # keeps the numbers in range until they are brought to unit length.
-        product = checkpoint(product.join(F.broadcast(scores.withColumnRenamed("score", "old")), "term"))
-        length = product.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0]
-        scores = product.select("term", (F.col("score") / F.lit(length)).alias("score"))
-        moved = product.agg(F.max(F.abs(F.col("score") / F.lit(length) - F.col("old")))).first()[0]
+    graph = TiledGraph(edges)
+    if graph.size == 0:
+        return graph.no_scores()
+    shift = 2.0 * edges.agg(F.sum("weight")).first()[0] / graph.size
+    power = graph.tiles(absent=0.0, diagonal=shift)
+    parts = tiles.target_parts(graph)
+    scores = graph.numbered.select("node", F.lit(graph.size**-0.5).alias("score"))
+    for _ in range(EIGEN_SQUARINGS):
+        sums = checkpoint(
+            tiles.row_sums(power, "m", lambda tile: tile).join(F.broadcast(scores.withColumnRenamed("score", "old")), "node")
+        )
+        length, largest = sums.agg(F.sqrt(F.sum(F.col("total") * F.col("total"))), F.max("total")).first()
+        moved = sums.agg(F.max(F.abs(F.col("total") / F.lit(length) - F.col("old")))).first()[0]
+        scores = sums.select("node", (F.col("total") / F.lit(length)).alias("score"))
         if moved < EIGEN_TOLERANCE:
-            return scores
+            return graph.with_terms(scores)
+        # Rows are scaled by the largest row sum, so no power leaves the range of doubles.
+        power = checkpoint(tiles.square(tiles.scaled(power, 1.0 / largest), parts))
     raise RuntimeError("the eigenvector did not settle; its two leading eigenvalues are too close")

@@ -1,189 +1,124 @@
-"""All-pairs shortest paths, and how many there are, by blocked matrix products in Spark.
+"""All-pairs shortest paths and their numbers, as products of tiled matrices.
 
-Node pairs are cut into square tiles. One round joins the tiles of the paths found so
-far with the tiles of the edges on the tile index between them and reduces each target
-tile in one group: a path of one more edge is a path plus an edge. Distances and
-numbers of paths settle when no path of one more edge is better or new. A group holds
-one row of tiles and one column of tiles, never the whole matrix.
+Distances settle by repeated squaring with (min, +). The numbers of shortest paths
+follow from the final distances, one hop a round, over the edges that are themselves
+shortest paths. Weights are distances and must be above 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.operators.tiles import TILE, TiledGraph, meet, read_tile, row_sums, target_parts
 from wordloom.session import checkpoint
 
-TILE = 128
-_STATE = "bi int, bj int, dist binary, paths binary, changed boolean"
 
+def shortest_distances(graph: TiledGraph) -> DataFrame:
+    """Tiles ``(bi, bj, dist)`` of the distances between all nodes, infinite if apart."""
 
-class PathGraph:
-    """A weighted graph with its terms numbered and its edges in tiles.
-
-    Weights are distances and must be above 0.
-    """
-
-    def __init__(self, edges: DataFrame):
-        self._edges = edges
-
-    @cached_property
-    def numbered(self) -> DataFrame:
-        """``(term, node)``; the unpartitioned window is over the bounded vocabulary."""
-        terms = self._edges.select(F.explode(F.array("src", "dst")).alias("term")).distinct()
-        return checkpoint(terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("node")))
-
-    @cached_property
-    def size(self) -> int:
-        return self.numbered.count()
-
-    @cached_property
-    def tiles_per_side(self) -> int:
-        return -(-self.size // TILE)
-
-    @cached_property
-    def tiles(self) -> DataFrame:
-        """Edge tiles ``(bk, bj, step)``, all of them, also those without an edge."""
-        number = F.broadcast(self.numbered)
-        ends = (
-            self._edges.join(number.select(F.col("term").alias("src"), F.col("node").alias("a")), "src")
-            .join(number.select(F.col("term").alias("dst"), F.col("node").alias("b")), "dst")
-            .select("a", "b", F.col("weight").cast("double").alias("weight"))
-        )
-        directed = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-        side = self.tiles_per_side
-        # One row without a weight per tile, so that every tile has a group.
-        grid = self._edges.sparkSession.range(side * side).select(
-            (F.col("id") / side).cast("int").alias("bk"),
-            (F.col("id") % side).cast("int").alias("bj"),
-            F.lit(0).alias("row"),
-            F.lit(0).alias("col"),
-            F.lit(None).cast("double").alias("weight"),
-        )
-        placed = directed.select(
-            (F.col("a") / TILE).cast("int").alias("bk"),
-            (F.col("b") / TILE).cast("int").alias("bj"),
-            (F.col("a") % TILE).alias("row"),
-            (F.col("b") % TILE).alias("col"),
-            "weight",
-        )
-
-        def fill(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-            tile = np.full((TILE, TILE), np.inf)
-            cells = cells[cells["weight"].notna()]
-            tile[cells["row"].to_numpy(), cells["col"].to_numpy()] = cells["weight"].to_numpy()
-            return pd.DataFrame({"bk": [key[0]], "bj": [key[1]], "step": [tile.tobytes()]})
-
-        return checkpoint(
-            placed.unionByName(grid).groupBy("bk", "bj").applyInPandas(fill, "bk int, bj int, step binary")
+    def extend(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = key
+        # The tile itself is among the left ones, where the middle is the target column.
+        before = read_tile(rows["left"][rows["bk"] == bj].iloc[0])
+        dist = before.copy()
+        longer = np.empty_like(dist)
+        for left, right in zip(rows["left"], rows["right"]):
+            left, right = read_tile(left), read_tile(right)
+            for k in np.flatnonzero(np.isfinite(left).any(axis=0) & np.isfinite(right).any(axis=1)):
+                np.add(left[:, k, None], right[None, k, :], out=longer)
+                np.minimum(dist, longer, out=dist)
+        return pd.DataFrame(
+            {"bi": [bi], "bj": [bj], "dist": [dist.tobytes()], "changed": [not np.array_equal(dist, before)]}
         )
 
-    def with_terms(self, scores: DataFrame) -> DataFrame:
-        """``(node, score)`` as ``(term, score)``; terms without a score get 0."""
-        return self.numbered.join(F.broadcast(scores), "node", "left").select(
-            "term", F.coalesce("score", F.lit(0.0)).alias("score")
+    parts = target_parts(graph)
+    dist = graph.tiles(absent=np.inf, diagonal=0.0).withColumnRenamed("m", "dist")
+    while True:
+        pairs = meet(dist.withColumnRenamed("dist", "left"), dist.withColumnRenamed("dist", "right"), parts)
+        state = checkpoint(
+            pairs.groupBy("bi", "bj").applyInPandas(extend, "bi int, bj int, dist binary, changed boolean")
         )
+        dist = state.drop("changed")
+        if state.where("changed").isEmpty():
+            return dist
 
 
-def _read(tile: bytes) -> np.ndarray:
-    return np.frombuffer(tile).reshape(TILE, TILE)
-
+def count_paths(graph: TiledGraph, dist: DataFrame) -> DataFrame:
+    """Tiles ``(bi, bj, dist, paths)``: the distances and how many paths have that length."""
 
-def shortest_paths(graph: PathGraph) -> DataFrame:
-    """Tiles ``(bi, bj, dist, paths)`` of distances and of numbers of shortest paths."""
+    def tight(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # An edge longer than the distance of its ends lies on no shortest path.
+        for batch in batches:
+            steps = []
+            for step, far in zip(batch["m"], batch["dist"]):
+                step = read_tile(step)
+                steps.append(np.where(step == read_tile(far), step, np.inf).tobytes())
+            yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "step": steps})
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for bi, bj in zip(batch["bk"], batch["bj"]):
-                dist = np.full((TILE, TILE), np.inf)
-                paths = np.zeros((TILE, TILE))
-                if bi == bj:
-                    np.fill_diagonal(dist, 0.0)
-                    np.fill_diagonal(paths, 1.0)
-                yield pd.DataFrame(
-                    {"bi": [bi], "bj": [bj], "dist": [dist.tobytes()], "paths": [paths.tobytes()], "changed": [True]}
-                )
+            same = [(np.eye(TILE) * (bi == bj)).tobytes() for bi, bj in zip(batch["bi"], batch["bj"])]
+            yield batch.assign(paths=same)
 
-    def extend(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def one_hop(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key
-        dist = np.full((TILE, TILE), np.inf)
-        paths = np.zeros((TILE, TILE))
-        if bi == bj:
-            np.fill_diagonal(dist, 0.0)
-            np.fill_diagonal(paths, 1.0)
-        before = None
-        for middle, old_dist, old_paths, step in zip(rows["bk"], rows["dist"], rows["paths"], rows["step"]):
-            old_dist, old_paths, step = _read(old_dist), _read(old_paths), _read(step)
-            if middle == bj:
-                before = old_dist, old_paths
-            for k in np.flatnonzero(np.isfinite(step).any(axis=1) & np.isfinite(old_dist).any(axis=0)):
-                longer = old_dist[:, k, None] + step[None, k, :]
-                better = longer < dist
-                equal = (longer == dist) & np.isfinite(longer)
-                paths = np.where(better, old_paths[:, k, None], paths + np.where(equal, old_paths[:, k, None], 0.0))
-                dist = np.minimum(dist, longer)
-        changed = not (np.array_equal(dist, before[0]) and np.array_equal(paths, before[1]))
+        own = rows[rows["bk"] == bj].iloc[0]
+        dist, before = read_tile(own["dist"]), read_tile(own["paths"])
+        paths = np.eye(TILE) * (bi == bj)
+        for left, count, step in zip(rows["dist"], rows["paths"], rows["step"]):
+            left, count, step = read_tile(left), read_tile(count), read_tile(step)
+            for k in np.flatnonzero(np.isfinite(step).any(axis=1) & (count > 0).any(axis=0)):
+                to = np.flatnonzero(np.isfinite(step[k]))
+                shortest = left[:, k, None] + step[None, k, to] == dist[:, to]
+                paths[:, to] += shortest * count[:, k, None]
         return pd.DataFrame(
-            {"bi": [bi], "bj": [bj], "dist": [dist.tobytes()], "paths": [paths.tobytes()], "changed": [changed]}
+            {
+                "bi": [bi],
+                "bj": [bj],
+                "dist": [dist.tobytes()],
+                "paths": [paths.tobytes()],
+                "changed": [not np.array_equal(paths, before)],
+            }
         )
 
-    spark = graph.tiles.sparkSession
-    if graph.size == 0:
-        return spark.createDataFrame([], _STATE).drop("changed")
-    parts = max(1, min(graph.tiles_per_side**2, 4 * spark.sparkContext.defaultParallelism))
-    steps = graph.tiles.select("bk", F.col("bj").alias("to"), "step")
-    state = graph.tiles.mapInPandas(start, _STATE)
+    parts = target_parts(graph)
+    edges = graph.tiles(absent=np.inf, diagonal=np.inf)
+    steps = checkpoint(edges.join(dist, ["bi", "bj"]).mapInPandas(tight, "bi int, bj int, step binary"))
+    paths = dist.mapInPandas(start, "bi int, bj int, dist binary, paths binary")
     while True:
         state = checkpoint(
-            state.select("bi", F.col("bj").alias("bk"), "dist", "paths")
-            .join(steps, "bk")
-            .repartition(parts, "bi", "to")
-            .groupBy("bi", "to")
-            .applyInPandas(extend, _STATE)
+            meet(paths, steps, parts)
+            .groupBy("bi", "bj")
+            .applyInPandas(one_hop, "bi int, bj int, dist binary, paths binary, changed boolean")
         )
+        paths = state.drop("changed")
         if state.where("changed").isEmpty():
-            return state.drop("changed")
+            return paths
 
 
-def reach(state: DataFrame) -> DataFrame:
+def reach(dist: DataFrame) -> DataFrame:
     """Number of other nodes a node reaches and the sum of the distances: ``(node, reached, total)``."""
+    reached = row_sums(dist, "dist", lambda tile: np.isfinite(tile) & (tile > 0))
+    total = row_sums(dist, "dist", lambda tile: np.where(np.isfinite(tile), tile, 0.0))
+    return reached.withColumnRenamed("total", "reached").join(total, "node")
 
-    def row_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for bi, dist in zip(batch["bi"], batch["dist"]):
-                dist = _read(dist)
-                far = np.isfinite(dist) & (dist > 0)
-                yield pd.DataFrame(
-                    {
-                        "node": bi * TILE + np.arange(TILE),
-                        "reached": far.sum(axis=1),
-                        "total": np.where(far, dist, 0.0).sum(axis=1),
-                    }
-                )
-
-    sums = state.select("bi", "dist").mapInPandas(row_sums, "node int, reached long, total double")
-    return sums.groupBy("node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"))
-
-
-def distances(graph: PathGraph) -> DataFrame:
+
+def distance_pairs(graph: TiledGraph) -> DataFrame:
     """Distances of all connected pairs: ``(src, dst, dist)`` with ``src < dst``."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for bi, bj, dist in zip(batch["bi"], batch["bj"], batch["dist"]):
-                dist = _read(dist)
+                dist = read_tile(dist)
                 row, col = np.nonzero(np.isfinite(dist))
                 yield pd.DataFrame({"a": bi * TILE + row, "b": bj * TILE + col, "dist": dist[row, col]})
 
-    pairs = (
-        shortest_paths(graph).where("bi <= bj").select("bi", "bj", "dist")
-        .mapInPandas(cells, "a int, b int, dist double").where("a < b")
-    )
+    pairs = shortest_distances(graph).where("bi <= bj").mapInPandas(cells, "a int, b int, dist double").where("a < b")
     number = F.broadcast(graph.numbered)
     return (
         pairs.join(number.select(F.col("node").alias("a"), F.col("term").alias("src")), "a")
@@ -192,7 +127,7 @@ def distances(graph: PathGraph) -> DataFrame:
     )
 
 
-def dependencies(state: DataFrame) -> DataFrame:
+def dependencies(graph: TiledGraph, paths: DataFrame) -> DataFrame:
     """Sum, over all ordered pairs, of the share of shortest paths through a node: ``(node, through)``.
 
     A node lies on a shortest path of a pair if the two distances over it add up to the
@@ -201,25 +136,30 @@ def dependencies(state: DataFrame) -> DataFrame:
 
     def through(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key
+        own = rows[rows["bk"] == bj].iloc[0]
+        dist, count = read_tile(own["d1"]), read_tile(own["p1"])
+        share = np.divide(1.0, count, out=np.zeros_like(count), where=count > 0)
         out = []
-        for bk, d1, p1, d2, p2, d, p in zip(*(rows[c] for c in ["bk", "d1", "p1", "d2", "p2", "d", "p"])):
-            d1, p1, d2, p2, d, p = (_read(tile) for tile in (d1, p1, d2, p2, d, p))
-            inverse = np.divide(1.0, p, out=np.zeros_like(p), where=p > 0)
+        for bk, d1, p1, d2, p2 in zip(*(rows[name] for name in ["bk", "d1", "p1", "d2", "p2"])):
+            d1, p1, d2, p2 = read_tile(d1), read_tile(p1), read_tile(d2), read_tile(p2)
             sums = np.zeros(TILE)
-            for k in np.flatnonzero(np.isfinite(d1).any(axis=0) & np.isfinite(d2).any(axis=1)):
-                on_path = (d1[:, k, None] + d2[None, k, :] == d) & np.isfinite(d)
+            for k in np.flatnonzero((p1 > 0).any(axis=0) & (p2 > 0).any(axis=1)):
+                to_k, from_k = p1[:, k].copy(), p2[k].copy()
+                # The ends of a pair are not between them.
                 if bk == bi:
-                    on_path[k, :] = False
+                    to_k[k] = 0.0
                 if bk == bj:
-                    on_path[:, k] = False
-                if on_path.any():
-                    sums[k] = p1[:, k] @ np.where(on_path, inverse, 0.0) @ p2[k, :]
+                    from_k[k] = 0.0
+                on_path = d1[:, k, None] + d2[None, k, :] == dist
+                sums[k] = to_k @ (on_path * share) @ from_k
             out.append(pd.DataFrame({"node": bk * TILE + np.arange(TILE), "through": sums}))
         return pd.concat(out)
 
-    to_middle = state.select("bi", F.col("bj").alias("bk"), F.col("dist").alias("d1"), F.col("paths").alias("p1"))
-    from_middle = state.select(F.col("bi").alias("bk"), "bj", F.col("dist").alias("d2"), F.col("paths").alias("p2"))
-    whole = state.select("bi", "bj", F.col("dist").alias("d"), F.col("paths").alias("p"))
-    triples = to_middle.join(from_middle, "bk").join(whole, ["bi", "bj"])
-    sums = triples.groupBy("bi", "bj").applyInPandas(through, "node int, through double")
+    to_middle = paths.select("bi", "bj", F.col("dist").alias("d1"), F.col("paths").alias("p1"))
+    from_middle = paths.select("bi", "bj", F.col("dist").alias("d2"), F.col("paths").alias("p2"))
+    sums = (
+        meet(to_middle, from_middle, target_parts(graph))
+        .groupBy("bi", "bj")
+        .applyInPandas(through, "node int, through double")
+    )
     return sums.groupBy("node").agg(F.sum("through").alias("through"))

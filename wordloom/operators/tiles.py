@@ -1,0 +1,146 @@
+"""Square matrices over graph nodes, cut into tiles and multiplied by Spark.
+
+A product joins two tile tables on the index between them and reduces every target tile
+in one group, which holds one row of tiles and one column of tiles but never a whole
+matrix. Task code works on one pair of tiles at a time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from functools import cached_property
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from wordloom.session import checkpoint
+
+TILE = 256
+
+
+def read_tile(tile: bytes) -> np.ndarray:
+    return np.frombuffer(tile).reshape(TILE, TILE)
+
+
+class TiledGraph:
+    """An undirected graph ``edges(src, dst, weight)`` with its terms numbered and tiled."""
+
+    def __init__(self, edges: DataFrame):
+        self._edges = edges
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """``(term, node)``; the unpartitioned window is over the bounded vocabulary."""
+        terms = self._edges.select(F.explode(F.array("src", "dst")).alias("term")).distinct()
+        return checkpoint(terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("node")))
+
+    @cached_property
+    def size(self) -> int:
+        return self.numbered.count()
+
+    @cached_property
+    def side(self) -> int:
+        """Tiles per side of the matrix."""
+        return -(-self.size // TILE)
+
+    def tiles(self, absent: float, diagonal: float) -> DataFrame:
+        """The matrix of edge weights as ``(bi, bj, m)``, every tile present."""
+        number = F.broadcast(self.numbered)
+        ends = (
+            self._edges.join(number.select(F.col("term").alias("src"), F.col("node").alias("a")), "src")
+            .join(number.select(F.col("term").alias("dst"), F.col("node").alias("b")), "dst")
+            .select("a", "b", F.col("weight").cast("double").alias("weight"))
+        )
+        directed = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+        placed = directed.select(
+            (F.col("a") / TILE).cast("int").alias("bi"),
+            (F.col("b") / TILE).cast("int").alias("bj"),
+            (F.col("a") % TILE).alias("row"),
+            (F.col("b") % TILE).alias("col"),
+            "weight",
+        )
+        # One row without a weight per tile, so that tiles without an edge exist too.
+        side = self.side
+        grid = self._edges.sparkSession.range(side * side).select(
+            (F.col("id") / side).cast("int").alias("bi"),
+            (F.col("id") % side).cast("int").alias("bj"),
+            F.lit(0).alias("row"),
+            F.lit(0).alias("col"),
+            F.lit(None).cast("double").alias("weight"),
+        )
+
+        def fill(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+            tile = np.full((TILE, TILE), absent)
+            cells = cells[cells["weight"].notna()]
+            tile[cells["row"].to_numpy(), cells["col"].to_numpy()] = cells["weight"].to_numpy()
+            if key[0] == key[1]:
+                np.fill_diagonal(tile, diagonal)
+            return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "m": [tile.tobytes()]})
+
+        return checkpoint(placed.unionByName(grid).groupBy("bi", "bj").applyInPandas(fill, "bi int, bj int, m binary"))
+
+    def no_scores(self) -> DataFrame:
+        """The result for a graph without edges."""
+        return self.numbered.select("term", F.lit(0.0).alias("score"))
+
+    def with_terms(self, scores: DataFrame) -> DataFrame:
+        """``(node, score)`` as ``(term, score)``; terms without a score get 0."""
+        return self.numbered.join(F.broadcast(scores), "node", "left").select(
+            "term", F.coalesce("score", F.lit(0.0)).alias("score")
+        )
+
+
+def meet(left: DataFrame, right: DataFrame, spark_parts: int) -> DataFrame:
+    """Pairs of tiles that meet in a product, partitioned by target tile.
+
+    ``left`` and ``right`` are tile tables with different names for their matrices; the
+    result is ``(bi, bk, bj, ...)``.
+    """
+    return (
+        left.withColumnRenamed("bj", "bk")
+        .join(right.withColumnRenamed("bi", "bk"), "bk")
+        .repartition(spark_parts, "bi", "bj")
+    )
+
+
+def target_parts(graph: TiledGraph) -> int:
+    """Partitions for the reduction: one per target tile, up to a few per core."""
+    cores = graph.numbered.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(graph.side**2, 4 * cores))
+
+
+def row_sums(tiles: DataFrame, matrix: str, cells: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Sum of ``cells(tile)`` along the rows: ``(node, total)``."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bi, tile in zip(batch["bi"], batch[matrix]):
+                yield pd.DataFrame({"node": bi * TILE + np.arange(TILE), "total": cells(read_tile(tile)).sum(axis=1)})
+
+    parts = tiles.select("bi", matrix).mapInPandas(sums, "node int, total double")
+    return parts.groupBy("node").agg(F.sum("total").alias("total"))
+
+
+def square(tiles: DataFrame, parts: int) -> DataFrame:
+    """The matrix times itself, not yet checkpointed: ``(bi, bj, m)``."""
+
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        product = np.zeros((TILE, TILE))
+        for left, right in zip(rows["left"], rows["right"]):
+            product += read_tile(left) @ read_tile(right)
+        return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "m": [product.tobytes()]})
+
+    pairs = meet(tiles.withColumnRenamed("m", "left"), tiles.withColumnRenamed("m", "right"), parts)
+    return pairs.groupBy("bi", "bj").applyInPandas(multiply, "bi int, bj int, m binary")
+
+
+def scaled(tiles: DataFrame, factor: float) -> DataFrame:
+    """The matrix with every cell times ``factor``."""
+
+    def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(m=[(read_tile(tile) * factor).tobytes() for tile in batch["m"]])
+
+    return tiles.mapInPandas(scale, "bi int, bj int, m binary")
