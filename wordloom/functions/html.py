@@ -63,14 +63,14 @@ def element_markup(markup: Column, selector: Selector) -> Column:
 
     def step(state: Column, piece: Column) -> Column:
         change = F.when(starts(piece, f"</{selector.tag}"), -1).when(starts(piece, f"<{selector.tag}"), 1).otherwise(0)
-        moved = F.struct((state["seen"] + 1).alias("seen"), (state["depth"] + change).alias("depth"))
+        moved = F.named_struct(F.lit("seen"), state["seen"] + 1, F.lit("depth"), state["depth"] + change)
         return F.when(state["depth"] == 0, state).otherwise(moved)
 
     def inner(parts: Column) -> Column:
         # The piece that brings the depth to 0 starts with the close tag and is not kept.
         kept = F.aggregate(
             parts,
-            F.struct(F.lit(0).alias("seen"), F.lit(1).alias("depth")),
+            F.named_struct(F.lit("seen"), F.lit(0), F.lit("depth"), F.lit(1)),
             step,
             lambda end: end["seen"] - F.when(end["depth"] == 0, 1).otherwise(0),
         )

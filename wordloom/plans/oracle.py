@@ -164,10 +164,14 @@ def hops(start: str, rounds: int) -> str:
     return ",".join(steps)
 
 
-# Edges that a detour over one more node beats are on no shortest path.
-INVERSE = (
-    """,
-    steps as materialized (select s.idx as src, d.idx as dst, 1.0::double / weight as w from edges
+def distances(weight: str, rounds: int) -> str:
+    """Distances ``apart`` between numbered terms, over edges as long as ``weight``.
+
+    Edges that a detour over one more node beats are on no shortest path and left out.
+    """
+    return (
+        f""",
+    steps as materialized (select s.idx as src, d.idx as dst, {weight} as w from edges
                            join numbered s on s.term = edges.src join numbered d on d.term = edges.dst),
     both_steps as materialized (select src, dst, w from steps union all select dst, src, w from steps),
     detours as (select a.src, b.dst, min(a.w + b.w) as d from both_steps a join both_steps b on a.dst = b.src
@@ -175,10 +179,43 @@ INVERSE = (
     tight_half as materialized (select s.src, s.dst, s.w from steps s left join detours using (src, dst)
                                 where d is null or s.w <= d),
     tight as materialized (select src, dst, w from tight_half union all select dst, src, w from tight_half)"""
-    + hops("select src, dst, w as d from tight", 12)
-    + """,
-    apart as materialized (select src, dst, d from d12 where src <> dst)"""
-)
+        + hops("select src, dst, w as d from tight", rounds)
+        + f""",
+    apart as materialized (select src, dst, d from d{rounds} where src <> dst)"""
+    )
+
+
+INVERSE = distances("1.0::double / weight", 12)
+
+
+def passages(rounds: int) -> str:
+    """Shares of shortest paths through a node, ``passed(src, node, share)``.
+
+    ``onward`` lists, per source, the edges its shortest paths use. Numbers of paths sum
+    over paths of ever more edges, and shares over ever longer rests of a path.
+    """
+    ctes = [""",
+    far as materialized (select src, dst, d from apart union all select idx, idx, 0.0 from numbered),
+    onward as materialized (select a.src, a.dst as u, t.dst as v from far a join tight t on t.src = a.dst
+                            join far b on b.src = a.src and b.dst = t.dst and b.d = a.d + t.w),
+    e0 as materialized (select idx as src, idx as v, 1.0::double as c from numbered)"""]
+    for k in range(rounds):
+        ctes.append(f"""
+    e{k + 1} as materialized (select o.src, o.v, sum(c) as c from onward o join e{k} e on e.src = o.src and e.v = o.u group by all)""")
+    every = " union all ".join(f"select src, v, c from e{k}" for k in range(rounds + 1))
+    ctes.append(f"""
+    counts as materialized (select src, v, sum(c) as c from ({every}) group by all),
+    ratios as materialized (select o.src, o.u, o.v, a.c / b.c as r from onward o
+        join counts a on a.src = o.src and a.v = o.u join counts b on b.src = o.src and b.v = o.v),
+    f0 as (select src, v, 1.0::double as f from counts)""")
+    for k in range(rounds):
+        ctes.append(f"""
+    f{k + 1} as materialized (select r.src, r.u as v, sum(r * f) as f from ratios r join f{k} f on f.src = r.src and f.v = r.v group by all)""")
+    every = " union all ".join(f"select src, v, f from f{k + 1}" for k in range(rounds))
+    ctes.append(f"""
+    passed as (select src, v as node, f as share from ({every}) where src <> v)""")
+    return ",".join(ctes)
+
 
 PAGE = f"pages_seen as (select page_id, url, html, {VISIBLE} as page from pages)"
 COMMENTS = """
@@ -242,6 +279,12 @@ ORACLE: dict[str, str] = {
         with {cells()} {INVERSE}, size as (select count(distinct src) as n from both_steps)
         select term, round(count(*) / sum(d) * (count(*) / (any_value(n) - 1.0::double)), 6) as score
         from apart join numbered on idx = src, size group by term""",
+    "cent_betweenness": f"""
+        with {cells()} {distances('weight::double', 8)} {passages(8)},
+        size as (select count(distinct src) as n from both_steps)
+        select term, round(coalesce(sum(share), 0) / any_value((n - 1) * (n - 2)), 6) as score
+        from (select distinct src as idx from both_steps) join numbered using (idx)
+        left join passed on node = idx, size group by term""",
     "cent_pagerank": f"with recursive {cells()} {PAGERANK} select term, round(score, 9) as score from pagerank",
     "cent_eigenvector": f"""
         with recursive {cells()} {EIGENVECTOR}, last as (select term, x from powers where round = 150)
@@ -293,9 +336,10 @@ ORACLE: dict[str, str] = {
     "extract_rejects": "select url, 'pdate' as missing from pages",
     "extract_links": f"""
         with {PAGE},
-        found as (select url, list_filter(regexp_extract_all(page, '<a href="([^"]*)"', 1), h -> starts_with(h, '/t')) as l
-                  from pages_seen)
-        select url, unnest(range(len(l)))::integer as position, unnest(l) as href from found""",
+        listed as (select page_id, url, regexp_extract_all(page, '<a href="([^"]*)"', 1) as l from pages_seen),
+        found as (select page_id, url, unnest(range(len(l))) as p, unnest(l) as href from listed)
+        select url, (row_number() over (partition by page_id order by p) - 1)::integer as position, href
+        from found where starts_with(href, '/t')""",
     "extract_ranking": f"""
         with {PAGE},
         found as (select page_id, {tag_text('h1')} as blind, regexp_extract_all(page, '<a href="([^"]*)"', 1)[1:5] as h,
