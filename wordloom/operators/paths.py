@@ -14,7 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.operators.tiles import TILE, TiledGraph, meet, read_tile, row_sums, target_parts
+from wordloom.operators.tiles import (
+    TILE,
+    TiledGraph,
+    meet,
+    own_tiles,
+    pairs,
+    read_tile,
+    row_sums,
+    target_parts,
+)
 from wordloom.session import checkpoint
 
 
@@ -23,12 +32,10 @@ def shortest_distances(graph: TiledGraph) -> DataFrame:
 
     def extend(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key
-        # The tile itself is among the left ones, where the middle is the target column.
-        before = read_tile(rows["left"][rows["bk"] == bj].iloc[0])
+        (before,) = own_tiles(rows, bj, ["left"])
         dist = before.copy()
         longer = np.empty_like(dist)
-        for left, right in zip(rows["left"], rows["right"]):
-            left, right = read_tile(left), read_tile(right)
+        for _, (left, right) in pairs(rows, ["left"], ["right"]):
             for k in np.flatnonzero(np.isfinite(left).any(axis=0) & np.isfinite(right).any(axis=1)):
                 np.add(left[:, k, None], right[None, k, :], out=longer)
                 np.minimum(dist, longer, out=dist)
@@ -39,10 +46,9 @@ def shortest_distances(graph: TiledGraph) -> DataFrame:
     parts = target_parts(graph)
     dist = graph.tiles(absent=np.inf, diagonal=0.0).withColumnRenamed("m", "dist")
     while True:
-        pairs = meet(dist.withColumnRenamed("dist", "left"), dist.withColumnRenamed("dist", "right"), parts)
-        state = checkpoint(
-            pairs.groupBy("bi", "bj").applyInPandas(extend, "bi int, bj int, dist binary, changed boolean")
-        )
+        left, right = dist.withColumnRenamed("dist", "left"), dist.withColumnRenamed("dist", "right")
+        met = meet(left, right, graph.side, parts)
+        state = checkpoint(met.applyInPandas(extend, "bi int, bj int, dist binary, changed boolean"))
         dist = state.drop("changed")
         if state.where("changed").isEmpty():
             return dist
@@ -55,9 +61,8 @@ def count_paths(graph: TiledGraph, dist: DataFrame) -> DataFrame:
         # An edge longer than the distance of its ends lies on no shortest path.
         for batch in batches:
             steps = []
-            for step, far in zip(batch["m"], batch["dist"]):
-                step = read_tile(step)
-                steps.append(np.where(step == read_tile(far), step, np.inf).tobytes())
+            for step, far in zip(map(read_tile, batch["m"]), map(read_tile, batch["dist"])):
+                steps.append(np.where(step == far, step, np.inf).tobytes())
             yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "step": steps})
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,11 +72,9 @@ def count_paths(graph: TiledGraph, dist: DataFrame) -> DataFrame:
 
     def one_hop(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key
-        own = rows[rows["bk"] == bj].iloc[0]
-        dist, before = read_tile(own["dist"]), read_tile(own["paths"])
+        dist, before = own_tiles(rows, bj, ["dist", "paths"])
         paths = np.eye(TILE) * (bi == bj)
-        for left, count, step in zip(rows["dist"], rows["paths"], rows["step"]):
-            left, count, step = read_tile(left), read_tile(count), read_tile(step)
+        for _, (left, count, step) in pairs(rows, ["dist", "paths"], ["step"]):
             for k in np.flatnonzero(np.isfinite(step).any(axis=1) & (count > 0).any(axis=0)):
                 to = np.flatnonzero(np.isfinite(step[k]))
                 shortest = left[:, k, None] + step[None, k, to] == dist[:, to]
@@ -92,9 +95,9 @@ def count_paths(graph: TiledGraph, dist: DataFrame) -> DataFrame:
     paths = dist.mapInPandas(start, "bi int, bj int, dist binary, paths binary")
     while True:
         state = checkpoint(
-            meet(paths, steps, parts)
-            .groupBy("bi", "bj")
-            .applyInPandas(one_hop, "bi int, bj int, dist binary, paths binary, changed boolean")
+            meet(paths, steps, graph.side, parts).applyInPandas(
+                one_hop, "bi int, bj int, dist binary, paths binary, changed boolean"
+            )
         )
         paths = state.drop("changed")
         if state.where("changed").isEmpty():
@@ -136,12 +139,10 @@ def dependencies(graph: TiledGraph, paths: DataFrame) -> DataFrame:
 
     def through(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key
-        own = rows[rows["bk"] == bj].iloc[0]
-        dist, count = read_tile(own["d1"]), read_tile(own["p1"])
+        dist, count = own_tiles(rows, bj, ["d1", "p1"])
         share = np.divide(1.0, count, out=np.zeros_like(count), where=count > 0)
         out = []
-        for bk, d1, p1, d2, p2 in zip(*(rows[name] for name in ["bk", "d1", "p1", "d2", "p2"])):
-            d1, p1, d2, p2 = read_tile(d1), read_tile(p1), read_tile(d2), read_tile(p2)
+        for bk, (d1, p1, d2, p2) in pairs(rows, ["d1", "p1"], ["d2", "p2"]):
             sums = np.zeros(TILE)
             for k in np.flatnonzero((p1 > 0).any(axis=0) & (p2 > 0).any(axis=1)):
                 to_k, from_k = p1[:, k].copy(), p2[k].copy()
@@ -157,9 +158,6 @@ def dependencies(graph: TiledGraph, paths: DataFrame) -> DataFrame:
 
     to_middle = paths.select("bi", "bj", F.col("dist").alias("d1"), F.col("paths").alias("p1"))
     from_middle = paths.select("bi", "bj", F.col("dist").alias("d2"), F.col("paths").alias("p2"))
-    sums = (
-        meet(to_middle, from_middle, target_parts(graph))
-        .groupBy("bi", "bj")
-        .applyInPandas(through, "node int, through double")
-    )
+    met = meet(to_middle, from_middle, graph.side, target_parts(graph))
+    sums = met.applyInPandas(through, "node int, through double")
     return sums.groupBy("node").agg(F.sum("through").alias("through"))

@@ -1,8 +1,8 @@
 """Square matrices over graph nodes, cut into tiles and multiplied by Spark.
 
-A product joins two tile tables on the index between them and reduces every target tile
-in one group, which holds one row of tiles and one column of tiles but never a whole
-matrix. Task code works on one pair of tiles at a time.
+A product brings the tiles that meet in a target tile together in one group, which holds
+one row of tiles and one column of tiles but never a whole matrix. Task code works on one
+pair of tiles at a time.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from wordloom.session import checkpoint
@@ -92,17 +92,36 @@ class TiledGraph:
         )
 
 
-def meet(left: DataFrame, right: DataFrame, spark_parts: int) -> DataFrame:
-    """Pairs of tiles that meet in a product, partitioned by target tile.
+def meet(left: DataFrame, right: DataFrame, side: int, parts: int) -> GroupedData:
+    """Tiles grouped by the target tile ``(bi, bj)`` of the product of two matrices.
 
-    ``left`` and ``right`` are tile tables with different names for their matrices; the
-    result is ``(bi, bk, bj, ...)``.
+    Each tile is copied to the targets that need it, ``side`` of them, so the only shuffle
+    is the one that brings a target's tiles together. ``pairs`` reads such a group.
     """
-    return (
-        left.withColumnRenamed("bj", "bk")
-        .join(right.withColumnRenamed("bi", "bk"), "bk")
-        .repartition(spark_parts, "bi", "bj")
-    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    of_left = left.select("bi", every.alias("to"), F.col("bj").alias("bk"), *_matrices(left))
+    of_right = right.select(every.alias("bi"), F.col("bj").alias("to"), F.col("bi").alias("bk"), *_matrices(right))
+    copies = of_left.unionByName(of_right, allowMissingColumns=True).withColumnRenamed("to", "bj")
+    return copies.repartition(parts, "bi", "bj").groupBy("bi", "bj")
+
+
+def _matrices(tiles: DataFrame) -> list[str]:
+    return [name for name in tiles.columns if name not in ("bi", "bj")]
+
+
+def pairs(rows: pd.DataFrame, left: list[str], right: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The pairs of tiles in a group of ``meet``: the middle index and the named matrices."""
+    lefts = rows[rows[left[0]].notna()].set_index("bk")[left]
+    rights = rows[rows[right[0]].notna()].set_index("bk")[right]
+    for middle in lefts.index.intersection(rights.index):
+        tiles = [*lefts.loc[middle], *rights.loc[middle]]
+        yield middle, [read_tile(tile) for tile in tiles]
+
+
+def own_tiles(rows: pd.DataFrame, bj: int, names: list[str]) -> list[np.ndarray]:
+    """The left matrix's tiles at the target: those whose middle is the target column."""
+    own = rows[(rows["bk"] == bj) & rows[names[0]].notna()].iloc[0]
+    return [read_tile(own[name]) for name in names]
 
 
 def target_parts(graph: TiledGraph) -> int:
@@ -123,17 +142,18 @@ def row_sums(tiles: DataFrame, matrix: str, cells: Callable[[np.ndarray], np.nda
     return parts.groupBy("node").agg(F.sum("total").alias("total"))
 
 
-def square(tiles: DataFrame, parts: int) -> DataFrame:
+def square(tiles: DataFrame, graph: TiledGraph) -> DataFrame:
     """The matrix times itself, not yet checkpointed: ``(bi, bj, m)``."""
 
     def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         product = np.zeros((TILE, TILE))
-        for left, right in zip(rows["left"], rows["right"]):
-            product += read_tile(left) @ read_tile(right)
+        for _, (left, right) in pairs(rows, ["left"], ["right"]):
+            product += left @ right
         return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "m": [product.tobytes()]})
 
-    pairs = meet(tiles.withColumnRenamed("m", "left"), tiles.withColumnRenamed("m", "right"), parts)
-    return pairs.groupBy("bi", "bj").applyInPandas(multiply, "bi int, bj int, m binary")
+    left, right = tiles.withColumnRenamed("m", "left"), tiles.withColumnRenamed("m", "right")
+    met = meet(left, right, graph.side, target_parts(graph))
+    return met.applyInPandas(multiply, "bi int, bj int, m binary")
 
 
 def scaled(tiles: DataFrame, factor: float) -> DataFrame:
