@@ -18,6 +18,10 @@ ANY = r"[^\n]"
 # What may stand between a pair of brackets that is removed with its content.
 BRACKETED = WORD + SPACE + "‘’=/·~:&,`"
 
+# Characters that are removed wherever they stand.
+SYMBOLS = "◇#/▶▲◆■●△①②③★○◎▽=▷☞◀ⓒ□?㈜♠☎"
+QUOTES = "\"'”“‘’"
+
 # Cleaning steps in order: (name, literal a text must contain to match, pattern).
 CLEAN_STEPS = [
     ("email", "@", rf"[{WORD}.]+@[{WORD}.]+"),
@@ -35,8 +39,8 @@ CLEAN_STEPS = [
     ("credit_line", "/", rf"/[{WORD}]+[=·{WORD}@]+[{WORD}]+[{SPACE}][=·{WORD}@]+"),
     ("reporter", "기자", rf"[{WORD}]{{2,4}}[{SPACE}]기자"),
     ("han", None, r"[\x{2E80}-\x{2EFF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FBF}\x{F900}]+"),
-    ("symbols", None, "[◇#/▶▲◆■●△①②③★○◎▽=▷☞◀ⓒ□?㈜♠☎]"),
-    ("quotes", None, "[\"'”“‘’]"),
+    ("symbols", None, f"[{SYMBOLS}]"),
+    ("quotes", None, f"[{QUOTES}]"),
     ("date", "-", rf"{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}}"),
     ("clock", ":", rf"{DIGIT}{{2}}:{DIGIT}{{2}}:{DIGIT}{{2}}"),
 ]

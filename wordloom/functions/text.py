@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wordloom.constants import BODY_BOILERPLATE, CLEAN_STEPS, SPACE, WORD
+from wordloom.constants import BODY_BOILERPLATE, CLEAN_STEPS, QUOTES, SPACE, SYMBOLS, WORD
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -25,6 +25,11 @@ def clean_step(text: Column, name: str) -> Column:
     Texts lacking the literal that every match contains skip the pattern, which
     spares the quadratic scans some patterns make over long runs of letters.
     """
+    # Deleting single characters is several times faster without a pattern.
+    if name == "symbols":
+        return F.translate(text, SYMBOLS, "")
+    if name == "quotes":
+        return F.translate(text, QUOTES, "")
     literal, pattern = next((lit, pat) for step, lit, pat in CLEAN_STEPS if step == name)
     if literal is None:
         return F.regexp_replace(text, pattern, "")

@@ -19,7 +19,7 @@ def join_detail(many: DataFrame, one: DataFrame, on: str, hot_share: float = HOT
     as they are. Only hot keys, not rows, are broadcast.
     """
     counts = many.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("rows"))
-    limit = F.lit(hot_share) * many.agg(F.count(on)).scalar()
+    limit = F.lit(hot_share) * counts.agg(F.sum("rows")).scalar()
     hot = F.broadcast(counts.where(F.col("rows") >= limit).select(on, F.lit(True).alias("hot")))
     spread = F.pmod(F.xxhash64(*many.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
     salted = many.join(hot, on, "left").withColumn("salt", F.when(F.col("hot"), spread).otherwise(0)).drop("hot")

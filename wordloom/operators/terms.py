@@ -54,8 +54,9 @@ def term_frequency(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
     """Count of each term in each document: ``(doc_id, term, tf)``."""
     runs = term_runs(docs, tokenize(F.col("text"), min_token_len))
     # The outer form, because the plain one makes Catalyst filter on the array's size
-    # ahead of the projections, that is, work out the tokens twice and more.
-    exploded = runs.select("doc_id", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
+    # ahead of the projections, that is, work out the tokens twice and more. The filter is
+    # on the term, as joins put it, so that plans with and without a join share a shuffle.
+    exploded = runs.select("doc_id", F.explode_outer("terms").alias("t")).where(F.col("t.term").isNotNull())
     return exploded.select("doc_id", "t.term", "t.tf")
 
 
@@ -163,7 +164,7 @@ def split_single_document(docs: DataFrame) -> DataFrame:
     """
     single = document_count(docs) == 1
     parts = F.when(single, text_halves(F.col("text"))).otherwise(F.array("text"))
-    return docs.select("doc_id", F.posexplode(parts).alias("half", "text")).select(
+    return docs.select("doc_id", F.posexplode_outer(parts).alias("half", "text")).select(
         F.when(single, F.col("half").cast("long")).otherwise(F.col("doc_id")).alias("doc_id"), "text"
     )
 
