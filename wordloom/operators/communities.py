@@ -54,74 +54,67 @@ def communities(edges: DataFrame) -> DataFrame:
 
 def _one_level(links: DataFrame, twice_m: float) -> DataFrame | None:
     """Communities ``(node, community)`` once no single move gains, or none if none ever did."""
-    degrees = checkpoint(links.groupBy(F.col("a").alias("node")).agg(F.sum("weight").cast("double").alias("degree")))
-    place = degrees.select("node", F.col("node").alias("community"), "degree")
+    degrees = links.groupBy(F.col("a").alias("node")).agg(F.sum("weight").cast("double").alias("degree"))
+    place = checkpoint(degrees.select("node", F.col("node").alias("community"), "degree", F.col("degree").alias("total")))
     moved = False
     while True:
-        moves = checkpoint(_safe_moves(links, place, twice_m))
-        if moves.isEmpty():
+        moves = F.broadcast(_safe_moves(links, place, twice_m))
+        following = place.join(moves, "node", "left").select(
+            "node", F.coalesce("target", "community").alias("community"), "degree", F.col("target").isNotNull().alias("moves")
+        )
+        members = Window.partitionBy("community")
+        following = checkpoint(following.withColumn("total", F.sum("degree").over(members)))
+        if following.where("moves").isEmpty():
             return place.select("node", "community") if moved else None
         moved = True
-        place = checkpoint(
-            place.join(F.broadcast(moves), "node", "left").select(
-                "node", F.coalesce("target", "community").alias("community"), "degree"
-            )
-        )
+        place = following.drop("moves")
 
 
 def _safe_moves(links: DataFrame, place: DataFrame, twice_m: float) -> DataFrame:
-    """Moves ``(node, target)`` that can all be made in one round."""
-    totals = place.groupBy("community").agg(F.sum("degree").alias("total"))
-    of_neighbour = F.broadcast(place.select(F.col("node").alias("b"), F.col("community").alias("target")))
+    """Moves ``(node, target)`` that can all be made in one round.
+
+    ``place`` is ``(node, community, degree, total)``, ``total`` being the community's
+    degrees taken together.
+    """
+    of_neighbour = F.broadcast(
+        place.select(F.col("node").alias("b"), F.col("community").alias("target"), F.col("total").alias("target_total"))
+    )
+    own = F.broadcast(place.withColumnsRenamed({"community": "source", "total": "source_total"}))
     ties = (
         links.where(F.col("a") != F.col("b")).join(of_neighbour, "b")
-        .groupBy(F.col("a").alias("node"), "target").agg(F.sum("weight").cast("double").alias("tie"))
+        .groupBy(F.col("a").alias("node"), "target", "target_total")
+        .agg(F.sum("weight").cast("double").alias("tie"))
+        .join(own, "node")
     )
-    own = F.broadcast(place.withColumnRenamed("community", "source"))
-    pull = (
-        ties.join(own, "node")
-        .join(F.broadcast(totals.withColumnRenamed("community", "target")), "target")
-        .withColumn("stays", F.col("target") == F.col("source"))
-        .withColumn(
-            "pull",
-            F.col("tie")
-            - F.col("degree") * (F.col("total") - F.when(F.col("stays"), F.col("degree")).otherwise(0.0)) / F.lit(twice_m),
-        )
-    )
-    # ``stay`` is null for a node without a link into its own community.
-    best = pull.groupBy("node", "source", "degree").agg(
-        F.max(F.when(F.col("stays"), F.col("pull"))).alias("stay"),
+    stays = F.col("target") == F.col("source")
+    others = F.col("target_total") - F.when(stays, F.col("degree")).otherwise(0.0)
+    pull = ties.withColumn("pull", F.col("tie") - F.col("degree") * others / F.lit(twice_m))
+    best = pull.groupBy("node", "source", "degree", "source_total").agg(
+        F.max(F.when(stays, F.col("pull"))).alias("stay"),
         F.min_by(
-            F.struct("target", "pull"),
-            F.when(~F.col("stays"), F.struct(-F.round("pull", 9), F.col("target"))),
+            F.struct("target", "pull"), F.when(~stays, F.struct(-F.round("pull", 9), F.col("target")))
         ).alias("out"),
     )
-    alone = F.broadcast(totals.withColumnRenamed("community", "source"))
-    gains = (
-        best.where(F.col("out").isNotNull()).join(alone, "source")
-        .withColumn(
-            "stay",
-            F.coalesce("stay", -F.col("degree") * (F.col("total") - F.col("degree")) / F.lit(twice_m)),
-        )
-        .select("node", "source", "degree", F.col("out.target").alias("target"), (F.col("out.pull") - F.col("stay")).alias("gain"))
-        .where(F.col("gain") > F.lit(GAIN_EPSILON * twice_m))
+    # A node without a link into its own community is not tied to it but pushed away.
+    unlinked = -F.col("degree") * (F.col("source_total") - F.col("degree")) / F.lit(twice_m)
+    least = F.lit(GAIN_EPSILON * twice_m)
+    gains = best.select(
+        "node", "source", "degree", "out.target", (F.col("out.pull") - F.coalesce("stay", unlinked)).alias("gain")
+    ).where(F.col("gain") > least)
+    # Each move touches two communities; whichever side the best move takes is the
+    # community's role for the round.
+    ends = F.array(
+        F.struct(F.col("source").alias("community"), F.lit(True).alias("leaves")),
+        F.struct(F.col("target").alias("community"), F.lit(False).alias("leaves")),
     )
-    rank = F.struct((-F.round("gain", 9)).alias("rank"), F.col("node"))
-    touching = gains.select(
-        F.explode(F.array(F.struct(F.col("source").alias("community"), F.lit(True).alias("leaves")),
-                          F.struct(F.col("target").alias("community"), F.lit(False).alias("leaves")))).alias("t"),
-        rank.alias("rank"),
+    touching = gains.select("node", "target", "degree", "gain", F.explode(ends).alias("end"))
+    in_order = Window.partitionBy("end.community").orderBy(-F.round("gain", 9), "node")
+    roles = touching.withColumn("fits", F.col("end.leaves") == F.first("end.leaves").over(in_order))
+    earlier = F.sum(F.when(F.col("fits"), F.col("degree"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        roles.withColumn("before", F.coalesce(earlier, F.lit(0.0)))
+        .groupBy("node", "target", "degree", "gain")
+        .agg(F.min("fits").alias("fits"), F.sum("before").alias("before"))
+        .where(F.col("fits") & (F.col("gain") - F.col("degree") * F.col("before") / F.lit(twice_m) > least))
+        .select("node", "target")
     )
-    roles = touching.groupBy("t.community").agg(F.min_by("t.leaves", "rank").alias("leaves"))
-    sources = F.broadcast(roles.where("leaves").select(F.col("community").alias("source")))
-    targets = F.broadcast(roles.where("not leaves").select(F.col("community").alias("target")))
-    allowed = gains.join(sources, "source", "left_semi").join(targets, "target", "left_semi").withColumn("rank", rank)
-
-    def earlier(column: str):
-        before = Window.partitionBy(column).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("degree").over(before), F.lit(0.0))
-
-    sure = allowed.withColumn("before", earlier("target") + earlier("source"))
-    return sure.where(
-        F.col("gain") - F.col("degree") * F.col("before") / F.lit(twice_m) > F.lit(GAIN_EPSILON * twice_m)
-    ).select("node", "target")
