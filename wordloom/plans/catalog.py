@@ -360,7 +360,8 @@ def url_params(spark, folder):
 
 
 # Comments: each conversation serves as the landed responses to one article, a page of
-# comments per response.
+# comments per response. Turns of a conversation are distinct, so a page has at most
+# COMMENT_PAGE_SIZE of them.
 
 
 def _responses(spark, folder) -> DataFrame:
