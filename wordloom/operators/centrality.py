@@ -1,7 +1,7 @@
 """The five centralities of an undirected weighted graph ``edges(src, dst, weight)``.
 
 Each returns ``(term, score)`` for every term that has an edge. Iterations run as
-joins and sums over checkpointed tables of at most one row per edge.
+joins and sums over written tables of at most one row per edge.
 """
 
 from __future__ import annotations

@@ -1,36 +1,40 @@
-"""Session-level helpers: reliable checkpoints."""
+"""Session-level helpers: tables written between the rounds of an iteration."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the session at the cluster's shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. A temporary one is made only for
-    a local master without that setting; a cluster without it is an error, because a
-    machine-local folder would not outlive the loss of an executor.
+    A temporary one is made only for a local master without that setting; a cluster
+    without it is an error, because a machine-local folder would not outlive the loss of
+    an executor.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+        return configured
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy.
+    """Write ``df`` as a table to the checkpoint folder and go on from the written copy.
 
     Used for tables bounded by the vocabulary cap: iteration state, vocabularies,
-    graphs. Corpus-sized tables are never checkpointed.
+    graphs. Corpus-sized tables are never written. A table rather than
+    ``DataFrame.checkpoint``: that keeps the size estimate of the plan it cuts off, and
+    an iteration's estimates, being products, grow until planning takes longer than the
+    work. A table has the size of its files.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(df.sparkSession)}/wordloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
