@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordloom.llm.decontaminate import contamination_digest
+from wordloom.llm.licenses import license_digest
 from wordloom.llm.mixing import mixing_digest
+from wordloom.llm.pii import pii_digest
 from wordloom.llm.sharding import sharding_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_digest(table(spark, folder, "documents"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing_digest(table(spark, folder, "documents"))
 
@@ -24,8 +35,15 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding_digest(table(spark, folder, "documents"))
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
     "op6_mixing": op6_mixing,
     "op8_sharding": op8_sharding,
+    "op9_licenses": op9_licenses,
 }
 ORACLE: dict[str, str] = {}
