@@ -14,6 +14,8 @@ BANDS = 32
 SEED = 7
 PROBES = 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Odd factors, so that a sum of mixed hashes depends on their order.
+FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -40,8 +42,9 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     width = min(size, count)
     rolled = np.full(count - width + 1, width, np.uint64)
     for k in range(width):
-        rolled = mixed((rolled + MIX[0]) ^ hashes[k : count - width + 1 + k])
-    return np.unique(rolled)
+        rolled += hashes[k : count - width + 1 + k] * FACTORS[k]
+    rolled = np.sort(mixed(rolled))
+    return rolled[np.concatenate(([True], rolled[1:] != rolled[:-1]))]
 
 
 @cache
@@ -75,7 +78,5 @@ def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
 def band_hashes(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One hash for each band of the signature."""
     rows = values[: len(values) // bands * bands].reshape(bands, -1)
-    rolled = np.arange(1, bands + 1, dtype=np.uint64) * MIX[0]
-    for k in range(rows.shape[1]):
-        rolled = mixed((rolled + MIX[0]) ^ rows[:, k])
-    return rolled
+    width = rows.shape[1]
+    return mixed(mixed(rows).dot(FACTORS[:width]) + np.arange(1, bands + 1, dtype=np.uint64) * MIX[0])
