@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.decontaminate import contamination_digest
 from wordloom.llm.licenses import license_digest
+from wordloom.llm.minhash import near_duplicates
 from wordloom.llm.mixing import mixing_digest
 from wordloom.llm.pii import pii_digest
 from wordloom.llm.sharding import sharding_digest
@@ -19,6 +20,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -40,6 +45,7 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op6_mixing": op6_mixing,

@@ -49,8 +49,8 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
 
 @cache
 def probes(bins: int) -> np.ndarray:
-    """Bins that an empty bin looks at, one column each, the same for every document."""
-    return np.random.default_rng(SEED).integers(0, bins, (PROBES * bins // 4, bins))
+    """Bins that an empty bin looks at in turn, one column each, the same for every document."""
+    return np.random.default_rng(SEED).integers(0, bins, (PROBES * PROBES, bins)).astype(np.int16)
 
 
 def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
