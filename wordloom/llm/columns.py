@@ -49,3 +49,11 @@ def with_offsets(counts: DataFrame, groups: list[str], key: str, count: str, off
     summed = chunked.withColumn("wl_inside", F.coalesce(F.sum(count).over(inside), F.lit(0)))
     joined = summed.join(chunks, [*groups, "wl_chunk"])
     return joined.withColumn(offset, F.col("wl_before") + F.col("wl_inside")).drop("wl_before", "wl_inside", "wl_chunk")
+
+
+def row_keys() -> list[Column]:
+    """``wl_key, wl_key2``: two digests of a row's ``doc_id`` and ``text``, by which results find their rows."""
+    return [
+        F.xxhash64("doc_id", "text").alias("wl_key"),
+        F.xxhash64("text", "doc_id", F.lit(1)).alias("wl_key2"),
+    ]

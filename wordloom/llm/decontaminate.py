@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.columns import ascii_lower
+from wordloom.llm.columns import ascii_lower, row_keys
 from wordloom.session import checkpoint
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,8 +56,7 @@ def build_index(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFram
     listed = F.concat(words(F.col("text")), F.array(F.lit("")))
     keyed = docs.select(
         "doc_id",
-        F.xxhash64("doc_id", "text").alias("wl_key"),
-        F.xxhash64("text", "doc_id", F.lit(1)).alias("wl_key2"),
+        *row_keys(),
         listed.alias("wl_words"),
     )
     postings = keyed.select("doc_id", *KEY, F.posexplode("wl_words").alias("wl_pos", "wl_word")).join(vocabulary, "wl_word")
@@ -171,7 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows and columns of ``docs`` without documents that hold a window of an item."""
     hit = checkpoint(contamination(docs, items, window).where("n_hit > 0").select(*KEY).distinct())
-    keyed = docs.withColumn("wl_key", F.xxhash64("doc_id", "text")).withColumn("wl_key2", F.xxhash64("text", "doc_id", F.lit(1)))
+    keyed = docs.select("*", *row_keys())
     return keyed.join(hit, KEY, "left_anti").drop(*KEY)
 
 

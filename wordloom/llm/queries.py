@@ -12,6 +12,7 @@ from wordloom.llm.minhash import near_duplicates
 from wordloom.llm.mixing import mixing_digest
 from wordloom.llm.pii import pii_digest
 from wordloom.llm.sharding import sharding_digest
+from wordloom.llm.suffix_dedup import suffix_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,10 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(table(spark, folder, "documents"))
 
 
+def op5_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_digest(table(spark, folder, "documents"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing_digest(table(spark, folder, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
+    "op5_suffixes": op5_suffixes,
     "op6_mixing": op6_mixing,
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
