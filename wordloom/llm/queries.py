@@ -11,6 +11,7 @@ from wordloom.llm.licenses import license_digest
 from wordloom.llm.minhash import near_duplicates
 from wordloom.llm.mixing import mixing_digest
 from wordloom.llm.pii import pii_digest
+from wordloom.llm.quality import quality_digest
 from wordloom.llm.sharding import sharding_digest
 from wordloom.llm.suffix_dedup import suffix_digest
 
@@ -49,6 +50,10 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_digest(table(spark, folder, "documents"))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_decontamination": op3_decontamination,
@@ -57,5 +62,6 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
