@@ -20,6 +20,8 @@ WINDOW = 10
 # Proximity: how far a word may stand from its place, and how many of a window's words must be near.
 SLOP = 3
 NEAR_WORDS = 8
+# Postings of 2 ** STRETCH_BITS words of a document are looked up together.
+STRETCH_BITS = 7
 
 # The term of the posting that ends each document; its position is the number of words.
 END = -1
@@ -107,7 +109,11 @@ def exact_matches(index: DataFrame, places: DataFrame, window: int = WINDOW) ->
     covered = F.array_distinct(F.flatten(F.transform("wl_open", lambda w: F.sequence(w["wl_from"], w["wl_from"] + w["wl_length"] - 1))))
     wanted = aligned.select(*ALIGNED, "wl_open", F.explode(covered).alias("wl_place")).join(places, ["wl_item", "wl_place"])
     wanted = checkpoint(wanted.select(*ALIGNED, "wl_place", "wl_term", (F.col("wl_shift") + F.col("wl_place")).alias("wl_pos"), "wl_open"))
-    met = wanted.join(index.select(*KEY, "wl_pos", "wl_term"), [*KEY, "wl_pos", "wl_term"])
+    # Dealt by document and stretch of text, not by posting, so that a shuffled list names its document once.
+    stretch = F.shiftright("wl_pos", STRETCH_BITS)
+    lists = index.select(*KEY, F.col("wl_pos").alias("wl_at"), F.col("wl_term").alias("wl_held"), stretch.alias("wl_stretch"))
+    same = F.expr("wl_at - wl_pos = 0 and wl_held - wl_term = 0")
+    met = wanted.withColumn("wl_stretch", stretch).join(lists, [*KEY, "wl_stretch"]).where(same)
     rows = met.groupBy(*ALIGNED).agg(F.collect_set("wl_place").alias("wl_met"), F.first("wl_open").alias("wl_open"))
     span = lambda w: F.sequence(w["wl_from"], w["wl_from"] + w["wl_length"] - 1)
     whole = F.filter("wl_open", lambda w: F.size(F.array_except(span(w), F.col("wl_met"))) == 0)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.decontaminate import contamination_digest
+from wordloom.llm.lattice_dedup import vector_links
 from wordloom.llm.licenses import license_digest
 from wordloom.llm.minhash import near_duplicates
 from wordloom.llm.mixing import mixing_digest
@@ -42,6 +43,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing_digest(table(spark, folder, "documents"))
 
 
+def op7_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links(table(spark, folder, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding_digest(table(spark, folder, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op4_pii": op4_pii,
     "op5_suffixes": op5_suffixes,
     "op6_mixing": op6_mixing,
+    "op7_lattice": op7_lattice,
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
