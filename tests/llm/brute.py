@@ -131,3 +131,35 @@ def repeats(docs, width=200):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         rows.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return rows
+
+
+def lm_differences(docs, good, size=65_536, least=2, smoothing=0.5):
+    """docs: (doc_id, text), good: ids; doc_id: (n_tokens, mean of target loss less background loss)."""
+    import math
+    from collections import Counter
+
+    split = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for d, t in docs}
+    every = Counter(w for ws in split.values() for w in ws)
+    known = {w for w, c in sorted(every.items(), key=lambda x: -x[1])[:size] if c > 1}
+    coded = {d: [w if w in known else "" for w in ws] for d, ws in split.items()}
+    counts = []
+    for part in (list(coded), [d for d in coded if d in good]):
+        one = Counter({w: 0 for w in known | {""}})
+        two = Counter()
+        for d in part:
+            one.update(coded[d])
+            two.update(zip(coded[d], coded[d][1:], strict=False))
+        counts.append((one, two, sum(one.values())))
+    (b1, b2, bn), (t1, t2, tn) = counts
+    uni = lambda c, n, w: math.log((c[w] + smoothing) / (n + smoothing * (len(known) + 1)))
+    rows = {}
+    for d, ws in coded.items():
+        total = 0.0
+        for i, w in enumerate(ws):
+            pair = (ws[i - 1], w)
+            if i and b2[pair] >= least and t2[pair] >= least:
+                total += math.log(b2[pair] / b1[pair[0]]) - math.log(t2[pair] / t1[pair[0]])
+            else:
+                total += uni(b1, bn, w) - uni(t1, tn, w)
+        rows[d] = (len(ws), total / len(ws) if ws else None)
+    return rows

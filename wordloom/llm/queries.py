@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wordloom.llm.decontaminate import contamination_digest
 from wordloom.llm.lattice_dedup import vector_links
 from wordloom.llm.licenses import license_digest
+from wordloom.llm.lm_scoring import lm_digest
 from wordloom.llm.minhash import near_duplicates
 from wordloom.llm.mixing import mixing_digest
 from wordloom.llm.pii import pii_digest
@@ -27,6 +28,10 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -61,6 +66,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_suffixes": op5_suffixes,
