@@ -53,7 +53,7 @@ def test_hot_keys_change_nothing(spark, hot_share):
     )
     one = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("d"))
     plain = many.join(one, "k").groupBy("k", "v", "d").count()
-    found = join_detail(many, one, "k", hot_share, salts=4).groupBy("k", "v", "d").count()
+    found = join_detail(many, one, "k", hot_share).groupBy("k", "v", "d").count()
     assert sorted(map(tuple, found.select("k", "v", "d", "count").collect())) == sorted(map(tuple, plain.collect()))
 
 
@@ -95,3 +95,16 @@ def test_ranking_detail_repeats_links(spark):
     assert [tuple(r) for r in art.ranking_detail(ranking, articles, "href", "url").collect()] == [("u1", "A")] * 2
     kept = art.ranking_detail(ranking, articles, "href", "url", keep_rank_columns=True)
     assert kept.columns == ["href", "position", "url", "article"]
+
+
+def test_join_with_helper_names_and_maps(spark):
+    many = spark.sql("select 1 as k, 2 as salt, true as hot, map('a', 1) as m union all select 1, 3, false, map('b', 2)")
+    one = spark.sql("select 1 as k, 'x' as name")
+    rows = join_detail(many, one, "k").select("k", "salt", "hot", "m", "name").collect()
+    assert sorted((r["salt"], r["m"], r["name"]) for r in rows) == [(2, {"a": 1}, "x"), (3, {"b": 2}, "x")]
+
+
+def test_dedup_keeps_rows_with_null_order(spark):
+    table = spark.sql("select 'u1' as url, cast(null as int) as n, 'keep me' as text union all select 'u2', null, 'b' union all select 'u2', 5, 'a'")
+    rows = art.dedup_first(table, ["url"], ["n"]).collect()
+    assert sorted(map(tuple, rows), key=str) == [("u1", None, "keep me"), ("u2", 5, "a")]

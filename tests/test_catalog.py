@@ -1,10 +1,5 @@
-"""The registered queries against their SQL on the smallest tables.
+"""The registered queries against their SQL on the smallest tables."""
 
-The slowest, which are also tested against brute force on fixtures, run here only with
-``WORDLOOM_SLOW=1``; ``compare.py`` covers all of them.
-"""
-
-import os
 from pathlib import Path
 
 import duckdb
@@ -14,8 +9,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from compare import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"apsp_inverse", "cent_betweenness", "cent_closeness", "cent_eigenvector", "centrality_by"}
-SKIPPED = set() if os.environ.get("WORDLOOM_SLOW") else SLOW
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +19,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SKIPPED))
+@pytest.mark.parametrize("name", sorted(set(oracle_sql())))
 def test_query_equals_sql(spark, duck, name):
     df = queries()[name](spark, FOLDER)
     result = duck.execute(oracle_sql()[name])

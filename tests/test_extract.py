@@ -88,3 +88,25 @@ def test_url_parameters(spark):
     found = extract.url_params(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
     assert tuple(found[0])[1:] == ("001", "22", "read?mode=a&oid=001&aid=22&sid=3", "news001,22")
     assert tuple(found[1])[1:] == (None, None, "2019", None)
+
+
+def test_fields_of_any_tag(spark):
+    html = (
+        "<td class='t11'>2020.01.02. 10:00</td><h3 id='articleTitle'>T</h3>"
+        "<section id='articleBodyContents'>a <section>b</section> c</section> x"
+        "<p id='footer'><address>by <a href='#'>Paper</a></address></p>"
+    )
+    pages = spark.createDataFrame([("u", html)], "url string, html string")
+    row = extract.extract_articles(pages).first()
+    assert (row["pdate"], row["article"], row["pcompany"]) == ("2020.01.02.", "a b c", "Paper")
+
+
+def test_responses_that_cannot_be_read(spark):
+    bodies = ['{"code":500}', '[{"id":1,"content":"a"', '[{"id":1,"content":"a"}]', "[]", None, "oops"]
+    plain = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "url string, body string")
+    assert [(r["url"], r["content"]) for r in extract.extract_comments_json(plain).collect()] == [("2", "a")]
+    assert sorted(r["url"] for r in extract.rejected_json(plain).collect()) == ["0", "1", "4", "5"]
+    good = 'cb({"result":{"count":{"comment":1},"commentList":[{"contents":"a","sympathyCount":1,"antipathyCount":0}]}});'
+    wrapped = spark.createDataFrame([("0", good), ("1", good[:60]), ("2", 'cb({"code":500});')], "url string, body string")
+    assert [r["url"] for r in extract.extract_comments_jsonp(wrapped).collect()] == ["0"]
+    assert sorted(r["url"] for r in extract.rejected_jsonp(wrapped).collect()) == ["1", "2"]

@@ -74,9 +74,26 @@ def test_vocabulary(random_docs, random_texts):
 
 
 def test_vocabulary_cap(fruit):
-    for size in (0, terms.MAX_FEATURES_LIMIT + 1):
-        with pytest.raises(ValueError):
-            terms.vocab_pruned(fruit, max_features=size)
+    with pytest.raises(ValueError):
+        terms.vocab_pruned(fruit, max_features=0)
+    assert terms.vocab_pruned(fruit, max_features=1_000_000).count() == 4
+
+
+def test_vocabulary_of_several_tiles(spark, monkeypatch):
+    """More terms than the former ceiling, more tiles than a task holds."""
+    monkeypatch.setattr(cooc, "TASK_TILES", 3)
+    words = [f"w{i:05d}" for i in range(4500)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 4500, 25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocab = terms.vocab_pruned(docs, min_df=0.0, max_features=5000)
+    found = {(r["src"], r["dst"]): r["weight"] for r in cooc.cooccurrence(docs, vocab).collect()}
+    expected = Counter()
+    for text in texts:
+        listed = text.split()
+        for i, a in enumerate(listed):
+            for b in listed[i:]:
+                expected[a, b] += 1
+    assert found == expected
 
 
 @pytest.mark.parametrize("binary", [False, True])
@@ -149,3 +166,12 @@ def test_no_term_is_counted_twice_in_the_plan(fruit):
     """The tokens of a document are worked out once, not again for a filter below."""
     plan = terms.vocab_stats(fruit)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("ids", [["abc"], ["abc", "x1"]])
+def test_string_ids(spark, ids):
+    docs = spark.createDataFrame([(i, "a b c d e") for i in ids], "doc_id string, text string")
+    split = terms.split_single_document(docs)
+    assert dict(split.dtypes)["doc_id"] == "string"
+    expected = ["0", "1"] if len(ids) == 1 else ids
+    assert sorted(r["doc_id"] for r in split.collect()) == expected

@@ -17,24 +17,25 @@ _AMPERSAND = r"&amp;|&#0*38;|&#[xX]0*26;"
 
 @dataclass(frozen=True)
 class Selector:
-    """An element to find: tag name and, if given, one attribute it must carry.
+    """An element to find: tag name, ``None`` for any, and, if given, one attribute it must carry.
 
     ``attribute='class'`` matches one of the blank-separated class names; any other
     attribute must equal ``value``. ``inside`` narrows the search to another element.
     """
 
-    tag: str
+    tag: str | None
     attribute: str | None = None
     value: str | None = None
     inside: Selector | None = None
 
     def open_tag(self) -> str:
+        tag = self.tag or "[a-z][a-z0-9]*"
         if self.attribute is None:
-            return rf"<{self.tag}(?:\s[^>]*)?>"
+            return rf"<{tag}(?:\s[^>]*)?>"
         quoted = re.escape(self.value)
         if self.attribute == "class":
             quoted = rf"(?:[^\"'>]*\s)?{quoted}(?:\s[^\"'>]*)?"
-        return rf"<{self.tag}\s(?:[^>]*\s)?{self.attribute}\s*=\s*[\"']?{quoted}(?:[\"'\s][^>]*)?>"
+        return rf"<{tag}\s(?:[^>]*\s)?{self.attribute}\s*=\s*[\"']?{quoted}(?:[\"'\s][^>]*)?>"
 
 
 def visible_markup(html: Column) -> Column:
@@ -55,14 +56,15 @@ def element_markup(markup: Column, selector: Selector) -> Column:
         markup = element_markup(markup, selector.inside)
     from_element = F.nullif(F.regexp_extract(markup, f"(?is){selector.open_tag()}.*", 0), F.lit(""))
     after = F.regexp_replace(from_element, "^<[^>]*>", "")
-    # Every piece but the first starts with an open or a close tag of this name.
-    pieces = F.split(after, rf"(?i)(?=</?{selector.tag}[\s>])", -1)
+    # Every piece but the first starts with an open or a close tag, of this name if one is given.
+    pieces = F.split(after, rf"(?i)(?=</?{selector.tag or '[a-z][a-z0-9]*'}[\s>])", -1)
+    name = F.lit(selector.tag.lower()) if selector.tag else F.lower(F.regexp_extract(from_element, "^<([A-Za-z0-9]+)", 1))
 
-    def starts(piece: Column, text: str) -> Column:
-        return F.startswith(F.lower(F.substring(piece, 1, len(text))), F.lit(text.lower()))
+    def starts(piece: Column, mark: str) -> Column:
+        return F.lower(F.regexp_extract(piece, f"^{mark}([A-Za-z0-9]+)", 1)) == name
 
     def step(state: Column, piece: Column) -> Column:
-        change = F.when(starts(piece, f"</{selector.tag}"), -1).when(starts(piece, f"<{selector.tag}"), 1).otherwise(0)
+        change = F.when(starts(piece, "</"), -1).when(starts(piece, "<"), 1).otherwise(0)
         moved = F.named_struct(F.lit("seen"), state["seen"] + 1, F.lit("depth"), state["depth"] + change)
         return F.when(state["depth"] == 0, state).otherwise(moved)
 

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from wordloom.constants import RANKING_DEPTH
 from wordloom.operators.joins import join_detail
 
-ARTICLE_COLUMNS = ["pdate", "articleTitle", "article", "pcompany", "url", "aclass"]
-
 
 def search(
     table: DataFrame,
@@ -53,13 +51,15 @@ def union_articles(*tables: DataFrame) -> DataFrame:
 
 
 def dedup_first(table: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row, by ``order``, of each key.
+    """The first row, by ``order``, of each key; nulls come last, ties go by the rest of the row.
 
     An aggregate, not a window: every task reduces its own copies of a key to one row
     before the shuffle, so a key with very many copies does no harm.
     """
     others = [name for name in table.columns if name not in keys]
-    ranked = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    columns = [column for name in order for column in (F.isnull(name), F.col(name))]
+    tie = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    ranked = F.struct(*[column.alias(f"o{i}") for i, column in enumerate([*columns, tie])])
     kept = table.groupBy(*keys).agg(F.min_by(F.struct(*others), ranked).alias("first"))
     return kept.select(*[F.col(name) if name in keys else F.col("first")[name].alias(name) for name in table.columns])
 

@@ -58,7 +58,7 @@ def pagerank(
 ) -> DataFrame:
     """Weighted PageRank; stops once the ranks move less than ``tolerance`` per node."""
     directed = both_ways(edges)
-    degrees = F.broadcast(directed.groupBy("src").agg(F.sum("weight").alias("degree")))
+    degrees = directed.groupBy("src").agg(F.sum("weight").alias("degree"))
     moves = checkpoint(
         directed.join(degrees, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("share"))
     ).persist()
@@ -69,12 +69,12 @@ def pagerank(
     ranks = terms.select("term", F.lit(1.0 / size).alias("score"))
     for _ in range(max_rounds):
         incoming = (
-            moves.join(F.broadcast(ranks.withColumnRenamed("term", "src")), "src")
+            moves.join(ranks.withColumnRenamed("term", "src"), "src")
             .groupBy(F.col("dst").alias("term"))
             .agg((F.lit(alpha) * F.sum(F.col("share") * F.col("score")) + F.lit((1.0 - alpha) / size)).alias("next"))
         )
         moved = checkpoint(
-            incoming.join(F.broadcast(ranks), "term").select(
+            incoming.join(ranks, "term").select(
                 "term", F.col("next").alias("score"), F.abs(F.col("next") - F.col("score")).alias("change")
             )
         )
@@ -107,7 +107,7 @@ def eigenvector(edges: DataFrame) -> DataFrame:
     scores = graph.numbered.select("node", F.lit(graph.size**-0.5).alias("score"))
     for _ in range(EIGEN_SQUARINGS):
         sums = checkpoint(
-            tiles.row_sums(power, "m", lambda tile: tile).join(F.broadcast(scores.withColumnRenamed("score", "old")), "node")
+            tiles.row_sums(power, "m", lambda tile: tile).join(scores.withColumnRenamed("score", "old"), "node")
         )
         length, largest = sums.agg(F.sqrt(F.sum(F.col("total") * F.col("total"))), F.max("total")).first()
         moved = sums.agg(F.max(F.abs(F.col("total") / F.lit(length) - F.col("old")))).first()[0]

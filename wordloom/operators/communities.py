@@ -40,12 +40,12 @@ def communities(edges: DataFrame) -> DataFrame:
             return number_groups(members)
         # Communities take the place of nodes; a link inside one becomes a loop.
         members = checkpoint(
-            members.join(F.broadcast(level.withColumnRenamed("node", "label")), "label").select(
+            members.join(level.withColumnRenamed("node", "label"), "label").select(
                 "term", F.col("community").alias("label")
             )
         )
-        to_a = F.broadcast(level.select(F.col("node").alias("a"), F.col("community").alias("ca")))
-        to_b = F.broadcast(level.select(F.col("node").alias("b"), F.col("community").alias("cb")))
+        to_a = level.select(F.col("node").alias("a"), F.col("community").alias("ca"))
+        to_b = level.select(F.col("node").alias("b"), F.col("community").alias("cb"))
         links = checkpoint(
             links.join(to_a, "a").join(to_b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b"))
             .agg(F.sum("weight").alias("weight"))
@@ -58,7 +58,7 @@ def _one_level(links: DataFrame, twice_m: float) -> DataFrame | None:
     place = checkpoint(degrees.select("node", F.col("node").alias("community"), "degree", F.col("degree").alias("total")))
     moved = False
     while True:
-        moves = F.broadcast(_safe_moves(links, place, twice_m))
+        moves = _safe_moves(links, place, twice_m)
         following = place.join(moves, "node", "left").select(
             "node", F.coalesce("target", "community").alias("community"), "degree", F.col("target").isNotNull().alias("moves")
         )
@@ -76,10 +76,8 @@ def _safe_moves(links: DataFrame, place: DataFrame, twice_m: float) -> DataFrame
     ``place`` is ``(node, community, degree, total)``, ``total`` being the community's
     degrees taken together.
     """
-    of_neighbour = F.broadcast(
-        place.select(F.col("node").alias("b"), F.col("community").alias("target"), F.col("total").alias("target_total"))
-    )
-    own = F.broadcast(place.withColumnsRenamed({"community": "source", "total": "source_total"}))
+    of_neighbour = place.select(F.col("node").alias("b"), F.col("community").alias("target"), F.col("total").alias("target_total"))
+    own = place.withColumnsRenamed({"community": "source", "total": "source_total"})
     ties = (
         links.where(F.col("a") != F.col("b")).join(of_neighbour, "b")
         .groupBy(F.col("a").alias("node"), "target", "target_total")

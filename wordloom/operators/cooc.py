@@ -11,18 +11,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import tokenize
-from wordloom.operators.terms import MAX_FEATURES_LIMIT, term_runs
+from wordloom.operators.terms import term_runs, vocab_index
+from wordloom.session import checkpoint
 
-CELLS_SCHEMA = "src string, dst string, weight long"
-
-# Documents per dense block inside a task, and partial products per core of the cluster.
+# Documents per dense block inside a task, terms per side of a tile, and the tiles that a
+# task holds before it sends their cells on (256 MB of them).
 BLOCK_DOCS = 512
-TASKS_PER_CORE = 8
+TILE_TERMS = 512
+TASK_TILES = 128
 
 # Below this, sums of products of counts are exact in doubles.
 EXACT_DOUBLE = 2.0**53
 
 
+def tile_cells(tile: np.ndarray, row: int, column: int) -> Iterator[pa.RecordBatch]:
+    """Cells of a tile that are not 0, on and above the diagonal of the whole matrix."""
+    src, dst = np.nonzero(np.triu(tile) if row == column else tile)
+    values = tile[src, dst]
+    for first in range(0, len(src), 65536):
+        part = slice(first, first + 65536)
+        columns = [src[part] + row * TILE_TERMS, dst[part] + column * TILE_TERMS]
+        arrays = [*[pa.array(c.astype(np.int32)) for c in columns], pa.array(values[part])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "weight"])
+
+
 def cooccurrence(docs: DataFrame, vocab: DataFrame, binary: bool = False, min_token_len: int = 2) -> DataFrame:
     """Cells ``(src, dst, weight)`` with ``src <= dst`` and a weight above 0.
 
@@ -30,62 +42,57 @@ def cooccurrence(docs: DataFrame, vocab: DataFrame, binary: bool = False, min_to
     ``binary`` each term counts once a document. Cells with ``src = dst`` hold the
     terms' own strengths.
 
-    Every task adds its documents into one matrix of vocabulary size and emits that
-    matrix once, so what is shuffled is at most ``tasks * terms ** 2 / 2`` cells however
-    many pairs the documents hold, and no document's pairs are ever listed. The
-    vocabulary, at most ``MAX_FEATURES_LIMIT`` words, is read to the driver to be part
-    of the plan.
+    Every task adds its documents into tiles of the matrix and sends a tile's cells on
+    when it ends, or when it holds ``TASK_TILES`` tiles; no document's pairs are listed.
+    A vocabulary of up to about 7,500 terms is held whole, so that a task sends every cell
+    once; a larger one is not limited, only sent in parts. The vocabulary, as large as its
+    parameter says, goes to the tasks by a broadcast variable.
     """
     spark = docs.sparkSession
-    terms = sorted(row["term"] for row in vocab.select("term").limit(MAX_FEATURES_LIMIT + 1).collect())
-    if len(terms) > MAX_FEATURES_LIMIT:
-        raise ValueError(f"a vocabulary may have at most {MAX_FEATURES_LIMIT} terms")
-    if not terms:
-        return spark.createDataFrame([], CELLS_SCHEMA)
+    numbers = checkpoint(vocab_index(vocab.select("term")))
+    terms = [row["term"] for row in numbers.orderBy("idx").collect()]
+    known = spark.sparkContext.broadcast(terms)
 
     def partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(terms)
-        lookup = pa.array(terms, pa.string())
-        total = np.zeros((size, size), dtype=np.int64)
+        lookup = pa.array(known.value, pa.string())
+        tiles: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             lists = batch.column(0)
             postings = lists.flatten()
             rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            cols = pc.index_in(postings.field("term"), value_set=lookup).to_numpy()
-            counts = postings.field("tf").to_numpy()
+            found = pc.index_in(postings.field("term"), value_set=lookup)
+            held = found.is_valid().to_numpy(zero_copy_only=False)
+            rows, cols = rows[held], found.drop_null().to_numpy()
+            counts = postings.field("tf").to_numpy()[held]
             for first in range(0, len(lists), BLOCK_DOCS):
                 lo, hi = np.searchsorted(rows, [first, first + BLOCK_DOCS])
                 if lo == hi:
                     continue
-                block = np.zeros((BLOCK_DOCS, size))
-                block[rows[lo:hi] - first, cols[lo:hi]] = counts[lo:hi]
-                if np.square(block).sum() < EXACT_DOUBLE:
-                    total += (block.T @ block).astype(np.int64)
-                else:
-                    whole = block.astype(np.int64)
-                    total += whole.T @ whole
-        src, dst = np.nonzero(np.triu(total))
-        for first in range(0, len(src), 65536):
-            part = slice(first, first + 65536)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(src[part].astype(np.int32)),
-                    pa.array(dst[part].astype(np.int32)),
-                    pa.array(total[src[part], dst[part]]),
-                ],
-                names=["i", "j", "weight"],
-            )
-
-    known = F.filter(tokenize(F.col("text"), min_token_len), lambda token: token.isin(terms))
-    runs = term_runs(docs, F.array_distinct(known) if binary else known).select("terms")
-    cells = (
-        runs.coalesce(spark.sparkContext.defaultParallelism * TASKS_PER_CORE)
-        .mapInArrow(partial_products, "i int, j int, weight long")
-        .groupBy("i", "j")
-        .agg(F.sum("weight").alias("weight"))
-    )
-    names = F.array(*[F.lit(term) for term in terms])
-    return cells.select(F.get(names, F.col("i")).alias("src"), F.get(names, F.col("j")).alias("dst"), "weight")
+                strips: dict[int, np.ndarray] = {}
+                strip_of = cols[lo:hi] // TILE_TERMS
+                kind = np.float64 if np.square(counts[lo:hi].astype(float)).sum() < EXACT_DOUBLE else np.int64
+                for strip in np.unique(strip_of):
+                    at = np.flatnonzero(strip_of == strip) + lo
+                    strips[int(strip)] = block = np.zeros((BLOCK_DOCS, TILE_TERMS), kind)
+                    block[rows[at] - first, cols[at] - strip * TILE_TERMS] = counts[at]
+                for row in strips:
+                    for column in strips:
+                        if row <= column:
+                            if (row, column) not in tiles and len(tiles) >= TASK_TILES:
+                                for place, tile in tiles.items():
+                                    yield from tile_cells(tile, *place)
+                                tiles = {}
+                            tile = tiles.setdefault((row, column), np.zeros((TILE_TERMS, TILE_TERMS), np.int64))
+                            tile += (strips[row].T @ strips[column]).astype(np.int64)
+        for place, tile in tiles.items():
+            yield from tile_cells(tile, *place)
+
+    tokens = tokenize(F.col("text"), min_token_len)
+    runs = term_runs(docs, F.array_distinct(tokens) if binary else tokens).select("terms")
+    cells = runs.mapInArrow(partial_products, "i int, j int, weight long").groupBy("i", "j").agg(F.sum("weight").alias("weight"))
+    src = numbers.select(F.col("idx").alias("i"), F.col("term").alias("src"))
+    dst = numbers.select(F.col("idx").alias("j"), F.col("term").alias("dst"))
+    return cells.join(src, "i").join(dst, "j").select("src", "dst", "weight")
 
 
 def edges_above(cells: DataFrame, min_count: int = 0) -> DataFrame:

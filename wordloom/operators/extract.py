@@ -21,11 +21,11 @@ Rule = Callable[[Column], Column]
 
 # Where the portal's article pages keep each field.
 ARTICLE_RULES: dict[str, Rule] = {
-    "pdate": lambda page: F.substring(element_text(page, Selector("span", "class", "t11")), 1, 11),
+    "pdate": lambda page: F.substring(element_text(page, Selector(None, "class", "t11")), 1, 11),
     "articleTitle": lambda page: element_text(page, Selector("h3", "id", "articleTitle")),
-    "article": lambda page: normalise_body(element_text(page, Selector("div", "id", "articleBodyContents"))),
+    "article": lambda page: normalise_body(element_text(page, Selector(None, "id", "articleBodyContents"))),
     "pcompany": lambda page: element_text(
-        page, Selector("a", inside=Selector("address", inside=Selector("div", "id", "footer")))
+        page, Selector("a", inside=Selector("address", inside=Selector(None, "id", "footer")))
     ),
     "aclass": lambda page: element_text(page, Selector("em", "class", "guide_categorization_item")),
 }
@@ -147,13 +147,35 @@ def _parsed_jsonp(responses: DataFrame) -> DataFrame:
 
 
 def extract_comments_jsonp(responses: DataFrame) -> DataFrame:
-    """``(url, comment, sympathyCount, antipathyCount)`` of ``responses(url, body)``."""
+    """``(url, comment, sympathyCount, antipathyCount)`` of ``responses(url, body)``.
+
+    Responses that cannot be read give no row; see ``rejected_jsonp``.
+    """
     exploded = _parsed_jsonp(responses).select("url", F.explode_outer("result.commentList").alias("c"))
     return exploded.where(F.col("c").isNotNull()).select(
         "url", F.col("c.contents").alias("comment"), "c.sympathyCount", "c.antipathyCount"
     )
 
 
+def rejected_jsonp(responses: DataFrame) -> DataFrame:
+    """Script-wrapped responses that hold no readable result, cut off ones for instance: ``(url, body)``."""
+    parsed = F.from_json(unwrap_callback(F.col("body")), JSONP_SCHEMA)["result"]
+    return responses.where(parsed.isNull()).select("url", "body")
+
+
+def _json_list(body: Column) -> Column:
+    """The comments of a plain response; null unless it is one whole JSON list.
+
+    The reader takes a lone object for a list of one, so the bracket is asked for.
+    """
+    return F.when(body.rlike(r"^\s*\["), F.from_json(body, JSON_SCHEMA))
+
+
+def rejected_json(responses: DataFrame) -> DataFrame:
+    """Plain responses that are no whole list of comments: ``(url, body)``."""
+    return responses.where(_json_list(F.col("body")).isNull()).select("url", "body")
+
+
 def comment_completeness(responses: DataFrame) -> DataFrame:
     """Comments announced against comments landed: ``(url, announced, landed, complete)``."""
     sizes = _parsed_jsonp(responses).select(
@@ -166,8 +188,11 @@ def comment_completeness(responses: DataFrame) -> DataFrame:
 
 
 def parse_comments_json(responses: DataFrame) -> DataFrame:
-    """All fields of the plain responses ``(url, body)``, one row per comment."""
-    parsed = responses.select("url", F.from_json("body", JSON_SCHEMA).alias("comments"))
+    """All fields of the plain responses ``(url, body)``, one row per comment.
+
+    Responses that are no whole list give no row; see ``rejected_json``.
+    """
+    parsed = responses.select("url", _json_list(F.col("body")).alias("comments"))
     exploded = parsed.select("url", F.explode_outer("comments").alias("c")).where(F.col("c").isNotNull())
     return exploded.select("url", "c.*")
 

@@ -1,12 +1,12 @@
 """Operators on a keyword graph: ``nodes(term, weight)`` and ``edges(src, dst, weight)``.
 
-Graph tables are bounded by the vocabulary cap: at most ``MAX_FEATURES_LIMIT`` nodes.
-Node tables are therefore broadcast in joins.
+Joins leave the choice to Spark, which knows the size of written tables: small node tables
+are broadcast, large ones shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.constants import (
@@ -20,6 +20,7 @@ from wordloom.constants import (
 from wordloom.operators import centrality
 from wordloom.operators.cooc import drop_isolated
 from wordloom.operators.terms import SORT_DECIMALS
+from wordloom.session import numbered
 
 
 def centrality_by(edges: DataFrame, sort_by: str) -> DataFrame | None:
@@ -46,7 +47,7 @@ def top_terms(scores: DataFrame, top_n: int = TOP_N) -> DataFrame:
 
 def subgraph(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges whose ends are both in ``kept(term)``."""
-    terms = F.broadcast(kept.select("term"))
+    terms = kept.select("term")
     return (
         edges.join(terms.withColumnRenamed("term", "src"), "src", "left_semi")
         .join(terms.withColumnRenamed("term", "dst"), "dst", "left_semi")
@@ -89,14 +90,14 @@ def threshold_graph(
 
 def group_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges with the group of their first end."""
-    of_src = F.broadcast(groups.select(F.col("term").alias("src"), "group"))
+    of_src = groups.select(F.col("term").alias("src"), "group")
     return edges.join(of_src, "src").select(*edges.columns, "group")
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Modularity of a partition ``groups(term, group)``: one row ``(modularity)``."""
-    of_src = F.broadcast(groups.select(F.col("term").alias("src"), F.col("group").alias("src_group")))
-    of_dst = F.broadcast(groups.select(F.col("term").alias("dst"), F.col("group").alias("dst_group")))
+    of_src = groups.select(F.col("term").alias("src"), F.col("group").alias("src_group"))
+    of_dst = groups.select(F.col("term").alias("dst"), F.col("group").alias("dst_group"))
     ends = (
         edges.join(of_src, "src").join(of_dst, "dst")
         .select(
@@ -125,8 +126,8 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
 def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph as one node-link JSON object, in a one-row table ``(json)``.
 
-    One string holds the whole graph, which the vocabulary cap bounds; larger uses
-    should write the two tables instead.
+    One string holds the whole graph, so this is for graphs of a few thousand links, such
+    as those of a top-n; ``node_link_lines`` is for any size.
     """
     node_list = nodes.agg(
         F.array_sort(F.collect_list(F.struct(F.col("term").alias("id"), "weight", "group"))).alias("nodes")
@@ -153,11 +154,32 @@ def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def number_groups(labels: DataFrame) -> DataFrame:
-    """Groups ``(term, label)`` renumbered from 0 by their smallest term: ``(term, group)``.
+def node_link_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph as the lines of one node-link JSON document: ``(part, first, second, line)``.
 
-    The unpartitioned window is over at most one row per vocabulary term.
+    The lines in order of the other columns are the document: an opening, one node or link
+    a line, a closing. A comma stands before every node and link but the first of its list,
+    so no row needs to know the end of its list, and no row or task holds the whole graph.
     """
+    spark = nodes.sparkSession
+    node = F.to_json(F.struct(F.col("term").alias("id"), "weight", "group"))
+    link = F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "weight", "nor_weight", "group"))
+    first_node = nodes.agg(F.min("term")).scalar()
+    first_link = edges.agg(F.min(F.struct("src", "dst"))).scalar()
+    comma = lambda key, first: F.when(key == first, "").otherwise(",")
+    node_rows = nodes.select(
+        F.lit(1).alias("part"), F.col("term").alias("first"), F.lit("").alias("second"), F.concat(comma(F.col("term"), first_node), node).alias("line")
+    )
+    link_rows = edges.select(
+        F.lit(3).alias("part"), F.col("src").alias("first"), F.col("dst").alias("second"), F.concat(comma(F.struct("src", "dst"), first_link), link).alias("line")
+    )
+    frame = [(0, '{"directed":false,"multigraph":false,"graph":{},"nodes":['), (2, '],"links":['), (4, "]}")]
+    frame_rows = spark.createDataFrame([(part, "", "", line) for part, line in frame], "part int, first string, second string, line string")
+    return frame_rows.unionByName(node_rows).unionByName(link_rows)
+
+
+def number_groups(labels: DataFrame) -> DataFrame:
+    """Groups ``(term, label)`` renumbered from 0 by their smallest term: ``(term, group)``."""
     firsts = labels.groupBy("label").agg(F.min("term").alias("first"))
-    numbered = firsts.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("group"))
-    return labels.join(F.broadcast(numbered), "label").select("term", "group")
+    groups = numbered(firsts, "first", "group").select("label", F.col("group").cast("long").alias("group"))
+    return labels.join(groups, "label").select("term", "group")

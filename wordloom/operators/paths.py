@@ -122,7 +122,7 @@ def distance_pairs(graph: TiledGraph) -> DataFrame:
                 yield pd.DataFrame({"a": bi * TILE + row, "b": bj * TILE + col, "dist": dist[row, col]})
 
     pairs = shortest_distances(graph).where("bi <= bj").mapInPandas(cells, "a int, b int, dist double").where("a < b")
-    number = F.broadcast(graph.numbered)
+    number = graph.numbered
     return (
         pairs.join(number.select(F.col("node").alias("a"), F.col("term").alias("src")), "a")
         .join(number.select(F.col("node").alias("b"), F.col("term").alias("dst")), "b")

@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from wordloom.constants import MAX_FEATURES, MIN_DF, STOP_WORDS, TFIDF_ROWS
 from wordloom.functions.text import text_halves, tokenize
-
-# The graph side of the library keeps tables of max_features squared, so the cap is
-# itself capped; this also proves the size of every vocabulary that is broadcast.
-MAX_FEATURES_LIMIT = 4096
+from wordloom.session import numbered
 
 # Decimals kept when sorting by a float score, so that the order does not depend on
 # the order of summation.
@@ -85,18 +82,15 @@ def vocab_pruned(
     docs: DataFrame, min_df: float = MIN_DF, max_features: int = MAX_FEATURES, min_token_len: int = 2
 ) -> DataFrame:
     """Terms in at least ``min_df`` of the documents, the most frequent ``max_features``."""
-    if not 1 <= max_features <= MAX_FEATURES_LIMIT:
-        raise ValueError(f"max_features must be between 1 and {MAX_FEATURES_LIMIT}")
+    if max_features < 1:
+        raise ValueError("max_features must be 1 or more")
     frequent = vocab_stats(docs, min_token_len).where(F.col("df") >= F.lit(float(min_df)) * document_count(docs))
     return frequent.orderBy(F.desc("cf"), "term").limit(max_features)
 
 
 def vocab_index(vocab: DataFrame) -> DataFrame:
-    """The vocabulary with alphabetical positions ``idx`` from 0.
-
-    The unpartitioned window is over a vocabulary of at most ``max_features`` rows.
-    """
-    return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    """The vocabulary with alphabetical positions ``idx`` from 0."""
+    return numbered(vocab, "term", "idx")
 
 
 def term_idf(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
@@ -160,12 +154,13 @@ def tfidf_json(table: DataFrame) -> DataFrame:
 def split_single_document(docs: DataFrame) -> DataFrame:
     """If the corpus is one document, its two halves as two documents; else the corpus.
 
-    The halves get the ids ``0`` and ``1``.
+    The halves get the ids ``0`` and ``1``, in the type that ``doc_id`` has.
     """
     single = document_count(docs) == 1
+    kind = docs.schema["doc_id"].dataType
     parts = F.when(single, text_halves(F.col("text"))).otherwise(F.array("text"))
     return docs.select("doc_id", F.posexplode_outer(parts).alias("half", "text")).select(
-        F.when(single, F.col("half").cast("long")).otherwise(F.col("doc_id")).alias("doc_id"), "text"
+        F.when(single, F.col("half").cast(kind)).otherwise(F.col("doc_id")).alias("doc_id"), "text"
     )
 
 

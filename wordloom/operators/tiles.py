@@ -12,10 +12,10 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, GroupedData, Window
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from wordloom.session import checkpoint
+from wordloom.session import checkpoint, numbered
 
 TILE = 256
 
@@ -32,9 +32,9 @@ class TiledGraph:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        """``(term, node)``; the unpartitioned window is over the bounded vocabulary."""
+        """``(term, node)``, nodes in order of terms from 0."""
         terms = self._edges.select(F.explode(F.array("src", "dst")).alias("term")).distinct()
-        return checkpoint(terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("node")))
+        return checkpoint(numbered(terms, "term", "node"))
 
     @cached_property
     def size(self) -> int:
@@ -47,7 +47,7 @@ class TiledGraph:
 
     def tiles(self, absent: float, diagonal: float) -> DataFrame:
         """The matrix of edge weights as ``(bi, bj, m)``, every tile present."""
-        number = F.broadcast(self.numbered)
+        number = self.numbered
         ends = (
             self._edges.join(number.select(F.col("term").alias("src"), F.col("node").alias("a")), "src")
             .join(number.select(F.col("term").alias("dst"), F.col("node").alias("b")), "dst")
@@ -87,7 +87,7 @@ class TiledGraph:
 
     def with_terms(self, scores: DataFrame) -> DataFrame:
         """``(node, score)`` as ``(term, score)``; terms without a score get 0."""
-        return self.numbered.join(F.broadcast(scores), "node", "left").select(
+        return self.numbered.join(scores, "node", "left").select(
             "term", F.coalesce("score", F.lit(0.0)).alias("score")
         )
 

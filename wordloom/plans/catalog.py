@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.constants import COMMENT_PAGE_SIZE, PIPELINE_THRESHOLD, TOP_N
+from wordloom.constants import COMMENT_PAGE_SIZE, MEASURES, PIPELINE_THRESHOLD, TOP_N
 from wordloom.functions.html import Selector, element_text, html_to_text, visible_markup
 from wordloom.functions.text import clean_text, normalise_body, normalise_date, parse_date, text_halves, tokenize
 from wordloom.operators import articles as art
@@ -31,7 +31,6 @@ SEARCH_WORD = "tion"
 SEARCH_EVENT = "purchase"
 SEARCH_DAYS = ("2024-01-05", "2024-01-20")
 AS_OF = "2024-01-10"
-FAVOUR_ROWS = 20
 MIN_COUNT = 50
 
 QUERIES: dict[str, Query] = {}
@@ -222,11 +221,15 @@ def cent_eigenvector(spark, folder):
 @query("centrality_by")
 def centrality_by(spark, folder):
     edges = _edges(spark, folder)
-    tables = [
-        graph.centrality_by(edges, name).select(F.lit(name).alias("measure"), "term", F.round("score", 9).alias("score"))
-        for name in ["weighted_degree", "pagerank"]
-    ]
-    return tables[0].unionByName(tables[1])
+    rows = None
+    for name in MEASURES:
+        scores = graph.centrality_by(edges, name)
+        if scores is None:  # frequency has none
+            continue
+        decimals = 9 if name in ("weighted_degree", "pagerank") else DECIMALS
+        scores = scores.select(F.lit(name).alias("measure"), "term", F.round("score", decimals).alias("score"))
+        rows = scores if rows is None else rows.unionByName(scores)
+    return rows
 
 
 @query("graph_top_n")
@@ -248,8 +251,8 @@ def edge_nor_weight(spark, folder):
 @query("graph_attributed")
 def graph_attributed(spark, folder):
     nodes, edges = _top_graph(spark, folder)
-    of_src = F.broadcast(nodes.select(F.col("term").alias("src"), F.col("weight").alias("src_weight")))
-    of_dst = F.broadcast(nodes.select(F.col("term").alias("dst"), F.col("weight").alias("dst_weight")))
+    of_src = nodes.select(F.col("term").alias("src"), F.col("weight").alias("src_weight"))
+    of_dst = nodes.select(F.col("term").alias("dst"), F.col("weight").alias("dst_weight"))
     return edges.join(of_src, "src").join(of_dst, "dst").select(
         "src", "dst", "weight", rounded("nor_weight"), rounded("src_weight"), rounded("dst_weight")
     )
@@ -262,19 +265,19 @@ def graph_threshold(spark, folder):
     ends = kept_edges.select(F.explode(F.array("src", "dst")).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_edges")
     )
-    return kept_nodes.join(F.broadcast(ends), "term").select("term", rounded("weight"), "n_edges")
+    return kept_nodes.join(ends, "term").select("term", rounded("weight"), "n_edges")
 
 
 @query("modularity")
 def modularity(spark, folder):
-    nodes, edges = _top_graph(spark, folder)
-    return graph.modularity(edges, _by_first_letter(nodes)).select(rounded("modularity"))
+    edges = _edges(spark, folder)
+    return graph.modularity(edges, _by_first_letter(cooc.endpoints(edges))).select(rounded("modularity"))
 
 
 @query("edge_group")
 def edge_group(spark, folder):
-    nodes, edges = _top_graph(spark, folder)
-    return graph.group_edges(edges, _by_first_letter(nodes)).select("src", "dst", "weight", "group")
+    edges = _edges(spark, folder)
+    return graph.group_edges(edges, _by_first_letter(cooc.endpoints(edges))).select("src", "dst", "weight", "group")
 
 
 @query("graph_node_link")
@@ -282,11 +285,19 @@ def graph_node_link(spark, folder):
     nodes, edges = _top_graph(spark, folder)
     kept_nodes, kept_edges = graph.threshold_graph(nodes, edges, PIPELINE_THRESHOLD)
     groups = _by_first_letter(kept_nodes)
-    grouped = kept_nodes.join(F.broadcast(groups), "term").select("term", rounded("weight"), "group")
+    grouped = kept_nodes.join(groups, "term").select("term", rounded("weight"), "group")
     links = graph.group_edges(kept_edges, groups).withColumn("nor_weight", F.round("nor_weight", DECIMALS))
     return graph.node_link_json(grouped, links)
 
 
+@query("graph_node_link_lines")
+def graph_node_link_lines(spark, folder):
+    edges = graph.scale_edges(_edges(spark, folder)).withColumn("nor_weight", F.col("nor_weight").cast("decimal(12,6)"))
+    groups = _by_first_letter(cooc.endpoints(edges))
+    nodes = groups.withColumn("weight", F.length("term"))
+    return graph.node_link_lines(nodes, graph.group_edges(edges, groups))
+
+
 @query("communities")
 def louvain(spark, folder):
     _, edges = _top_graph(spark, folder)
@@ -415,7 +426,7 @@ def top_level_comments(spark, folder):
 @query("comments_by_favour")
 def comments_by_favour(spark, folder):
     events = read_table(spark, folder, "events").select("user_id", "event_id", "value")
-    return art.by_favour(events, "value", ["event_id"], per=["user_id"], limit=FAVOUR_ROWS)
+    return art.by_favour(events, "value", ["event_id"], per=["user_id"])
 
 
 @query("article_comments")
@@ -460,8 +471,8 @@ def dedup_first(spark, folder):
 @query("union_articles")
 def union_articles(spark, folder):
     docs = read_table(spark, folder, "documents")
-    first = docs.where("source = 'src1'").select("doc_id", "text", "lang")
-    second = docs.where("source = 'src2'").select("doc_id", "text")
+    first = docs.where("source <= 'src15'").select("doc_id", "text", "lang")
+    second = docs.where("source > 'src15' or source is null").select("doc_id", "text")
     return art.union_articles(first, second)
 
 

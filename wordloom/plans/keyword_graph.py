@@ -61,7 +61,7 @@ def top_graph(cells: DataFrame, sort_by: str, top_n: int, min_count: int = 0) ->
         nodes = drop_isolated(nodes, edges)
     else:
         kept = checkpoint(top_terms(scores, top_n))
-        nodes = nodes.join(F.broadcast(kept.select("term")), "term", "left_semi")
+        nodes = nodes.join(kept.select("term"), "term", "left_semi")
         edges = subgraph(edges, kept)
     return checkpoint(nodes), checkpoint(scale_edges(edges).drop("width"))
 
@@ -83,5 +83,5 @@ def keyword_graph(
     kept_nodes, kept_edges = threshold_graph(nodes, edges, above_weight)
     groups = communities(kept_edges)
     return KeywordGraph(
-        nodes, edges, kept_nodes.join(F.broadcast(groups), "term"), group_edges(kept_edges, groups)
+        nodes, edges, kept_nodes.join(groups, "term"), group_edges(kept_edges, groups)
     )

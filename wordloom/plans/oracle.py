@@ -12,7 +12,6 @@ from wordloom.constants import (
 from wordloom.plans.catalog import (
     AS_OF,
     ENGLISH_STOP_WORDS,
-    FAVOUR_ROWS,
     MIN_COUNT,
     SEARCH_DAYS,
     SEARCH_EVENT,
@@ -289,10 +288,6 @@ ORACLE: dict[str, str] = {
     "cent_eigenvector": f"""
         with recursive {cells()} {EIGENVECTOR}, last as (select term, x from powers where round = 150)
         select term, round(x / sqrt((select sum(x * x) from last)), 6) as score from last""",
-    "centrality_by": f"""
-        with recursive {cells()} {PAGERANK}
-        select 'weighted_degree' as measure, term, round(score, 9) as score from degree
-        union all select 'pagerank', term, round(score, 9) from pagerank""",
     "graph_top_n": f"with {cells()} {TOP} select src, dst, weight from top_edges",
     "edge_p75_scale": f"""
         with {cells()} {SCALE.format(edges='edges')} select src, dst, weight, round(width, 6) as width from scaled""",
@@ -308,14 +303,24 @@ ORACLE: dict[str, str] = {
         with {cells()} {TOP} {SCALE.format(edges='top_edges')} {THRESHOLD}
         select term, round(weight, 6) as weight, n_edges from kept_nodes""",
     "modularity": f"""
-        with {cells()} {TOP},
-        parts as (select weight, ord(src) as a, ord(dst) as b from top_edges),
+        with {cells()},
+        parts as (select weight, ord(src) as a, ord(dst) as b from edges),
         sums as (select g, sum(weight) as total, sum(if(inner_edge, weight, 0)) as inside from (
             select a as g, weight, a = b as inner_edge from parts
             union all select b, weight, a = b from parts) group by g),
         whole as (select sum(total)::double as m2 from sums)
         select round(sum(inside / m2 - (total / m2) * (total / m2)), 6) as modularity from sums, whole""",
-    "edge_group": f"with {cells()} {TOP} select src, dst, weight, ord(src)::bigint as \"group\" from top_edges",
+    "edge_group": f"with {cells()} select src, dst, weight, ord(src)::bigint as \"group\" from edges",
+    "graph_node_link_lines": f"""
+        with {cells()} {SCALE.format(edges='edges')},
+        ends as (select src as term from edges union select dst from edges)
+        select * from (values (0, '', '', '{{"directed":false,"multigraph":false,"graph":{{}},"nodes":['),
+            (2, '', '', '],"links":['), (4, '', '', ']}}')) f(part, first, second, line)
+        union all select 1, term, '', if(term = (select min(term) from ends), '', ',')
+            || '{{"id":"' || term || '","weight":' || length(term) || ',"group":' || ord(term) || '}}' from ends
+        union all select 3, src, dst, if((src, dst) = (select min((src, dst)) from edges), '', ',')
+            || '{{"source":"' || src || '","target":"' || dst || '","weight":' || weight
+            || ',"nor_weight":' || nor_weight::decimal(12,6) || ',"group":' || ord(src) || '}}' from scaled""",
     "graph_node_link": f"""
         with {cells()} {TOP} {SCALE.format(edges='top_edges')} {THRESHOLD},
         n as (select string_agg('{{"id":"' || term || '","weight":' || round(weight, 6)
@@ -362,9 +367,7 @@ ORACLE: dict[str, str] = {
         select url, count(*)::bigint as announced, count(*)::bigint as landed, true as complete from comments group by url""",
     "top_level_comments": f"with {COMMENTS} select url, id, text as content from comments where parent = 0",
     "comments_by_favour": f"""
-        select * from (select user_id, event_id, value,
-            row_number() over (partition by user_id order by value desc, event_id)::integer as position from events)
-        where position <= {FAVOUR_ROWS}""",
+        select user_id, event_id, value from events order by user_id, value desc, event_id""",
     "article_comments": """
         select c.conv_id, a.text as article, c.turn, c.text as comment
         from conversations a join conversations c using (conv_id) where a.turn = 0 and c.turn > 0""",
@@ -379,8 +382,8 @@ ORACLE: dict[str, str] = {
         select doc_id, text, lang, source from (
             select *, row_number() over (partition by text order by doc_id) as rn from documents) where rn = 1""",
     "union_articles": """
-        select doc_id, text, lang from documents where source = 'src1'
-        union all select doc_id, text, null from documents where source = 'src2'""",
+        select doc_id, text, lang from documents where source <= 'src15'
+        union all select doc_id, text, null from documents where source > 'src15' or source is null""",
     "daily_top5": rankings(),
     "week_days": """
         with last as (select max(ts)::date as as_of from events)
@@ -389,3 +392,14 @@ ORACLE: dict[str, str] = {
     "week_rank_detail": f"""
         select r.*, c_custkey, c_name, c_mktsegment from ({rankings(WEEK)}) r join customer on c_custkey = item""",
 }
+
+ORACLE["centrality_by"] = " union all ".join(
+    f"select '{measure}' as measure, term, score from ({ORACLE[name]})"
+    for measure, name in {
+        "pagerank": "cent_pagerank",
+        "betwenness": "cent_betweenness",
+        "weighted_degree": "cent_weighted_degree",
+        "closeness": "cent_closeness",
+        "eigenvector": "cent_eigenvector",
+    }.items()
+)

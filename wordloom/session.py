@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -29,8 +30,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the checkpoint folder and go on from the written copy.
 
-    Used for tables bounded by the vocabulary cap: iteration state, vocabularies,
-    graphs. Corpus-sized tables are never written. A table rather than
+    Used for iteration state, vocabularies, graphs and intermediate results that several
+    later steps read. A table rather than
     ``DataFrame.checkpoint``: that keeps the size estimate of the plan it cuts off, and
     an iteration's estimates, being products, grow until planning takes longer than the
     work. A table has the size of its files.
@@ -38,3 +39,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/wordloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with whole numbers ``name`` from 0 in the order of column ``order``.
+
+    The rows are sorted in ranges, each by one task, and written; a range's numbers start
+    where the sizes of the ranges before it end. Only those sizes, one for each range, are
+    summed in one task. ``name`` is an int, so a table may have two thousand million rows.
+    """
+    place = F.monotonically_increasing_id()
+    ranged = checkpoint(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("wl_place", place))
+    ranged = ranged.withColumn("wl_range", F.shiftright("wl_place", 33)).withColumn("wl_place", F.col("wl_place") % (1 << 33))
+    sizes = ranged.groupBy("wl_range").agg(F.count(F.lit(1)).alias("wl_size"))
+    before = Window.orderBy("wl_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("wl_range", F.coalesce(F.sum("wl_size").over(before), F.lit(0)).alias("wl_start"))
+    joined = ranged.join(starts, "wl_range").withColumn(name, (F.col("wl_start") + F.col("wl_place")).cast("int"))
+    return joined.select(*df.columns, name)
