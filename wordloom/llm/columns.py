@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A-Z only, other letters keep their case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -15,6 +16,11 @@ WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CHUNK = 4096
 
 
+def struct(**kinds: T.DataType) -> T.StructType:
+    """A row type; unlike its text form it needs no session, so modules can be imported without one."""
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z in lower case and everything else as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -21,7 +21,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wordloom.llm.columns import struct
 from wordloom.llm.components import components
 from wordloom.llm.lattice import DIMS, cells
 from wordloom.session import checkpoint
@@ -36,7 +38,7 @@ SEED = 3
 SPARE = 1e-7
 
 
-@F.pandas_udf("wl_class binary, wl_unit binary")
+@F.pandas_udf(struct(wl_class=T.BinaryType(), wl_unit=T.BinaryType()))
 def prepared(vectors: pd.Series) -> pd.DataFrame:
     """Digest and unit vector (doubles) of usable vectors, nulls of others."""
     rows = []
@@ -79,7 +81,7 @@ def cell_rows(nodes: DataFrame, tables: int, scale: float, neighbours: int) -> D
     return nodes.select("wl_node", "wl_unit").mapInPandas(find, "wl_node long, wl_cell long, wl_home boolean")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of unit vectors; -1 for different lengths."""
     return pd.Series([float(np.frombuffer(x) @ np.frombuffer(y)) if len(x) == len(y) else -1.0 for x, y in zip(a, b, strict=True)], dtype=float)

@@ -21,7 +21,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wordloom.llm.columns import struct
 from wordloom.llm.components import components
 from wordloom.llm.shingles import band_hashes, shingle_set, signature
 from wordloom.session import checkpoint
@@ -35,7 +37,7 @@ SKETCH_ERRORS = 5
 BLOCK = 512
 
 
-@F.pandas_udf("n_shingles long, wl_class binary, wl_bands array<long>")
+@F.pandas_udf(struct(n_shingles=T.LongType(), wl_class=T.BinaryType(), wl_bands=T.ArrayType(T.LongType())))
 def summarised(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -45,7 +47,7 @@ def summarised(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_shingles", "wl_class", "wl_bands"])
 
 
-@F.pandas_udf("wl_same binary, wl_sketch binary")
+@F.pandas_udf(struct(wl_same=T.BinaryType(), wl_sketch=T.BinaryType()))
 def sketched(texts: pd.Series) -> pd.DataFrame:
     """The class that a text belongs to, and low bytes of a longer signature."""
     rows = []

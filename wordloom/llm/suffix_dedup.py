@@ -23,6 +23,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.llm.columns import replacing, row_keys
 from wordloom.llm.suffixes import WIDTH, anchors, by_gram, entry, merged, packed_run, removed, repeated_starts, unpacked_run
@@ -41,7 +42,7 @@ def raw_text(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed(texts: pd.Series) -> pd.Series:
     """Compressed bytes of texts, smaller to shuffle; empty for null."""
     squeeze = zstandard.ZstdCompressor(level=1)
