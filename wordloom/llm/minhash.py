@@ -31,10 +31,13 @@ from wordloom.session import checkpoint
 PERCENT = 85
 # Sets of fewer shingles than this have no partner but equal sets: 5 of 6 is below the limit.
 LEAST_SHARED = 6
-SKETCH_BINS = 512
-# Pairs are passed over if their sketches are this many standard errors below the limit.
+# A sketch holds the least hashes of a set: all of a set up to this size, a sample of a larger one.
+SKETCH = 512
+# Pairs of samples are passed over if they are this many standard errors below the limit.
 SKETCH_ERRORS = 5
-BLOCK = 512
+BLOCK = 256
+# Hashes that are counted in one product.
+COLUMNS = 4096
 
 
 @F.pandas_udf(struct(n_shingles=T.LongType(), wl_class=T.BinaryType(), wl_bands=T.ArrayType(T.LongType())))
@@ -49,11 +52,11 @@ def summarised(texts: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(struct(wl_same=T.BinaryType(), wl_sketch=T.BinaryType()))
 def sketched(texts: pd.Series) -> pd.DataFrame:
-    """The class that a text belongs to, and low bytes of a longer signature."""
+    """The class that a text belongs to, and its sketch: the least hashes, cut to 32 bits."""
     rows = []
     for text in texts:
         shingles = shingle_set(text)
-        rows.append((xxhash.xxh3_128_digest(shingles.tobytes()), signature(shingles, SKETCH_BINS).astype(np.uint8).tobytes()))
+        rows.append((xxhash.xxh3_128_digest(shingles.tobytes()), (shingles[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()))
     return pd.DataFrame(rows, columns=["wl_same", "wl_sketch"])
 
 
@@ -83,6 +86,30 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(check, pairs.select("wl_a", "wl_b").schema)
 
 
+def shared_counts(sketches: list[np.ndarray]) -> np.ndarray:
+    """Number of hashes that each two sketches share, as products of 0/1 columns."""
+    owner = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+    _, column, uses = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    common = uses > 1
+    number = np.where(common, np.cumsum(common) - 1, -1)[column]
+    shared = np.zeros((len(sketches), len(sketches)), np.float32)
+    for first in range(0, int(common.sum()), COLUMNS):
+        here = (number >= first) & (number < first + COLUMNS)
+        held = np.zeros((len(sketches), COLUMNS), np.float32)
+        held[owner[here], number[here] - first] = 1
+        shared += held @ held.T
+    return shared
+
+
+def likely(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sketches, one a sample at least, may belong to sets that are similar enough."""
+    top = min(x[-1] if len(x) == SKETCH else np.uint32(0xFFFFFFFF) for x in (a, b))
+    a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
+    both = len(np.intersect1d(a, b))
+    union, limit = len(a) + len(b) - both, percent / 100
+    return both / union >= limit - SKETCH_ERRORS * np.sqrt(limit * (1 - limit) / union)
+
+
 def possible_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket's members in different components that their sketches do not rule out.
 
@@ -100,10 +127,10 @@ def possible_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         nodes, label, size = group["wl_node"].to_numpy(), group["component"].to_numpy(), group["n_shingles"].to_numpy()
-        sketch = np.stack([np.frombuffer(x, np.uint8) for x in group["wl_sketch"]])
+        sketches = [np.frombuffer(x, np.uint32) for x in group["wl_sketch"]]
         bands = np.stack([np.asarray(x, np.int64) for x in group["wl_bands"]])[:, : group["wl_band"].iloc[0]]
         mine, across = group["wl_mine"].to_numpy(), group["wl_i"].iloc[0] != group["wl_j"].iloc[0]
-        limit = percent / 100
+        shared = shared_counts(sketches)
         found = []
         for k in range(len(nodes) - 1):
             rest = slice(k + 1, None)
@@ -111,12 +138,11 @@ def possible_pairs(members: DataFrame, percent: int) -> DataFrame:
             ok = (label[rest] != label[k]) & (low * 100 >= high * percent)
             if across:
                 ok &= mine[rest] != mine[k]
-            at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                equal = (sketch[at] == sketch[k]).mean(1)
-                error = np.sqrt(limit * (1 - limit) / np.minimum(low[at - k - 1], SKETCH_BINS))
-                at = at[(equal >= limit - SKETCH_ERRORS * error) & ~(bands[at] == bands[k]).any(1)]
-                found += [(min(nodes[k], x), max(nodes[k], x)) for x in nodes[at]]
+            # Whole sets are judged by their counts, with one hash to spare for a collision.
+            enough = 100 * (shared[k, rest] + 1) >= percent * (size[rest] + size[k] - shared[k, rest] - 1)
+            at = np.flatnonzero(ok & (enough | (high > SKETCH))) + k + 1
+            at = at[~(bands[at] == bands[k]).any(1)]
+            found += [(min(nodes[k], nodes[x]), max(nodes[k], nodes[x])) for x in at if size[x] <= SKETCH >= size[k] or likely(sketches[k], sketches[x], percent)]
         return pd.DataFrame(found, columns=["wl_a", "wl_b"])
 
     kind = members.schema["wl_node"].dataType.simpleString()
