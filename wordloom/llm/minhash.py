@@ -165,14 +165,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     narrow = checkpoint(docs.select("doc_id", summarised("text").alias("wl_s")).select("doc_id", "wl_s.*"))
     named = narrow.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("wl_class").agg(F.min("doc_id").alias("wl_node"))
+    # Written before they are joined on their key: a join of two shuffles can split a hot
+    # class or bucket, a join on top of an aggregate cannot.
+    classes = checkpoint(named.groupBy("wl_class").agg(F.min("doc_id").alias("wl_node")))
     members = checkpoint(named.select("doc_id", "wl_class").join(classes, "wl_class").select("doc_id", "wl_class", "wl_node"))
     first = members.where("doc_id = wl_node").select("wl_class", "wl_node").distinct()
     banded = named.where("wl_bands is not null").join(first, (named["doc_id"] == first["wl_node"]) & (named["wl_class"] == first["wl_class"]))
     banded = banded.select(first["wl_class"], "wl_node", "n_shingles", "wl_bands").dropDuplicates(["wl_class"])
     placed = banded.select("wl_node", F.posexplode("wl_bands").alias("wl_band", "wl_bucket"))
     buckets = placed.groupBy("wl_bucket").agg(F.min("wl_node").alias("wl_hub"), F.max("wl_node").alias("wl_last"))
-    shared = checkpoint(placed.join(buckets.where("wl_hub < wl_last"), "wl_bucket").select("wl_bucket", "wl_band", "wl_node", "wl_hub"))
+    buckets = checkpoint(buckets.where("wl_hub < wl_last").select("wl_bucket", "wl_hub"))
+    shared = checkpoint(placed.join(buckets, "wl_bucket").select("wl_bucket", "wl_band", "wl_node", "wl_hub"))
     nodes = checkpoint(shared.select("wl_node").distinct().join(banded, "wl_node"))
     texts = docs.select(F.col("doc_id").alias("wl_node"), "text").join(nodes, "wl_node")
     texts = texts.select("*", sketched("text").alias("wl_k")).where("wl_k.wl_same = wl_class")
