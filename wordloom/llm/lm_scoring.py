@@ -45,7 +45,7 @@ UNKNOWN = 0
 def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes; a sorted one should come as differences."""
     packer = zstandard.ZstdCompressor(level=1)
-    columns = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    columns = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
     return packer.compress(b"".join(columns))
 
 
