@@ -17,6 +17,7 @@ from wordloom.operators import articles as art
 from wordloom.operators import centrality, cooc, extract, graph, paths, terms
 from wordloom.operators.communities import communities
 from wordloom.operators.tiles import TiledGraph
+from wordloom.plans.articles import landed_articles, search_articles as search_plan, week_details, week_ranking
 from wordloom.plans.keyword_graph import keyword_graph, term_cells, top_graph
 from wordloom.session import checkpoint
 from wordloom.sources.tables import read_table
@@ -30,6 +31,7 @@ ENGLISH_STOP_WORDS = ["and", "for", "in", "is", "of", "that", "the", "to", "with
 SEARCH_WORD = "tion"
 SEARCH_EVENT = "purchase"
 SEARCH_DAYS = ("2024-01-05", "2024-01-20")
+PORTAL_DAYS = ("1993-01-01", "1996-12-31")
 AS_OF = "2024-01-10"
 MIN_COUNT = 50
 
@@ -76,6 +78,39 @@ def tokenize_min1(spark, folder):
     return terms.tokens(documents(spark, folder), min_token_len=1)
 
 
+# What the cleaning steps look for, put around the given texts, one to each document in turn.
+MARKERS = [
+    "홍길동 기자 hong@news.co.kr",
+    "<그림 1>",
+    "(서울=연합)",
+    "[앵커]",
+    "【속보】",
+    "02-123-4567",
+    "1588-1234",
+    "www.a.b 끝",
+    "b xcom",
+    "나.co.kr",
+    "다.go.kr",
+    "/서울=홍길동 =",
+    "漢字",
+    "①◆",
+    "2019-10-11",
+    "12:13:14",
+]
+
+
+@query("clean_marked_text")
+def clean_marked_text(spark, folder):
+    marker = F.get(F.array(*[F.lit(text) for text in MARKERS]), (F.col("doc_id") % len(MARKERS)).cast("int"))
+    marked = documents(spark, folder).select("doc_id", F.concat_ws(" ", marker, "text", marker).alias("text"))
+    return marked.select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+
+
+@query("split_corpus")
+def split_corpus(spark, folder):
+    return terms.split_single_document(documents(spark, folder))
+
+
 @query("split_single_doc")
 def split_single_doc(spark, folder):
     halves = text_halves(F.col("text"))
@@ -306,9 +341,8 @@ def louvain(spark, folder):
 
 @query("keyword_graph")
 def whole_keyword_graph(spark, folder):
-    return keyword_graph(documents(spark, folder)).kept_edges.select(
-        "src", "dst", "weight", rounded("nor_weight"), "group"
-    )
+    kept = keyword_graph(documents(spark, folder)).kept_edges
+    return kept.select("src", "dst", "weight", rounded("nor_weight"))
 
 
 # Extraction
@@ -350,6 +384,55 @@ def extract_rejects(spark, folder):
     return rejected.select("url", F.array_join("missing", ",").alias("missing"))
 
 
+# Pages in the portal's layout, one for each document: the date is that of the order with
+# the document's number, pages in Spanish lack the section.
+
+
+def _portal_pages(spark, folder) -> DataFrame:
+    orders = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
+    docs = read_table(spark, folder, "documents", spread_by="doc_id").join(orders, "doc_id", "left")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    head = F.replace(F.replace(F.replace(F.substring("text", 1, 40), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    dated = F.concat(F.lit('<span class="t11">'), F.date_format("o_orderdate", "yyyy.MM.dd. HH:mm"), F.lit("</span>"))
+    section = F.concat(F.lit('<em class="guide_categorization_item">'), F.col("lang"), F.lit("</em>"))
+    html = F.concat(
+        F.lit("<html><body>"),
+        F.coalesce(dated, F.lit("")),
+        F.lit('<h3 id="articleTitle">'),
+        head,
+        F.lit('</h3><div id="articleBodyContents">'),
+        escaped,
+        F.lit("</div>"),
+        F.when(F.col("lang") == "es", "").otherwise(section),
+        F.concat(F.lit('<div id="footer"><address>by <a href="/">'), F.col("source"), F.lit("</a></address></div></body></html>")),
+    )
+    return docs.select(F.concat(F.lit("https://portal.example/"), F.col("doc_id").cast("string")).alias("url"), html.alias("html"))
+
+
+@query("portal_articles")
+def portal_articles(spark, folder):
+    pages_ = _portal_pages(spark, folder)
+    even = F.pmod(F.xxhash64("url"), F.lit(2)) == 0
+    return landed_articles(pages_.where(even), pages_.where(~even), pages_.where(even)).articles
+
+
+@query("portal_rejects")
+def portal_rejects(spark, folder):
+    rejected = landed_articles(_portal_pages(spark, folder)).rejects
+    return rejected.select("url", F.array_join("missing", ",").alias("missing"))
+
+
+@query("portal_search")
+def portal_search(spark, folder):
+    found = search_plan(landed_articles(_portal_pages(spark, folder)), SEARCH_WORD, *PORTAL_DAYS)
+    return found.select("url", "pdate", "articleTitle", "pub_date")
+
+
+@query("pages_without_links")
+def pages_without_links(spark, folder):
+    return extract.pages_without_links(pages(spark, folder), Selector("a"), "/t")
+
+
 @query("extract_links")
 def extract_links(spark, folder):
     return extract.extract_links(pages(spark, folder), Selector("a"), "/t")
@@ -476,14 +559,10 @@ def union_articles(spark, folder):
     return art.union_articles(first, second)
 
 
-def _rankings(events: DataFrame) -> DataFrame:
+def _rankings(events: DataFrame, as_of: str | None = None) -> DataFrame:
     """Most viewed by all events; events with a ``k`` of 50 or more stand for comments."""
-    day = F.col("ts").cast("date")
-    viewed = art.daily_ranking(events, day, "event_type", "user_id", "popular_day")
-    discussed = art.daily_ranking(
-        events.where(F.get_json_object("props", "$.k").cast("long") >= 50), day, "event_type", "user_id", "popular_memo"
-    )
-    return viewed.unionByName(discussed)
+    discussed = F.get_json_object("props", "$.k").cast("long") >= 50
+    return week_ranking(events, F.col("ts"), discussed, "event_type", "user_id", as_of)
 
 
 @query("daily_top5")
@@ -499,11 +578,11 @@ def week_days(spark, folder):
 
 @query("week_rank")
 def week_rank(spark, folder):
-    return _rankings(art.within_week(read_table(spark, folder, "events"), F.col("ts"), AS_OF))
+    return _rankings(read_table(spark, folder, "events"), AS_OF)
 
 
 @query("week_rank_detail")
 def week_rank_detail(spark, folder):
     customers = read_table(spark, folder, "customer")
     detail = customers.select("c_custkey", "c_name", "c_mktsegment")
-    return art.ranking_detail(week_rank(spark, folder), detail, "item", "c_custkey", keep_rank_columns=True)
+    return week_details(week_rank(spark, folder), detail, "c_custkey")

@@ -12,7 +12,9 @@ from wordloom.constants import (
 from wordloom.plans.catalog import (
     AS_OF,
     ENGLISH_STOP_WORDS,
+    MARKERS,
     MIN_COUNT,
+    PORTAL_DAYS,
     SEARCH_DAYS,
     SEARCH_EVENT,
     SEARCH_WORD,
@@ -37,8 +39,7 @@ def token_rows(minimum: int) -> str:
         select doc_id, unnest(range(len(l)))::integer as pos, unnest(l) as token from lists"""
 
 
-def cleaned() -> str:
-    value = "text"
+def cleaned(value: str = "text") -> str:
     for _, _, pattern in CLEAN_STEPS:
         value = replaced(value, pattern)
     return value
@@ -403,3 +404,39 @@ ORACLE["centrality_by"] = " union all ".join(
         "eigenvector": "cent_eigenvector",
     }.items()
 )
+
+# The groups are Louvain's; everything before them can be asked of SQL.
+ORACLE["keyword_graph"] = f"""
+    with {cells()} {INVERSE}, size as (select count(distinct src) as n from both_steps),
+    close as (select term, round(count(*) / sum(d) * (count(*) / (any_value(n) - 1.0::double)), 9) as score
+              from apart join numbered on idx = src, size group by term),
+    top as materialized (select term from close order by score desc, term limit 50),
+    top_edges as materialized (select * from edges where src in (from top) and dst in (from top))
+    {SCALE.format(edges='top_edges')} {THRESHOLD}
+    select src, dst, weight, round(nor_weight, 6) as nor_weight from kept"""
+
+MARKED = f"([{', '.join(quoted(text) for text in MARKERS)}])[doc_id % {len(MARKERS)} + 1]"
+PORTAL = f"""
+    portal as (
+        select 'https://portal.example/' || doc_id as url, strftime(o_orderdate, '%Y.%m.%d.') as pdate,
+            substr(text, 1, 40) as "articleTitle", {body('text')} as article, source as pcompany,
+            if(lang = 'es', null, lang) as aclass, o_orderdate::date as pub_date
+        from documents left join orders on o_orderkey = doc_id),
+    whole as (select * from portal where pdate is not null and aclass is not null)"""
+ORACLE |= {
+    "clean_marked_text": f"select doc_id, {cleaned(f"{MARKED} || ' ' || text || ' ' || {MARKED}")} as cleaned from documents",
+    "split_corpus": "select doc_id, text from documents",
+    "pages_without_links": f"""
+        with {PAGE}
+        select url from pages_seen where len(list_filter(regexp_extract_all(page, '<a href="([^"]*)"', 1), lambda h: starts_with(h, '/t'))) = 0""",
+    "portal_articles": f"with {PORTAL} select * from whole",
+    "portal_rejects": f"""
+        with {PORTAL}
+        select url, concat_ws(',', if(pdate is null, 'pdate', null), if(aclass is null, 'aclass', null)) as missing
+        from portal where pdate is null or aclass is null""",
+    "portal_search": f"""
+        with {PORTAL}
+        select url, pdate, "articleTitle", pub_date from whole
+        where (contains("articleTitle", {quoted(SEARCH_WORD)}) or contains(article, {quoted(SEARCH_WORD)}))
+          and pub_date between date '{PORTAL_DAYS[0]}' and date '{PORTAL_DAYS[1]}' order by pub_date desc, url""",
+}
