@@ -34,3 +34,12 @@ def test_stages_on_odd_rows(spark, small, odd_docs, no_docs):
 def test_every_operator_has_a_query():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(QUERIES)
+
+
+def test_queries_equal_sql(spark, small, duck):
+    for name, sql in queries.ORACLE.items():
+        result = duck.execute(sql)
+        columns = [column[0] for column in result.description]
+        ours = QUERIES[name](spark, small[2])
+        assert sorted(ours.columns) == sorted(columns)
+        assert sorted(map(tuple, ours.select(columns).collect()), key=str) == sorted(result.fetchall(), key=str), name

@@ -12,11 +12,14 @@ from wordloom.llm.licenses import license_digest
 from wordloom.llm.lm_scoring import lm_digest
 from wordloom.llm.minhash import near_duplicates
 from wordloom.llm.mixing import mixing_digest
+from wordloom.llm.oracle import ORACLE
 from wordloom.llm.pii import pii_digest
 from wordloom.llm.quality import quality_digest
 from wordloom.llm.sharding import sharding_digest
 from wordloom.llm.suffix_dedup import suffix_digest
 
+__all__ = ["ORACLE", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -76,4 +79,3 @@ QUERIES: dict[str, Query] = {
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
