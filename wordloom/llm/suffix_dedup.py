@@ -142,7 +142,9 @@ def window_digests(found: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, part_entries: int = PART_ENTRIES, gram_entries: int = GRAM_ENTRIES) -> DataFrame:
     """Spans of window starts that repeat: ``wl_key, wl_key2, wl_low, wl_high``."""
     grams = anchor_rows(docs).groupBy("wl_gram").agg(F.count("*").alias("wl_count"), F.min("wl_whole").alias("wl_a"), F.max("wl_whole").alias("wl_z"))
-    grams = grams.where("wl_count > 1").select("wl_gram", (F.col("wl_a") != F.col("wl_z")).alias("wl_mixed"))
+    # Written before they are joined on their key, as are digests below: a join of two
+    # shuffles can split a hot key, a join on top of an aggregate cannot.
+    grams = checkpoint(grams.where("wl_count > 1").select("wl_gram", (F.col("wl_a") != F.col("wl_z")).alias("wl_mixed")))
     found = checkpoint(anchor_rows(docs).join(grams, "wl_gram"))
     span = [*KEYS, "wl_low", "wl_high"]
     settled = found.where("not wl_mixed").select(*span)
@@ -167,7 +169,7 @@ def repeated_windows(docs: DataFrame, part_entries: int = PART_ENTRIES, gram_ent
 
     windows = window_digests(with_text.where("wl_busy"))
     held = windows.groupBy("wl_digest").agg(F.count("*").alias("wl_count"), F.max("wl_many").alias("wl_many"))
-    held = held.where("wl_count > 1 or wl_many").select("wl_digest")
+    held = checkpoint(held.where("wl_count > 1 or wl_many").select("wl_digest"))
     busy_spans = windows.join(held, "wl_digest").select(*KEYS, "wl_low", F.col("wl_low").alias("wl_high"))
     return settled.unionByName(copies).unionByName(merged_).unionByName(busy_spans)
 
