@@ -20,7 +20,8 @@ WINDOW = 10
 # Proximity: how far a word may stand from its place, and how many of a window's words must be near.
 SLOP = 3
 NEAR_WORDS = 8
-# Postings of 2 ** STRETCH_BITS words of a document are looked up together.
+# Postings of 2 ** STRETCH_BITS words of a document are shuffled and looked up together, so
+# that a shuffled block names its document once and not with every posting.
 STRETCH_BITS = 7
 
 # The term of the posting that ends each document; its position is the number of words.
