@@ -89,7 +89,8 @@ def alignments(index: DataFrame, places: DataFrame, windows: DataFrame) -> DataF
     anchors = checkpoint(anchor.join(places, ["wl_item", "wl_place"]).select("wl_item", "wl_place", "wl_term"))
     met = index.where(F.col("wl_term") != END).join(anchors, "wl_term")
     shifted = met.select(*KEY, "wl_item", (F.col("wl_pos") - F.col("wl_place")).alias("wl_shift"), "wl_place")
-    seen = shifted.where("wl_shift >= 0").groupBy(*ALIGNED).agg(F.collect_set("wl_place").alias("wl_seen"))
+    # A document that starts in the middle of an item has negative shifts.
+    seen = shifted.groupBy(*ALIGNED).agg(F.collect_set("wl_place").alias("wl_seen"))
     pair = F.struct("wl_from", "wl_length", "wl_first", "wl_second")
     by_item = checkpoint(windows.groupBy("wl_item").agg(F.collect_list(pair).alias("wl_windows")))
     both = lambda w: F.array_contains("wl_seen", w["wl_first"]) & F.array_contains("wl_seen", w["wl_second"])
