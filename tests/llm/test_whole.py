@@ -1,8 +1,14 @@
 """Cases that earlier versions of the training-data operators left out."""
 
+import math
+import random
+from collections import Counter
+
 import brute
+import pandas as pd
+import pytest
 
-from wordloom.llm import decontaminate
+from wordloom.llm import decontaminate, interpolated, queries
 
 
 def test_documents_that_start_in_the_middle_of_an_item(spark):
@@ -14,3 +20,50 @@ def test_documents_that_start_in_the_middle_of_an_item(spark):
     assert got == sorted(brute.contamination(rows, items))
     assert [r[2] for r in got] == [20, 10, 0, 11, 0]
     assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(docs, held).collect()) == [3, 5]
+
+
+def interpolated_differences(rows, good):
+    """doc_id: (n_tokens, mean of target loss less background loss) by plain counting, no word or pair left out."""
+    split = {d: interpolated.lowered_words(interpolated.packed.func(pd.Series([t]))[0]) for d, t in rows}
+    kinds = len({w for ws in split.values() for w in ws})
+    models = []
+    for ids in (list(split), [d for d in split if d in good]):
+        one, two, context = Counter(), Counter(), Counter()
+        for d in ids:
+            one.update(split[d])
+            two.update(zip(split[d], split[d][1:], strict=False))
+            context.update(split[d][:-1])
+        models.append((one, two, context, one.total()))
+
+    def loss(model, before, word):
+        one, two, context, total = model
+        share = (one[word] + 0.5) / (total + 0.5 * kinds)
+        return -math.log(share if before is None else (two[before, word] + 2.0 * share) / (context[before] + 2.0))
+
+    background, target = models
+    return {d: (len(ws), sum(loss(target, v, w) - loss(background, v, w) for v, w in zip([None, *ws], ws, strict=False)) / len(ws) if ws else None) for d, ws in split.items()}
+
+
+def test_lm_scores_keep_every_word(spark, small, odd_docs, no_docs):
+    good = {d for d, _ in small[1] if d % 3 == 0}
+    marks = spark.createDataFrame([(int(d),) for d in good] + [(None,), (0,)], "doc_id long")
+    expected = interpolated_differences(small[1], good | {0})
+    # Share 1: no word is common, all are scored by hash; 2 ** -7: some are, with common pairs and contexts.
+    for share, part in ((1.0, 3_000), (2.0**-7, 5_000), (2.0**-16, 1_000_000)):
+        got = {r["doc_id"]: (r["n_tokens"], r["difference"]) for r in interpolated.score_documents(small[0], marks, part, share).collect()}
+        assert {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in expected.items()}
+        assert all(x[1] == pytest.approx(expected[d][1], abs=1e-9) for d, x in got.items())
+    odd = interpolated.score_documents(odd_docs, marks).collect()
+    assert len(odd) == odd_docs.count() and all((r["difference"] is None) == (r["n_tokens"] == 0) for r in odd)
+    assert interpolated.score_documents(no_docs, marks).count() == 0
+    assert interpolated.score_documents(small[0], marks.where("false")).count() == len(small[1])
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    """Past 65,536 words, words rarer than those keep their counts."""
+    common = [" ".join(f"c{i}" for i in range(k, k + 1000)) for k in range(0, 70_000, 1000)] * 3
+    rows = [*enumerate(common), (210, "r1 x r1"), (211, "r2 y r2")]
+    labels = spark.createDataFrame([(d, 1) for d in [*range(70), 210]], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["difference"] for r in queries.lm_digest(docs, labels).collect()}
+    assert got[210] < got[211] - 1

@@ -1,4 +1,7 @@
-"""Cross-entropy difference of two matched bigram models.
+"""Cross-entropy difference of two pruned bigram models over a vocabulary of fixed size.
+
+No query uses these scores: ``interpolated`` has the model of ``op2_lm_scoring``, which
+keeps every word and pair. It shares the packing and the word counts below.
 
 The target model counts the documents that labels call good, the background model all
 documents. Both use one vocabulary: the commonest words of the corpus, everything else
@@ -287,10 +290,3 @@ def scored(marked: DataFrame, vocabulary: int, part_tokens: int) -> DataFrame:
     joined = alone.join(per_row, "wl_row", "left")
     mean = (F.col("wl_sum") + F.coalesce("wl_gain", F.lit(0.0))) / F.col("n_tokens")
     return joined.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, mean).alias("difference"))
-
-
-def lm_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cross-entropy difference of every document to the documents of quality 1, rounded to nine places."""
-    good = labels.where("quality = 1").select("doc_id")
-    result = score_documents(docs.select("doc_id", "text"), good)
-    return result.select("doc_id", "n_tokens", F.round("difference", 9).alias("difference"))

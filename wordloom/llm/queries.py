@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.decontaminate import contamination_digest
+from wordloom.llm.interpolated import lm_digest
 from wordloom.llm.lattice_dedup import vector_links
 from wordloom.llm.licenses import license_digest
-from wordloom.llm.lm_scoring import lm_digest
 from wordloom.llm.minhash import near_duplicates
 from wordloom.llm.mixing import mixing_digest
 from wordloom.llm.oracle import ORACLE
