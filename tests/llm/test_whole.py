@@ -67,3 +67,12 @@ def test_vocabulary_grows_with_the_corpus(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["difference"] for r in queries.lm_digest(docs, labels).collect()}
     assert got[210] < got[211] - 1
+
+
+def test_pairs_that_the_target_lacks_count(spark):
+    """The same words, each as common in the target: only pairs that good documents do not hold tell junk."""
+    good, junk = "a b c d e f", "f d b e c a"
+    rows = [(i, good) for i in range(20)] + [(i, junk) for i in range(20, 60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["difference"] for r in queries.lm_digest(docs, labels).collect()}
+    assert got[0] == got[19] and got[20] == got[59] and got[0] < 0 and got[20] > 1
