@@ -7,6 +7,7 @@ from wordloom.llm.lattice_dedup import COSINE
 from wordloom.llm.minhash import PERCENT
 from wordloom.llm.mixing import MAX_REPEATS, SEED, WEIGHT_CYCLE
 from wordloom.llm.shingles import WORDS
+from wordloom.llm.spelling import LOSS, MIN_COUNT, MIN_LENGTH, RATIO
 
 
 def lowered(text: str) -> str:
@@ -91,9 +92,36 @@ VECTOR_LINKS = f"""
     select node as vec_id, coalesce(n, 0)::bigint as n_links, component as component_id, component = node as kept
     from label left join counts using (node)"""
 
+# crc32 is worked out byte by byte: code points up to 255 are one byte or two in UTF-8.
+SPELLING = f"""
+    with recursive
+        crc as (select list_transform(range(256), lambda i: list_reduce(range(8),
+                    lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i)) as entry),
+        runs as (select doc_id, unnest(regexp_extract_all({lowered('text')}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents),
+        places as materialized (select coalesce(doc_id::varchar, '') as id, run, count(*) as k from runs group by all),
+        bytes as (select id, run, k, flatten(list_transform(string_split(concat(id, ':', run), ''),
+                    lambda x: case when unicode(x) < 128 then [unicode(x)] else [195, unicode(x) - 64] end)) as b from places),
+        marks as (select run, k, xor(4294967295, list_reduce(b, lambda c, x: xor(entry[xor(c & 255, x) + 1], c >> 8), 4294967295)) as h from bytes, crc),
+        kept as (select k, case when h % {LOSS} = 0 then concat(left(run, (h % length(run))::int), substr(run, (h % length(run))::int + 2)) else run end as word from marks),
+        words as materialized (select word, sum(k)::bigint as n from kept where length(word) >= {MIN_LENGTH} group by word having sum(k) >= {MIN_COUNT}),
+        cut as materialized (select word, n, left(word, i::int) as a, substr(word, i::int + 2) as b from words, unnest(range(length(word))) t(i)),
+        near as materialized (
+            select x.word, y.word as other, y.n as m from cut x join cut y using (a, b) where x.word <> y.word and length(x.word) = length(y.word)
+            union select c.word, w.word, w.n from cut c join words w on w.word = concat(c.a, c.b)
+            union select w.word, c.word, c.n from cut c join words w on w.word = concat(c.a, c.b)),
+        best as (select word, count(*) as n_near, arg_min(other, (-m, other)) as form, max(m) as form_n from near group by word),
+        chosen as materialized (
+            select word, n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= {RATIO} * n then form end as form,
+                case when form_n >= {RATIO} * n then form_n end as form_n from words left join best using (word)),
+        steps as (select word, word as target, 0 as step from chosen
+                  union all select steps.word, chosen.form, step + 1 from steps join chosen on chosen.word = target where chosen.form is not null),
+        roots as (select word, arg_max(target, step) as root from steps group by word)
+    select word, form, root, n, n_near, form_n from chosen join roots using (word)"""
+
 ORACLE: dict[str, str] = {
     "op1_minhash": NEAR_DUPLICATES,
     "op3_decontamination": CONTAMINATION,
     "op6_mixing": MIXING,
     "op7_lattice": VECTOR_LINKS,
+    "op13_spelling": SPELLING,
 }

@@ -16,6 +16,7 @@ from wordloom.llm.oracle import ORACLE
 from wordloom.llm.pii import pii_digest
 from wordloom.llm.quality import quality_digest
 from wordloom.llm.sharding import sharding_digest
+from wordloom.llm.spelling import spelling_digest
 from wordloom.llm.suffix_dedup import suffix_digest
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -67,6 +68,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_lm_scoring": op2_lm_scoring,
@@ -78,4 +83,5 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op13_spelling": op13_spelling,
 }
