@@ -27,6 +27,48 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``checkpoint`` wrote, wherever the cluster keeps it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Rounds:
+    """The state of an iteration: each round's table replaces the last one's.
+
+    ``write`` works like ``checkpoint``. When it is done, the new table depends on no
+    earlier one, and those are removed: an iteration leaves one folder, whatever the number
+    of its rounds. Used as a context it removes all of them if the work inside fails.
+    """
+
+    def __init__(self) -> None:
+        self._written: list[tuple[SparkSession, str]] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        spark, path = df.sparkSession, table_path(df.sparkSession)
+        df.write.parquet(path)
+        self._drop()
+        self._written.append((spark, path))
+        return spark.read.schema(df.schema).parquet(path)
+
+    def _drop(self) -> None:
+        while self._written:
+            drop_folder(*self._written.pop())
+
+    def __enter__(self) -> Rounds:
+        return self
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: object) -> None:
+        if kind is not None:
+            self._drop()
+
+
+def table_path(spark: SparkSession) -> str:
+    """A new path for a written table."""
+    return f"{checkpoint_folder(spark)}/wordloom-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the checkpoint folder and go on from the written copy.
 
@@ -36,7 +78,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     an iteration's estimates, being products, grow until planning takes longer than the
     work. A table has the size of its files.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/wordloom-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
