@@ -8,6 +8,7 @@ from wordloom.llm.minhash import PERCENT
 from wordloom.llm.mixing import MAX_REPEATS, SEED, WEIGHT_CYCLE
 from wordloom.llm.shingles import WORDS
 from wordloom.llm.spelling import LOSS, MIN_COUNT, MIN_LENGTH, RATIO
+from wordloom.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 
 def lowered(text: str) -> str:
@@ -118,10 +119,43 @@ SPELLING = f"""
         roots as (select word, arg_max(target, step) as root from steps group by word)
     select word, form, root, n, n_near, form_n from chosen join roots using (word)"""
 
+
+
+def lloyd_rounds() -> str:
+    """Each round assigns every part by a full scan and moves the entries."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""
+        near{r} as materialized (
+            select k, parts.p, arg_min(e, (d, e)) as e, min(d) as d from (
+                select k, parts.p, e, list_sum(list_transform(list_zip(c, b), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::bigint as d
+                from parts join book{r} using (p)) parts group by all)""")
+        if r < ROUNDS:
+            steps.append(f"""
+        sums{r} as (select p, e, j, sum(c[j])::bigint as s, count(*) as n from near{r} join parts using (k, p), unnest(range(1, len(c) + 1)) t(j) group by all),
+        means{r} as (select p, e, list((s - (s % n + n) % n) // n order by j) as b from sums{r} group by all),
+        book{r + 1} as materialized (select p, e, coalesce(m.b, o.b) as b from book{r} o left join means{r} m using (p, e))""")
+    return ",".join(steps)
+
+
+VECTOR_CODES = f"""
+    with kept as materialized (
+            select row_number() over (order by vec_id) as k, vec_id, label, list_transform(embedding::double[], lambda x: floor({SCALE} * x)::bigint) as v
+            from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        parts as materialized (select k, p, v[p * (len(v) // {PARTS}) + 1:(p + 1) * (len(v) // {PARTS})] as c from kept, unnest(range({PARTS})) t(p)),
+        book0 as materialized (select p, k - 1 as e, c as b from parts where k <= {ENTRIES}),
+        {lloyd_rounds().strip()},
+        coded as (select k, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from near{ROUNDS} group by k),
+        flat as (select p, e, j, b[j] as x from book{ROUNDS}, unnest(range(1, len(b) + 1)) t(j)),
+        digest as (select sha256(string_agg(x::varchar, ',' order by p, e, j)) as codebooks_sha256 from flat)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+    from kept join coded using (k), digest"""
+
 ORACLE: dict[str, str] = {
     "op1_minhash": NEAR_DUPLICATES,
     "op3_decontamination": CONTAMINATION,
     "op6_mixing": MIXING,
     "op7_lattice": VECTOR_LINKS,
+    "op11_vector_codes": VECTOR_CODES,
     "op13_spelling": SPELLING,
 }

@@ -18,6 +18,7 @@ from wordloom.llm.quality import quality_digest
 from wordloom.llm.sharding import sharding_digest
 from wordloom.llm.spelling import spelling_digest
 from wordloom.llm.suffix_dedup import suffix_digest
+from wordloom.llm.vector_codes import codes_digest
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -68,6 +69,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes_digest(table(spark, folder, "embeddings"))
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_digest(table(spark, folder, "documents"))
 
@@ -83,5 +88,6 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op11_vector_codes": op11_vector_codes,
     "op13_spelling": op13_spelling,
 }
