@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.decontaminate import contamination_digest
 from wordloom.llm.interpolated import lm_digest
+from wordloom.llm.language import language_digest
 from wordloom.llm.lattice_dedup import vector_links
 from wordloom.llm.licenses import license_digest
 from wordloom.llm.minhash import near_duplicates
@@ -73,6 +74,10 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes_digest(table(spark, folder, "embeddings"))
 
 
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language_digest(table(spark, folder, "documents"))
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_digest(table(spark, folder, "documents"))
 
@@ -89,5 +94,6 @@ QUERIES: dict[str, Query] = {
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
     "op11_vector_codes": op11_vector_codes,
+    "op12_language": op12_language,
     "op13_spelling": op13_spelling,
 }
