@@ -1,9 +1,12 @@
 import json
 import math
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.operators import cooc, terms
 from wordloom.session import checkpoint
@@ -111,6 +114,70 @@ def test_cooccurrence_equals_brute_force(random_docs, random_texts, binary, monk
     assert found == {pair: n for pair, n in expected.items() if n}
 
 
+def test_cooccurrence_of_twenty_thousand_terms(spark, monkeypatch):
+    """Texts with words from all over the vocabulary; postings are multiplied in several portions."""
+    monkeypatch.setattr(cooc, "TASK_POSTINGS", 8_000)
+    words = [f"w{i:05d}" for i in range(20_000)]
+    rng = random.Random(5)
+    texts = [" ".join(words[i : i + 500] + rng.choices(words, k=60)) for i in range(0, 20_000, 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    vocab = terms.vocab_pruned(docs, min_df=0.0, max_features=20_000)
+    assert vocab.count() == 20_000
+    expected = Counter()
+    for text in texts:
+        counts = Counter(text.split())
+        listed = sorted(counts)
+        for i, a in enumerate(listed):
+            for b in listed[i:]:
+                expected[a, b] += counts[a] * counts[b]
+    cells = cooc.cooccurrence(docs, vocab)
+    sample = cells.where("src < 'w00700'").collect()
+    assert {(r["src"], r["dst"]): r["weight"] for r in sample} == {p: n for p, n in expected.items() if p[0] < "w00700"}
+    assert cells.agg(F.count("*"), F.sum("weight")).first() == (len(expected), expected.total())
+
+
+def plan_of(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_cells_become_rows_after_their_sums(fruit):
+    plan = plan_of(cooc.cooccurrence(fruit, terms.vocab_pruned(fruit)))
+    dealt = re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    tiles = [d for d in dealt if d.startswith("row#")]
+    assert len(tiles) == 2 and all("places#" in d for d in tiles)
+    assert not any("weight#" in d and "i#" in d and d.startswith("i#") for d in dealt[: dealt.index(tiles[-1])])
+
+
+def test_packed_tiles(monkeypatch):
+    monkeypatch.setattr(cooc, "TILE_TERMS", 4)
+    rng = np.random.default_rng(1)
+    for held in (0, 0.2, 0.9):
+        for top in (5, 1 << 40):
+            tile = rng.integers(1, top, (4, 4)) * (rng.random((4, 4)) < held)
+            total = np.arange(16)
+            cooc.add_packed(total, *cooc.packed(tile))
+            assert (total == np.arange(16) + tile.ravel()).all()
+
+
+@pytest.mark.parametrize("share", [1e-4, 0.2, 1.0])
+def test_tfidf_of_common_and_rare_terms(random_docs, random_texts, share, monkeypatch):
+    """All terms common, some, or none: the same weights."""
+    monkeypatch.setattr(terms, "COMMON_SHARE", share)
+    counts = counts_of(random_texts)
+    df = Counter(t for c in counts for t in c)
+    expected = {}
+    for doc_id, count in enumerate(counts):
+        weights = {t: n * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, n in count.items() if len(t) > 1}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        expected |= {(doc_id, t): w / norm for t, w in weights.items()}
+    weights = terms.doc_tfidf(random_docs)
+    found = {(r["doc_id"], r["term"]): r["tfidf"] for r in weights.collect()}
+    assert found == pytest.approx(expected)
+    plan = plan_of(weights)
+    assert "Window" not in plan
+    assert terms.doc_tfidf(terms.counted_documents(random_docs)).count() == len(expected)
+
+
 def test_cooccurrence_of_large_counts_is_exact(spark, monkeypatch):
     monkeypatch.setattr(cooc, "EXACT_DOUBLE", 4.0)
     docs = spark.createDataFrame([(1, "aa aa aa bb bb")], "doc_id long, text string")

@@ -1,17 +1,25 @@
 """Term statistics, vocabulary and TF-IDF over a ``(doc_id, text)`` table.
 
 ``doc_id`` identifies a row: it must be unique. A document is one row, so its term
-counts are worked out inside the row and need no shuffle; only per-term sums do.
+counts are worked out inside the row and need no shuffle; only per-term sums do. Where
+several steps read the same counts, ``counted_documents`` writes them once; the table it
+returns may stand in for the documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.constants import MAX_FEATURES, MIN_DF, STOP_WORDS, TFIDF_ROWS
 from wordloom.functions.text import text_halves, tokenize
-from wordloom.session import numbered
+from wordloom.session import checkpoint, numbered
 
 # Decimals kept when sorting by a float score, so that the order does not depend on
 # the order of summation.
@@ -47,9 +55,19 @@ def tokens(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
     return exploded.where(F.col("token").isNotNull())
 
 
+def counted(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
+    """Documents as ``(doc_id, terms)``; tables that are already so stay as they are."""
+    return docs if "text" not in docs.columns else term_runs(docs, tokenize(F.col("text"), min_token_len))
+
+
+def counted_documents(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
+    """The same as a written table."""
+    return checkpoint(counted(docs, min_token_len)) if "text" in docs.columns else docs
+
+
 def term_frequency(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
     """Count of each term in each document: ``(doc_id, term, tf)``."""
-    runs = term_runs(docs, tokenize(F.col("text"), min_token_len))
+    runs = counted(docs, min_token_len)
     # The outer form, because the plain one makes Catalyst filter on the array's size
     # ahead of the projections, that is, work out the tokens twice and more. The filter is
     # on the term, as joins put it, so that plans with and without a join share a shuffle.
@@ -93,41 +111,80 @@ def vocab_index(vocab: DataFrame) -> DataFrame:
     return numbered(vocab, "term", "idx")
 
 
+def idf_of(df: Column, documents: Column) -> Column:
+    """Smoothed inverse document frequency."""
+    return F.ln((F.lit(1.0) + documents) / (F.lit(1.0) + df)) + F.lit(1.0)
+
+
 def term_idf(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
     """Smoothed inverse document frequency: ``(term, df, idf)``."""
-    total = document_count(docs)
-    idf = F.ln((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    idf = idf_of(F.col("df"), document_count(docs))
     return vocab_stats(docs, min_token_len).select("term", "df", idf.alias("idf"))
 
 
 # A term is common if it makes up at least this part of all postings. There can be no
-# more than 1 / COMMON_SHARE common terms, which bounds what is broadcast for them.
+# more than 1 / COMMON_SHARE common terms, which bounds what is sent to the tasks for them.
 COMMON_SHARE = 1e-4
 
 
+def weighed_rows(runs: DataFrame, common: dict[str, float]) -> DataFrame:
+    """``(doc_id, common, common_square, rare)``: a document's terms by whether ``common`` holds their idf.
+
+    ``common`` lists terms and weights, ``common_square`` is the sum of the squares of these
+    weights, and ``rare`` lists the other terms and their counts.
+    """
+    names, idf = list(common), np.array(list(common.values()), float)
+
+    def part(rows: np.ndarray, size: int, held: np.ndarray, **fields: pa.Array) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows[held], minlength=size))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = pa.array(names, pa.string())
+        for batch in batches:
+            lists, size = batch.column("terms"), len(batch)
+            postings = lists.flatten()
+            terms, counts = postings.field("term"), postings.field("tf").to_numpy()
+            rows = np.repeat(np.arange(size), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            found = pc.index_in(terms, value_set=lookup)
+            held = found.is_valid().to_numpy(zero_copy_only=False)
+            weights = counts[held] * idf[found.drop_null().to_numpy()]
+            square = np.bincount(rows[held], weights * weights, size).astype(float)
+            common_list = part(rows, size, held, term=terms.filter(pa.array(held)), w=pa.array(weights))
+            rare_list = part(rows, size, ~held, term=terms.filter(pa.array(~held)), tf=pa.array(counts[~held]))
+            columns = [batch.column("doc_id"), common_list, pa.array(square), rare_list]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "common", "common_square", "rare"])
+
+    lists = [T.StructField("term", T.StringType()), T.StructField("w", T.DoubleType())], [T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]
+    common_type, rare_type = (T.ArrayType(T.StructType(fields)) for fields in lists)
+    schema = T.StructType(
+        [runs.schema["doc_id"], T.StructField("common", common_type), T.StructField("common_square", T.DoubleType()), T.StructField("rare", rare_type)]
+    )
+    return runs.select("doc_id", "terms").mapInArrow(weigh, schema)
+
+
 def doc_tfidf(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
     """TF-IDF with every document scaled to unit length: ``(doc_id, term, tfidf)``.
 
-    Postings meet their idf in one shuffled join. Common terms, few by definition, get
-    it from a broadcast instead, and their postings are spread over the partitions of
-    that join by document, so no partition holds a common term's whole list.
+    Terms are counted once and written. Common terms, few by definition and most of all
+    postings, get their idf inside the document's row. The postings of rare terms meet
+    their idf in a join, where no key is busy, and come back to the row as one list.
     """
-    postings = term_frequency(docs, min_token_len)
-    idf = term_idf(docs, min_token_len)
-    common_df = F.lit(COMMON_SHARE) * idf.agg(F.sum("df")).scalar()
-    common = idf.where(F.col("df") >= common_df).select("term", F.col("idf").alias("common_idf"))
-    rare = idf.where(F.col("df") < common_df).select(F.col("term").alias("key"), F.col("idf").alias("rare_idf"))
-    # No term holds the NUL character, so a spread key meets no rare term.
-    spread = F.concat(F.lit("\0"), F.col("doc_id").cast("string"))
-    weighted = (
-        postings.join(F.broadcast(common), "term", "left")
-        .withColumn("key", F.when(F.col("common_idf").isNull(), F.col("term")).otherwise(spread))
-        .join(rare, "key", "left")
-        .select("doc_id", "term", (F.col("tf") * F.coalesce("common_idf", "rare_idf")).alias("w"))
+    runs = counted_documents(docs, min_token_len)
+    stats = checkpoint(vocab_stats(runs).select("term", "df"))
+    idf = stats.select("term", "df", idf_of(F.col("df"), document_count(runs)).alias("idf"))
+    common = idf.where(F.col("df") >= F.lit(COMMON_SHARE) * stats.agg(F.sum("df")).scalar())
+    rows = weighed_rows(runs, {row["term"]: row["idf"] for row in common.collect()})
+    postings = rows.select("doc_id", F.explode("rare").alias("t")).select("doc_id", "t.term", "t.tf")
+    weights = postings.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    rare = weights.groupBy("doc_id").agg(
+        F.collect_list(F.struct("term", "w")).alias("rare"), F.sum(F.col("w") * F.col("w")).alias("rare_square")
     )
-    # A document's terms fit one row of the input, so the group is bounded by that row.
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return weighted.select("doc_id", "term", (F.col("w") / norm).alias("tfidf"))
+    whole = rows.select("doc_id", "common", "common_square").join(rare, "doc_id", "left")
+    norm = F.sqrt(F.col("common_square") + F.coalesce("rare_square", F.lit(0.0)))
+    terms = F.concat("common", F.coalesce("rare", F.slice("common", 1, 0)))
+    exploded = whole.select("doc_id", norm.alias("norm"), F.explode(terms).alias("t"))
+    return exploded.select("doc_id", "t.term", (F.col("t.w") / F.col("norm")).alias("tfidf"))
 
 
 def tfidf_table(docs: DataFrame, rows: int = TFIDF_ROWS, min_token_len: int = 2) -> DataFrame:

@@ -18,7 +18,7 @@ from wordloom.operators.graph import (
     threshold_graph,
     top_terms,
 )
-from wordloom.operators.terms import split_single_document, vocab_pruned
+from wordloom.operators.terms import counted_documents, split_single_document, vocab_pruned
 from wordloom.session import checkpoint
 
 
@@ -43,10 +43,10 @@ def term_cells(
     binary: bool = False,
     min_token_len: int = 2,
 ) -> DataFrame:
-    """Co-occurrence cells of the pruned vocabulary; reads the corpus twice."""
-    docs = split_single_document(docs)
-    vocab = checkpoint(vocab_pruned(docs, min_df, max_features, min_token_len))
-    return checkpoint(cooccurrence(docs, vocab, binary, min_token_len))
+    """Co-occurrence cells of the pruned vocabulary; reads the texts once."""
+    counts = counted_documents(split_single_document(docs), min_token_len)
+    vocab = checkpoint(vocab_pruned(counts, min_df, max_features))
+    return checkpoint(cooccurrence(counts, vocab, binary))
 
 
 def top_graph(cells: DataFrame, sort_by: str, top_n: int, min_count: int = 0) -> tuple[DataFrame, DataFrame]:
