@@ -143,10 +143,12 @@ def seed_clusters(taught: DataFrame, idf: np.ndarray, clusters: int, rows: int)
     A text is sampled by its digest, at a rate that gives a language about ``rows`` texts.
     """
     mark = F.xxhash64("text")
-    # Collected and given back as constants: a join of two tables could shuffle all texts by language.
-    counts = taught.groupBy("lang").agg(F.count(F.lit(1)).alias("wl_size")).collect()
-    sizes = taught.sparkSession.createDataFrame([tuple(row) for row in counts], "lang string, wl_size long")
-    marked = taught.join(sizes, "lang").where(F.pmod(mark, F.lit(1 << 32)) * F.col("wl_size") < rows * (1 << 32))
+    # Collected and given back as constants: a join could shuffle all texts by language.
+    counts = taught.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).collect()
+    if not counts:
+        return pd.DataFrame({"lang": [], "centre": []}, dtype=object)
+    size = F.try_element_at(F.create_map(*[F.lit(value) for row in counts for value in row]), F.col("lang"))
+    marked = taught.where(F.pmod(mark, F.lit(1 << 32)) * size < rows * (1 << 32))
     sample = marked.select("lang", mark.alias("wl_mark"), "text").dropDuplicates(["lang", "wl_mark"])
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
