@@ -8,7 +8,7 @@ import pytest
 
 from wordloom.operators import centrality, cooc, graph, paths
 from wordloom.operators.communities import communities
-from wordloom.operators.tiles import TiledGraph
+from wordloom.operators.blocks import BlockGraph
 from wordloom.plans.keyword_graph import keyword_graph
 
 SCHEMA = "src string, dst string, weight long"
@@ -72,9 +72,10 @@ def test_dispatch(fruit_edges):
         graph.centrality_by(fruit_edges, "degree")
 
 
-@pytest.mark.parametrize("nodes,share", [(12, 0.25), (290, 0.02)])
-def test_path_measures_equal_brute_force(spark, nodes, share):
-    """Small with several parts, and larger than one tile."""
+@pytest.mark.parametrize("nodes,share", [(12, 0.25), (290, 0.02), (1100, 0.003)])
+def test_path_measures_equal_brute_force(spark, nodes, share, monkeypatch):
+    """Small with several parts, several batches, and several ranges of nodes and waves of sources."""
+    monkeypatch.setattr(paths, "WAVE", 7)
     rows = random_edges(nodes, share, seed=nodes)
     edges = spark.createDataFrame(rows, SCHEMA).repartition(3)
     links = neighbours(rows)
@@ -98,7 +99,7 @@ def test_path_measures_equal_brute_force(spark, nodes, share):
         expected[source] = reached / sum(dist.values()) * reached / (n - 1)
     assert scores(centrality.closeness(edges)) == pytest.approx(expected, abs=1e-9)
 
-    found = {(r["src"], r["dst"]): r["dist"] for r in paths.distance_pairs(TiledGraph(edges)).collect()}
+    found = {(r["src"], r["dst"]): r["dist"] for r in paths.distance_pairs(BlockGraph(edges)).collect()}
     whole = {(a, b): d for a in links for b, d in single_source(links, a)[0].items() if a < b}
     assert found == pytest.approx(whole)
 

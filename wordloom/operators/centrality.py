@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wordloom.constants import PAGERANK_ALPHA, PAGERANK_ROUNDS, PAGERANK_TOLERANCE
 from wordloom.operators import paths, tiles
+from wordloom.operators.blocks import BlockGraph
 from wordloom.operators.tiles import TiledGraph
 from wordloom.session import checkpoint
 
@@ -30,21 +31,20 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 
 def closeness(edges: DataFrame) -> DataFrame:
     """Closeness over distances ``1 / weight``, scaled by the reachable part of the graph."""
-    graph = TiledGraph(edges.select("src", "dst", (F.lit(1.0) / F.col("weight")).alias("weight")))
+    graph = BlockGraph(edges.select("src", "dst", (F.lit(1.0) / F.col("weight")).alias("weight")))
     if graph.size == 0:
         return graph.no_scores()
-    reach = paths.reach(paths.shortest_distances(graph))
     others = F.lit(graph.size - 1.0)
     score = F.coalesce(F.try_divide("reached", "total") * F.try_divide("reached", others), F.lit(0.0))
-    return graph.with_terms(reach.select("node", score.alias("score")))
+    return graph.with_terms(paths.reach(graph).select("node", score.alias("score")))
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """Share of shortest paths through a term, the weight itself being the distance."""
-    graph = TiledGraph(edges)
+    graph = BlockGraph(edges)
     if graph.size == 0:
         return graph.no_scores()
-    through = paths.dependencies(graph, paths.count_paths(graph, paths.shortest_distances(graph)))
+    through = paths.dependencies(graph)
     pairs = (graph.size - 1) * (graph.size - 2)
     score = F.col("through") / F.lit(float(pairs)) if pairs > 0 else F.lit(0.0)
     return graph.with_terms(through.select("node", score.alias("score")))

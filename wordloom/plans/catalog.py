@@ -16,7 +16,7 @@ from wordloom.functions.text import clean_text, normalise_body, normalise_date,
 from wordloom.operators import articles as art
 from wordloom.operators import centrality, cooc, extract, graph, paths, terms
 from wordloom.operators.communities import communities
-from wordloom.operators.tiles import TiledGraph
+from wordloom.operators.blocks import BlockGraph
 from wordloom.plans.articles import landed_articles, search_articles as search_plan, week_details, week_ranking
 from wordloom.plans.keyword_graph import keyword_graph, term_cells, top_graph
 from wordloom.session import checkpoint
@@ -225,7 +225,7 @@ def _by_first_letter(nodes: DataFrame) -> DataFrame:
 @query("apsp_inverse")
 def apsp_inverse(spark, folder):
     inverse = _edges(spark, folder).withColumn("weight", F.lit(1.0) / F.col("weight"))
-    return paths.distance_pairs(TiledGraph(inverse)).select("src", "dst", F.round("dist", 9).alias("dist"))
+    return paths.distance_pairs(BlockGraph(inverse)).select("src", "dst", F.round("dist", 9).alias("dist"))
 
 
 @query("cent_weighted_degree")

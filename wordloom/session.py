@@ -48,11 +48,12 @@ class Rounds:
     def write(self, df: DataFrame) -> DataFrame:
         spark, path = df.sparkSession, table_path(df.sparkSession)
         df.write.parquet(path)
-        self._drop()
+        self.drop()
         self._written.append((spark, path))
         return spark.read.schema(df.schema).parquet(path)
 
-    def _drop(self) -> None:
+    def drop(self) -> None:
+        """Remove the last table, when what was read from it is written elsewhere."""
         while self._written:
             drop_folder(*self._written.pop())
 
@@ -61,7 +62,22 @@ class Rounds:
 
     def __exit__(self, kind: type | None, error: BaseException | None, trace: object) -> None:
         if kind is not None:
-            self._drop()
+            self.drop()
+
+
+class Collected:
+    """A table that grows by the results of one wave of work after the other."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self._spark, self._path = spark, table_path(spark)
+        self.add(spark.createDataFrame([], schema))
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self._path)
+        self._schema = df.schema
+
+    def table(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(self._path)
 
 
 def table_path(spark: SparkSession) -> str:
