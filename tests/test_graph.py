@@ -232,3 +232,40 @@ def test_empty_corpus_gives_empty_graph(fruit):
 
 def test_isolated(fruit_edges):
     assert {r["term"] for r in cooc.endpoints(fruit_edges).collect()} == {"apple", "banana", "cherry", "durian"}
+
+
+def test_ritz_vector_of_plain_matrices():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 3, 9):
+        matrix = rng.random((size, size))
+        matrix = matrix + matrix.T
+        columns = [np.ones(size)]
+        for _ in range(centrality.EIGEN_BASIS):
+            columns.append(matrix @ columns[-1])
+        columns = np.array(columns).T
+        weights, _, turned = centrality.ritz_vector(np.linalg.qr(np.vstack([columns, np.zeros((9, 7))]), mode="r"))
+        found = columns[:, : len(weights)] @ weights
+        leading = np.linalg.eigh(matrix)[1][:, -1]
+        assert abs(abs(found @ leading) - 1) < (1e-9 if size < 4 else 1e-4)
+        assert turned < (1e-8 if size < 4 else 0.1)
+
+
+@pytest.mark.parametrize("name", ["pagerank", "eigenvector"])
+def test_spectral_measures_over_several_ranges(spark, name):
+    """More nodes than a range holds, in two parts of which one has the larger eigenvalue."""
+    rows = random_edges(1100, 0.01, seed=8) + [("z1", "z2", 3), ("z2", "z3", 4)]
+    found = scores(graph.centrality_by(spark.createDataFrame(rows, SCHEMA).repartition(5), name))
+    terms = sorted({t for row in rows for t in row[:2]})
+    index = {t: i for i, t in enumerate(terms)}
+    matrix = np.zeros((len(terms), len(terms)))
+    for a, b, w in rows:
+        matrix[index[a], index[b]] = matrix[index[b], index[a]] = w
+    if name == "eigenvector":
+        expected = np.abs(np.linalg.eigh(matrix)[1][:, -1])
+    else:
+        expected = np.full(len(terms), 1 / len(terms))
+        for _ in range(100):
+            last, expected = expected, 0.85 * (expected @ (matrix / matrix.sum(axis=1, keepdims=True))) + 0.15 / len(terms)
+            if np.abs(expected - last).sum() < len(terms) * 1e-6:
+                break
+    assert [found[t] for t in terms] == pytest.approx(expected, abs=1e-9)
