@@ -5,11 +5,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.operators import centrality, cooc, graph, paths
-from wordloom.operators.communities import communities
+from wordloom.operators import communities as louvain
 from wordloom.operators.blocks import BlockGraph
+from wordloom.operators.communities import communities
 from wordloom.plans.keyword_graph import keyword_graph
+from wordloom.session import checkpoint
 
 SCHEMA = "src string, dst string, weight long"
 
@@ -158,6 +161,15 @@ def test_width_is_that_of_numpy(spark):
     assert [found[a, b] for a, b, _ in rows] == list(zip(scaled, relative))
 
 
+@pytest.mark.parametrize("part", [0.0, 0.1, 0.5, 0.75, 0.999, 1.0])
+def test_percentiles_are_those_of_numpy(spark, part):
+    rng = random.Random(3)
+    for size in (1, 2, 7, 400):
+        weights = [rng.choice([1, 2, 3, 50, rng.randint(1, 10**9)]) for _ in range(size)]
+        edges = spark.createDataFrame([("a", "b", w) for w in weights], SCHEMA).repartition(6)
+        assert graph.weight_percentile(edges, part).first()[0] == pytest.approx(np.percentile(weights, 100 * part))
+
+
 def test_equal_weights_keep_no_edge(spark):
     edges = spark.createDataFrame([("a", "b", 4), ("b", "c", 4)], SCHEMA)
     scaled = graph.scale_edges(edges)
@@ -189,6 +201,53 @@ def test_hub_does_not_stall(spark):
     assert graph.modularity(edges, found).first()[0] == pytest.approx(0.0, abs=1e-9)
 
 
+def test_moves_of_a_round_gain_together(spark):
+    """Every round raises modularity, whatever is moved at once; nodes crowd into few communities."""
+    rng = random.Random(6)
+    rows = random_edges(60, 0.2, seed=21) + [("n000", f"x{i:02}", rng.randint(1, 3)) for i in range(60)]
+    edges = spark.createDataFrame(rows, SCHEMA)
+    links = centrality.both_ways(edges).selectExpr("src as a", "dst as b", "weight")
+    twice_m = float(2 * sum(w for *_, w in rows))
+    place = links.groupBy("a").agg(F.sum("weight").cast("double").alias("degree")).selectExpr("a as node", "a as community", "degree", "degree as total")
+    last = -1.0
+    for _ in range(4):
+        place = checkpoint(place)
+        value = graph.modularity(edges, place.selectExpr("node as term", "xxhash64(community) as `group`")).first()[0]
+        assert value > last
+        last = value
+        gains = checkpoint(louvain._gains(links, place, twice_m))
+        if gains.isEmpty():
+            break
+        moves = louvain._safe_moves(gains, twice_m)
+        after = place.join(moves, "node", "left").selectExpr("node", "coalesce(target, community) as community", "degree")
+        place = after.join(after.groupBy("community").agg(F.sum("degree").alias("total")), "community").select("node", "community", "degree", "total")
+
+
+def test_no_two_communities_gain_by_merging(spark):
+    rows = random_edges(50, 0.15, seed=12)
+    found = communities(spark.createDataFrame(rows, SCHEMA))
+    group = {r["term"]: r["group"] for r in found.collect()}
+    links, m2 = neighbours(rows), 2 * sum(w for *_, w in rows)
+    assert set(group) == set(links)
+    firsts = [min(t for t in group if group[t] == g) for g in range(len(set(group.values())))]
+    assert firsts == sorted(firsts)
+    total, between = dict.fromkeys(group.values(), 0), {}
+    for v in links:
+        total[group[v]] += sum(links[v].values())
+    for a, b, w in rows:
+        if group[a] != group[b]:
+            pair = tuple(sorted((group[a], group[b])))
+            between[pair] = between.get(pair, 0) + w
+    assert all(w / m2 - total[g] * total[h] / m2**2 < 1e-6 for (g, h), w in between.items())
+
+
+def test_rounds_use_no_window(spark):
+    links = centrality.both_ways(cliques(spark)).selectExpr("src as a", "dst as b", "weight")
+    place = links.groupBy("a").agg(F.sum("weight").cast("double").alias("degree")).selectExpr("a as node", "a as community", "degree", "degree as total")
+    moves = louvain._safe_moves(louvain._gains(links, place, 82.0), 82.0)
+    assert "Window" not in spark._jvm.PythonSQLUtils.explainString(moves._jdf.queryExecution(), "simple")
+
+
 def test_communities_beat_parts_and_singletons(spark):
     edges = spark.createDataFrame(random_edges(40, 0.12, seed=11), SCHEMA)
     found = communities(edges)

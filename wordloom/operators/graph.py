@@ -6,7 +6,7 @@ are broadcast, large ones shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.constants import (
@@ -20,7 +20,7 @@ from wordloom.constants import (
 from wordloom.operators import centrality
 from wordloom.operators.cooc import drop_isolated
 from wordloom.operators.terms import SORT_DECIMALS
-from wordloom.session import numbered
+from wordloom.session import numbered, running_sums
 
 
 def centrality_by(edges: DataFrame, sort_by: str) -> DataFrame | None:
@@ -55,6 +55,24 @@ def subgraph(edges: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
+def weight_percentile(edges: DataFrame, part: float) -> DataFrame:
+    """The exact percentile of the edges' weights, between two weights in proportion: one row ``(weight)``.
+
+    Weights are counted, the distinct ones sorted in ranges, and counts added up inside a
+    range and over the ranges, so no task holds all weights. The two ranks that the
+    percentile lies between are looked up among the sums. Null without edges.
+    """
+    counts = edges.groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
+    summed = running_sums(counts, "weight", "n", "before")
+    place = F.lit(part) * (edges.agg(F.count(F.lit(1)).alias("n")).scalar() - 1)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("weight"))).cast("double")
+
+    found = summed.agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"))
+    return found.select((F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))).alias("weight"))
+
+
 def scale_edges(edges: DataFrame) -> DataFrame:
     """Add ``width`` and ``nor_weight`` to the edges.
 
@@ -64,7 +82,7 @@ def scale_edges(edges: DataFrame) -> DataFrame:
     """
     low = edges.agg(F.min("weight")).scalar()
     high = edges.agg(F.max("weight")).scalar()
-    upper = edges.agg(F.percentile("weight", F.lit(EDGE_PERCENTILE))).scalar()
+    upper = weight_percentile(edges, EDGE_PERCENTILE).scalar()
 
     def width(weight):
         return (weight - low) / (upper - low + F.lit(EDGE_EPSILON)) + F.lit(EDGE_OFFSET)

@@ -66,7 +66,22 @@ class Products:
         return self._spark.range(self.graph.side).mapInPandas(fill, VECTORS)
 
     def following(self, vectors: DataFrame, steps: int, update: Update) -> DataFrame:
-        """``vectors`` with ``steps`` more, each made by ``update`` from the matrix times the one before."""
+        """``vectors`` with ``steps`` more, each made by ``update`` from the matrix times the one before.
+
+        A graph of one range has one tile, which makes all steps where it is.
+        """
+
+        def stay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    tile, found = Tile.of(row), vectors_of(row["vectors"])
+                    for _ in range(steps):
+                        product = np.bincount(tile.v, tile.w * found[-1][tile.u], WIDTH)
+                        found = np.vstack([found, update(row["block"], found, product)])
+                    yield pd.DataFrame({"block": [row["block"]], "vectors": [found.tobytes()]})
+
+        if self.graph.side == 1:
+            return vectors.join(self.tiles, "block").select("block", "u", "v", "w", "vectors").mapInPandas(stay, VECTORS)
 
         def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -99,6 +99,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows with a smaller ``order``.
+
+    The values of ``order`` must differ. The rows are sorted in ranges and written; the sum
+    runs inside each range, which one task holds, and starts where the sums of the ranges before it
+    end. Only those, one row for each range, are summed in one task.
+    """
+    ranged = df.repartitionByRange(F.col(order)).withColumn("wl_range", F.spark_partition_id())
+    ranged = checkpoint(ranged)
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("wl_range").agg(F.sum(value).alias("wl_size"))
+    starts = sizes.select("wl_range", F.coalesce(F.sum("wl_size").over(before.orderBy("wl_range")), F.lit(0)).alias("wl_start"))
+    inside = F.coalesce(F.sum(value).over(before.partitionBy("wl_range").orderBy(order)), F.lit(0))
+    summed = ranged.withColumn("wl_inside", inside).join(starts, "wl_range")
+    return summed.select(*df.columns, (F.col("wl_start") + F.col("wl_inside")).alias(name))
+
+
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """``df`` with whole numbers ``name`` from 0 in the order of column ``order``.
 
