@@ -1,12 +1,16 @@
 import html as python_html
+import random
 
 from pyspark.sql import functions as F
 
 from wordloom.functions.html import (
     Selector,
     decode_entities,
+    element_markups,
     element_text,
     html_to_text,
+    matching,
+    page_elements,
     visible_markup,
 )
 
@@ -49,3 +53,47 @@ def test_inside(spark):
     page = '<a>out</a><div id="footer"><address>x <a href="#">in</a></address></div>'
     inner = Selector("a", inside=Selector("address", inside=Selector("div", "id", "footer")))
     assert text_of(spark, page, inner) == "in"
+
+
+def test_inside_any_of_several(spark):
+    """The first address and the first footer hold no link."""
+    page = (
+        '<div id="footer"><p>none</p></div><a>out</a>'
+        '<div id="footer"><address>no link</address><div><address>x <a>in</a></address></div></div>'
+    )
+    footer = Selector(None, "id", "footer")
+    assert text_of(spark, page, Selector("a", inside=Selector("address", inside=footer))) == "in"
+    assert text_of(spark, page, Selector("a", inside=Selector("address", inside=footer), first_outer=True)) is None
+    assert text_of(spark, page, Selector("address", inside=footer)) == "no link"
+
+
+def test_one_walk_for_all_selectors(spark):
+    page = "<div id=a>1<p>2</div>3<P class='x y'>4<br/><i>5</p>6</i>"
+    found = {(e.tag, page[e.start : e.end]) for e in page_elements(page)}
+    assert found == {("div", "1<p>2"), ("p", "2</div>3<P class='x y'>4<br/><i>5</p>6</i>"), ("p", "4<br/><i>5"), ("i", "5</p>6")}
+    wanted = [Selector("p", "class", "y"), Selector("em"), Selector(None, "id", "a"), Selector("i", inside=Selector("p", "class", "x"))]
+    assert value(spark, page, lambda t: element_markups(t, wanted)) == ["4<br/><i>5", None, "1<p>2", "5</p>6"]
+    assert value(spark, None, lambda t: element_markups(t, wanted)) == [None] * 4
+
+
+def test_walk_equals_plain_nesting():
+    """Random well-formed pages: every element's inner markup, and descendants by plain recursion."""
+    rng = random.Random(4)
+
+    def build(depth):
+        tag = rng.choice(["div", "p", "a"])
+        parts = [build(depth - 1) if depth and rng.random() < 0.7 else ("", rng.choice(["x", "y"]), []) for _ in range(rng.randint(0, 3))]
+        return tag, "".join(markup for _, markup, _ in parts) if not tag else f"<{tag}>" + "".join(m for _, m, _ in parts) + f"</{tag}>", parts
+
+    def nested(node, tags, under=False):
+        tag, markup, parts = node
+        here = [markup] if tag == tags[1] and under else []
+        return here + [m for part in parts for m in nested(part, tags, under or tag == tags[0])]
+
+    for _ in range(60):
+        root = build(4)
+        elements = page_elements(root[1])
+        for outer in ("div", "p", "a"):
+            for inner in ("div", "p", "a"):
+                found = matching(elements, Selector(inner, inside=Selector(outer)))
+                assert [f"<{inner}>{root[1][e.start : e.end]}</{inner}>" for e in found] == nested(root, (outer, inner))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass
+from functools import lru_cache
 from html.entities import name2codepoint
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.text import _once
 
@@ -20,13 +25,15 @@ class Selector:
     """An element to find: tag name, ``None`` for any, and, if given, one attribute it must carry.
 
     ``attribute='class'`` matches one of the blank-separated class names; any other
-    attribute must equal ``value``. ``inside`` narrows the search to another element.
+    attribute must equal ``value``. ``inside`` narrows the search to elements within any
+    that match another selector, or within the first such one only.
     """
 
     tag: str | None
     attribute: str | None = None
     value: str | None = None
     inside: Selector | None = None
+    first_outer: bool = False
 
     def open_tag(self) -> str:
         tag = self.tag or "[a-z][a-z0-9]*"
@@ -45,40 +52,124 @@ def visible_markup(html: Column) -> Column:
     )
 
 
-def element_markup(markup: Column, selector: Selector) -> Column:
-    """Inner markup of the first element that matches; null if there is none.
+@dataclass(frozen=True)
+class Element:
+    """An element of a page: its opening tag, and where its inner markup lies."""
+
+    tag: str
+    opening: str
+    start: int
+    end: int
+
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s[^>]*)?>")
+
+
+def page_elements(page: str) -> list[Element]:
+    """All elements of a page in order, from one walk over its tags.
 
-    Elements of the same tag nested inside are kept: the rest of the page is cut at
-    every open or close tag of that name and read up to where the depth is back at 0.
-    An element that is never closed reaches to the end of the page.
+    A closing tag ends the last open element of its name, so elements that stand across each other
+    are kept apart by name. An element that is never closed reaches to the end of the page.
     """
-    if selector.inside is not None:
-        markup = element_markup(markup, selector.inside)
-    from_element = F.nullif(F.regexp_extract(markup, f"(?is){selector.open_tag()}.*", 0), F.lit(""))
-    after = F.regexp_replace(from_element, "^<[^>]*>", "")
-    # Every piece but the first starts with an open or a close tag, of this name if one is given.
-    pieces = F.split(after, rf"(?i)(?=</?{selector.tag or '[a-z][a-z0-9]*'}[\s>])", -1)
-    name = F.lit(selector.tag.lower()) if selector.tag else F.lower(F.regexp_extract(from_element, "^<([A-Za-z0-9]+)", 1))
-
-    def starts(piece: Column, mark: str) -> Column:
-        return F.lower(F.regexp_extract(piece, f"^{mark}([A-Za-z0-9]+)", 1)) == name
-
-    def step(state: Column, piece: Column) -> Column:
-        change = F.when(starts(piece, "</"), -1).when(starts(piece, "<"), 1).otherwise(0)
-        moved = F.named_struct(F.lit("seen"), state["seen"] + 1, F.lit("depth"), state["depth"] + change)
-        return F.when(state["depth"] == 0, state).otherwise(moved)
-
-    def inner(parts: Column) -> Column:
-        # The piece that brings the depth to 0 starts with the close tag and is not kept.
-        kept = F.aggregate(
-            parts,
-            F.named_struct(F.lit("seen"), F.lit(0), F.lit("depth"), F.lit(1)),
-            step,
-            lambda end: end["seen"] - F.when(end["depth"] == 0, 1).otherwise(0),
-        )
-        return F.array_join(F.slice(parts, F.lit(1), kept), "")
+    found: list[tuple[str, str, int]] = []
+    ends: dict[int, int] = {}
+    still_open: dict[str, list[int]] = {}
+    for tag in _TAG.finditer(page):
+        name = tag[2].lower()
+        if not tag[1]:
+            still_open.setdefault(name, []).append(len(found))
+            found.append((name, tag[0], tag.end()))
+        elif still_open.get(name):
+            ends[still_open[name].pop()] = tag.start()
+    return [Element(*element, ends.get(i, len(page))) for i, element in enumerate(found)]
+
+
+def matching(elements: list[Element], selector: Selector) -> list[Element]:
+    """The elements that match, in order; with ``inside``, those in any element that matches it."""
+    tag, opening = selector.tag and selector.tag.lower(), re.compile(f"(?is){selector.open_tag()}")
+    near = [e for e in elements if (tag is None or e.tag == tag) and (selector.attribute is None or opening.fullmatch(e.opening))]
+    if selector.inside is None:
+        return near
+    outer = matching(elements, selector.inside)
+    if selector.first_outer:
+        outer = outer[:1]
+    # Reach of the outer elements so far; an element inside any of them starts before the furthest end.
+    found, reach, at = [], -1, 0
+    for element in near:
+        while at < len(outer) and outer[at].start <= element.start - len(element.opening):
+            reach = max(reach, outer[at].end)
+            at += 1
+        if element.start <= reach:
+            found.append(element)
+    return found
+
+
+def written(selectors: Sequence[Selector]) -> Column:
+    """Selectors as a constant column."""
+    return F.lit(json.dumps([asdict(selector) for selector in selectors], ensure_ascii=False))
+
+
+@lru_cache(maxsize=256)
+def _read_selectors(text: str) -> tuple[Selector, ...]:
+    def selector(fields: dict) -> Selector:
+        return Selector(**{**fields, "inside": fields["inside"] and selector(fields["inside"])})
+
+    return tuple(map(selector, json.loads(text)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _first_markups(pages: pd.Series, selectors: pd.Series) -> pd.Series:
+    found = []
+    for page, text in zip(pages, selectors, strict=True):
+        elements = page_elements(page) if page is not None else []
+        firsts = [next(iter(matching(elements, selector)), None) for selector in _read_selectors(text)]
+        found.append([None if e is None else page[e.start : e.end] for e in firsts])
+    return pd.Series(found, dtype=object)
+
+
+def element_markups(markup: Column, selectors: Sequence[Selector]) -> Column:
+    """Inner markup of the first element that matches each selector, null where there is none, from one walk."""
+    return _first_markups(markup, written(selectors))
 
-    return _once(pieces, inner)
+
+def element_markup(markup: Column, selector: Selector) -> Column:
+    """Inner markup of the first element that matches; null if there is none."""
+    return element_markups(markup, [selector])[0]
+
+
+@F.pandas_udf(
+    T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("section", T.IntegerType()),
+                T.StructField("heading", T.StringType()),
+                T.StructField("opening", T.ArrayType(T.StringType())),
+                T.StructField("inner", T.ArrayType(T.StringType())),
+            ]
+        )
+    )
+)
+def _section_anchors(pages: pd.Series, selectors: pd.Series, depth: pd.Series) -> pd.Series:
+    found = []
+    for page, text, most in zip(pages, selectors, depth, strict=True):
+        heading, *sections = _read_selectors(text)
+        elements = page_elements(page) if page is not None else []
+        blocks = []
+        for number, section in enumerate(sections):
+            block = next(iter(matching(elements, section)), None)
+            if block is not None:
+                inside = [e for e in elements if block.start <= e.start - len(e.opening) and e.start <= block.end]
+                head = next(iter(matching(inside, heading)), None)
+                anchors = matching(inside, Selector("a"))[: int(most)]
+                texts = [page[e.start : e.end] for e in anchors]
+                blocks.append((number, head and page[head.start : head.end], [e.opening for e in anchors], texts))
+        found.append(blocks)
+    return pd.Series(found, dtype=object)
+
+
+def section_anchors(markup: Column, sections: Sequence[Selector], heading: Selector, depth: int) -> Column:
+    """For each section found: its number, its heading's markup, and tags and markup of its first anchors, from one walk."""
+    return _section_anchors(markup, written([heading, *sections]), F.lit(depth))
 
 
 def decode_entities(text: Column) -> Column:
@@ -123,6 +214,11 @@ def html_to_text(markup: Column) -> Column:
     return decode_entities(F.regexp_replace(visible_markup(markup), "<[^>]+>", ""))
 
 
+def markup_text(markup: Column) -> Column:
+    """Text of markup that went through ``visible_markup``."""
+    return decode_entities(F.regexp_replace(markup, "<[^>]+>", ""))
+
+
 def element_text(markup: Column, selector: Selector) -> Column:
     """Text of the first matching element of markup that went through ``visible_markup``."""
-    return decode_entities(F.regexp_replace(element_markup(markup, selector), "<[^>]+>", ""))
+    return markup_text(element_markup(markup, selector))

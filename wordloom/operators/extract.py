@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +12,30 @@ from wordloom.constants import RANKING_DEPTH, RANKING_SECTION_IDS
 from wordloom.functions.html import (
     Selector,
     decode_entities,
-    element_markup,
-    element_text,
+    element_markups,
+    markup_text,
+    section_anchors,
     visible_markup,
 )
 from wordloom.functions.text import normalise_body, parse_date
 
-Rule = Callable[[Column], Column]
 
-# Where the portal's article pages keep each field.
+@dataclass(frozen=True)
+class Rule:
+    """Where a field stands and what becomes of its text; without a selector, of the page."""
+
+    selector: Selector | None
+    finish: Callable[[Column], Column] = lambda text: text
+
+
+# Where the portal's article pages keep each field. The company is the first
+# link of the first address.
 ARTICLE_RULES: dict[str, Rule] = {
-    "pdate": lambda page: F.substring(element_text(page, Selector(None, "class", "t11")), 1, 11),
-    "articleTitle": lambda page: element_text(page, Selector("h3", "id", "articleTitle")),
-    "article": lambda page: normalise_body(element_text(page, Selector(None, "id", "articleBodyContents"))),
-    "pcompany": lambda page: element_text(
-        page, Selector("a", inside=Selector("address", inside=Selector(None, "id", "footer")))
-    ),
-    "aclass": lambda page: element_text(page, Selector("em", "class", "guide_categorization_item")),
+    "pdate": Rule(Selector(None, "class", "t11"), lambda text: F.substring(text, 1, 11)),
+    "articleTitle": Rule(Selector("h3", "id", "articleTitle")),
+    "article": Rule(Selector(None, "id", "articleBodyContents"), normalise_body),
+    "pcompany": Rule(Selector("a", inside=Selector("address", inside=Selector(None, "id", "footer")), first_outer=True)),
+    "aclass": Rule(Selector("em", "class", "guide_categorization_item")),
 }
 REQUIRED_FIELDS = ["pdate", "articleTitle", "article", "aclass"]
 
@@ -36,22 +44,28 @@ def extract_articles(pages: DataFrame, rules: Mapping[str, Rule] = ARTICLE_RULES
     """``(pdate, articleTitle, article, pcompany, url, aclass, pub_date)`` of every page.
 
     A missing company is ``''``; any other missing field is null, see
-    ``complete_articles`` and ``rejected_articles``.
+    ``complete_articles`` and ``rejected_articles``. All elements of a page are found by one
+    walk over its tags.
     """
-    page = F.col("page")
+    selected = {name: rule.selector for name, rule in rules.items() if rule.selector is not None}
+    markups = element_markups(F.col("page"), list(selected.values()))
+    found = pages.select("url", visible_markup(F.col("html")).alias("page")).select("url", "page", markups.alias("markups"))
+
+    def field(name: str) -> Column:
+        at = list(selected).index(name) if name in selected else None
+        return rules[name].finish(F.col("page") if at is None else markup_text(F.col("markups")[at]))
+
     fields = F.struct(
-        rules["pdate"](page).alias("pdate"),
-        rules["articleTitle"](page).alias("articleTitle"),
-        rules["article"](page).alias("article"),
-        F.coalesce(rules["pcompany"](page), F.lit("")).alias("pcompany"),
+        field("pdate").alias("pdate"),
+        field("articleTitle").alias("articleTitle"),
+        field("article").alias("article"),
+        F.coalesce(field("pcompany"), F.lit("")).alias("pcompany"),
         F.col("url"),
-        rules["aclass"](page).alias("aclass"),
+        field("aclass").alias("aclass"),
     )
     # The one-element array keeps later filters on the fields from being evaluated
     # ahead of the extraction, which would run every pattern twice.
-    rows = pages.select("url", visible_markup(F.col("html")).alias("page")).select(
-        F.explode_outer(F.array(fields)).alias("a")
-    )
+    rows = found.select(F.explode_outer(F.array(fields)).alias("a"))
     return rows.select("a.*", parse_date(F.col("a.pdate")).alias("pub_date"))
 
 
@@ -107,22 +121,16 @@ def extract_ranking(
     """
     kept = [name for name in pages.columns if name != "html"]
     page = pages.select(*kept, visible_markup(F.col("html")).alias("page"))
-    blocks = page.select(
-        *kept, F.explode_outer(F.array(*[element_markup(F.col("page"), section) for section in sections])).alias("block")
-    ).where(F.col("block").isNotNull())
-    anchors = F.slice(
-        F.regexp_extract_all("block", F.lit(r"(?is)<a(?:\s[^>]*)?>.*?</a\s*>"), F.lit(0)), 1, depth
-    )
-    rows = blocks.select(
-        *kept, element_text(F.col("block"), heading).alias("blind"), F.posexplode_outer(anchors).alias("position", "anchor")
-    ).where(F.col("anchor").isNotNull())
-    text = decode_entities(F.regexp_replace("anchor", "<[^>]+>", ""))
+    blocks = page.select(*kept, F.explode(section_anchors(F.col("page"), sections, heading, depth)).alias("block"))
+    anchors = F.arrays_zip("block.opening", "block.inner")
+    rows = blocks.select(*kept, markup_text(F.col("block.heading")).alias("blind"), F.posexplode(anchors).alias("position", "anchor"))
+    text = markup_text(F.col("anchor.inner"))
     return rows.select(
         *kept,
         "blind",
         "position",
-        F.concat(F.lit(base_url), _attribute(F.col("anchor"), "href")).alias("href"),
-        F.coalesce(_attribute(F.col("anchor"), "title"), text).alias("title"),
+        F.concat(F.lit(base_url), _attribute(F.col("anchor.opening"), "href")).alias("href"),
+        F.coalesce(_attribute(F.col("anchor.opening"), "title"), text).alias("title"),
     )
 
 

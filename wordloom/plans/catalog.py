@@ -348,17 +348,13 @@ def whole_keyword_graph(spark, folder):
 # Extraction
 
 
-def _tag_text(tag: str):
-    return lambda page: element_text(page, Selector(tag))
-
-
 # Where the given pages keep the fields; they carry no date.
 PAGE_RULES = {
-    "pdate": _tag_text("time"),
-    "articleTitle": _tag_text("h1"),
-    "article": lambda page: normalise_body(element_text(page, Selector("article"))),
-    "pcompany": lambda page: F.nullif(F.regexp_extract(element_text(page, Selector("footer")), "^© ([^ ]+) ·", 1), F.lit("")),
-    "aclass": lambda page: F.nullif(F.regexp_extract(page, '<html lang="([^"]*)"', 1), F.lit("")),
+    "pdate": extract.Rule(Selector("time")),
+    "articleTitle": extract.Rule(Selector("h1")),
+    "article": extract.Rule(Selector("article"), normalise_body),
+    "pcompany": extract.Rule(Selector("footer"), lambda text: F.nullif(F.regexp_extract(text, "^© ([^ ]+) ·", 1), F.lit(""))),
+    "aclass": extract.Rule(None, lambda page: F.nullif(F.regexp_extract(page, '<html lang="([^"]*)"', 1), F.lit(""))),
 }
 
 
