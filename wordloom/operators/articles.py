@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wordloom.constants import RANKING_DEPTH
 from wordloom.operators.joins import join_detail
+from wordloom.operators.search_index import SearchIndex, rows_with
 
 
 def search(
@@ -20,15 +21,21 @@ def search(
     start: date | str | None = None,
     end: date | str | None = None,
     tie: Sequence[str] = ("url",),
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Rows that hold ``query`` in one of the text columns, dated within the days.
 
-    Both days count. Newest first, then by ``tie``. ``day`` may be a date or a
+    With an ``index`` of the table over the same columns only rows that it lists are looked
+    at. Both days count. Newest first, then by ``tie``. ``day`` may be a date or a
     timestamp column; the range is written on the column itself so that it reaches
     the scan.
     """
     found = table
-    if query is not None:
+    if index is not None and tuple(text_columns) != index.columns:
+        raise ValueError("the index is over other columns")
+    if query is not None and index is not None:
+        found = rows_with(table, index, query)
+    elif query is not None:
         hit = F.lit(False)
         for name in text_columns:
             hit = hit | F.coalesce(F.contains(F.col(name), F.lit(query)), F.lit(False))

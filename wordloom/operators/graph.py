@@ -141,6 +141,41 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+def partition_facts(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of what a good partition ``groups(term, group)`` of the graph must fulfil.
+
+    ``n_terms`` terms have a group; ``once``: each term of the graph has one; ``numbered``:
+    groups count from 0 in order of their smallest terms; ``settled``: no two linked groups
+    gain by being one; ``beats_one`` and ``beats_singles``: modularity is not below that of one group
+    and of groups of one term.
+    """
+    terms = edges.select(F.explode(F.array("src", "dst")).alias("term")).distinct()
+    both = terms.join(groups.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", "full")
+    once = both.agg(F.coalesce(F.bool_and(F.coalesce(F.col("n"), F.lit(0)) == 1), F.lit(True)).alias("v"))
+    firsts = groups.groupBy("group").agg(F.min("term").alias("first"))
+    wanted = number_groups(groups.select("term", F.col("group").alias("label")))
+    same = groups.join(wanted.withColumnRenamed("group", "wanted"), "term").agg(F.coalesce(F.bool_and(F.col("group") == F.col("wanted")), F.lit(True)).alias("v"))
+    ends = group_edges(edges, groups).withColumnRenamed("group", "g")
+    ends = ends.join(groups.select(F.col("term").alias("dst"), F.col("group").alias("h")), "dst")
+    totals = ends.select(F.explode(F.array("g", "h")).alias("g"), "weight").groupBy("g").agg(F.sum("weight").cast("double").alias("total"))
+    twice_m = totals.agg(F.sum("total")).scalar()
+    between = ends.where("g <> h").groupBy(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).agg(F.sum("weight").alias("tie"))
+    merges = between.join(totals, "g").join(totals.select(F.col("g").alias("h"), F.col("total").alias("other")), "h")
+    gain = F.col("tie") / twice_m - F.col("total") * F.col("other") / (twice_m * twice_m)
+    settled = merges.agg(F.coalesce(F.max(gain) <= 1e-6, F.lit(True)).alias("v"))
+    own = modularity(edges, groups).scalar()
+    one = modularity(edges, terms.withColumn("group", F.lit(0))).scalar()
+    singles = modularity(edges, terms.withColumn("group", F.xxhash64("term"))).scalar()
+    return firsts.agg(
+        groups.agg(F.count(F.lit(1))).scalar().alias("n_terms"),
+        once.scalar().alias("once"),
+        same.scalar().alias("numbered"),
+        settled.scalar().alias("settled"),
+        F.coalesce(own >= one - 1e-9, F.lit(True)).alias("beats_one"),
+        F.coalesce(own >= singles - 1e-9, F.lit(True)).alias("beats_singles"),
+    )
+
+
 def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph as one node-link JSON object, in a one-row table ``(json)``.
 

@@ -16,8 +16,12 @@ from wordloom.operators.extract import (
     Rule,
     complete_articles,
     extract_articles,
+    extract_ranking,
     rejected_articles,
 )
+from wordloom.operators.search_index import SearchIndex, build_index
+
+SEARCHED = ["articleTitle", "article"]
 
 
 @dataclass(frozen=True)
@@ -38,10 +42,19 @@ def landed_articles(
 
 
 def search_articles(
-    found: Articles, word: str | None, start: date | str | None = None, end: date | str | None = None
+    found: Articles,
+    word: str | None,
+    start: date | str | None = None,
+    end: date | str | None = None,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Articles with ``word`` in the title or the body, dated within the days, newest first."""
-    return art.search(found.articles, word, ["articleTitle", "article"], F.col("pub_date"), start, end)
+    return art.search(found.articles, word, SEARCHED, F.col("pub_date"), start, end, index=index)
+
+
+def article_index(found: Articles) -> SearchIndex:
+    """An index for many searches among the same articles."""
+    return build_index(found.articles, "url", SEARCHED)
 
 
 def week_ranking(
@@ -57,3 +70,12 @@ def week_ranking(
 def week_details(ranking: DataFrame, details: DataFrame, key: str) -> DataFrame:
     """Ranked items with their details."""
     return art.ranking_detail(ranking, details, "item", key, keep_rank_columns=True)
+
+
+def landed_week_details(rankings: DataFrame, details: Articles, as_of: date | str, base_url: str, **where: object) -> DataFrame:
+    """Landed ranking pages ``(rank_date, ranking_type, html)`` of the week that ends with ``as_of``, and their articles.
+
+    Each ranked link brings its article's columns; links whose page did not land are left out.
+    """
+    ranked = extract_ranking(art.within_week(rankings, F.col("rank_date"), as_of), base_url, **where)
+    return art.ranking_detail(ranked, details.articles, "href", "url", keep_rank_columns=True)

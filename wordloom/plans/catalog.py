@@ -7,17 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.constants import COMMENT_PAGE_SIZE, MEASURES, PIPELINE_THRESHOLD, TOP_N
+from wordloom.constants import COMMENT_PAGE_SIZE, MEASURES, PIPELINE_THRESHOLD, RANKING_SECTION_IDS, TOP_N
 from wordloom.functions.html import Selector, element_text, html_to_text, visible_markup
 from wordloom.functions.text import clean_text, normalise_body, normalise_date, parse_date, text_halves, tokenize
 from wordloom.operators import articles as art
 from wordloom.operators import centrality, cooc, extract, graph, paths, terms
 from wordloom.operators.communities import communities
 from wordloom.operators.blocks import BlockGraph
-from wordloom.plans.articles import landed_articles, search_articles as search_plan, week_details, week_ranking
+from wordloom.operators.search_index import build_index
+from wordloom.plans.articles import (
+    Articles,
+    article_index,
+    landed_articles,
+    landed_week_details,
+    search_articles as search_plan,
+    week_details,
+    week_ranking,
+)
 from wordloom.plans.keyword_graph import keyword_graph, term_cells, top_graph
 from wordloom.session import checkpoint
 from wordloom.sources.tables import read_table
@@ -29,6 +38,7 @@ DECIMALS = 6
 
 ENGLISH_STOP_WORDS = ["and", "for", "in", "is", "of", "that", "the", "to", "with"]
 SEARCH_WORD = "tion"
+SEARCH_WORDS = ["tion", "License", "ö", "schung", "zzqq", "con de"]
 SEARCH_EVENT = "purchase"
 SEARCH_DAYS = ("2024-01-05", "2024-01-20")
 PORTAL_DAYS = ("1993-01-01", "1996-12-31")
@@ -333,10 +343,25 @@ def graph_node_link_lines(spark, folder):
     return graph.node_link_lines(nodes, graph.group_edges(edges, groups))
 
 
+def _whole_graph(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the whole graph that the threshold leaves."""
+    cells = term_cells(documents(spark, folder))
+    edges = checkpoint(graph.scale_edges(cooc.edges_above(cells)))
+    nodes, kept = graph.threshold_graph(cooc.node_weights(cells), edges, PIPELINE_THRESHOLD)
+    return nodes, checkpoint(kept)
+
+
 @query("communities")
 def louvain(spark, folder):
-    _, edges = _top_graph(spark, folder)
-    return communities(graph.threshold_edges(edges, PIPELINE_THRESHOLD))
+    return communities(_whole_graph(spark, folder)[1])
+
+
+@query("community_facts")
+def community_facts(spark, folder):
+    """What must hold of any good partition, whichever it is."""
+    edges = _whole_graph(spark, folder)[1]
+    groups = communities(edges)
+    return graph.partition_facts(edges, groups)
 
 
 @query("keyword_graph")
@@ -345,6 +370,18 @@ def whole_keyword_graph(spark, folder):
     return kept.select("src", "dst", "weight", rounded("nor_weight"))
 
 
+@query("keyword_graph_nodes")
+def keyword_graph_nodes(spark, folder):
+    """Kept nodes, and whether their edges' groups are those of their first ends."""
+    found = keyword_graph(documents(spark, folder))
+    of_edges = found.kept_edges.groupBy(F.col("src").alias("term")).agg(
+        F.count(F.lit(1)).alias("n_first"), F.min("group").alias("least"), F.max("group").alias("most")
+    )
+    agree = (F.col("least") == F.col("group")) & (F.col("most") == F.col("group"))
+    joined = found.kept_nodes.join(of_edges, "term", "left")
+    return joined.select("term", rounded("weight"), F.coalesce("n_first", F.lit(0)).alias("n_first"), F.coalesce(agree, F.lit(True)).alias("agree"))
+
+
 # Extraction
 
 
@@ -420,10 +457,66 @@ def portal_rejects(spark, folder):
 
 @query("portal_search")
 def portal_search(spark, folder):
-    found = search_plan(landed_articles(_portal_pages(spark, folder)), SEARCH_WORD, *PORTAL_DAYS)
+    whole = landed_articles(_portal_pages(spark, folder))
+    landed = Articles(checkpoint(whole.articles), whole.rejects)
+    found = search_plan(landed, SEARCH_WORD, *PORTAL_DAYS, index=article_index(landed))
     return found.select("url", "pdate", "articleTitle", "pub_date")
 
 
+@query("search_repeatedly")
+def search_repeatedly(spark, folder):
+    docs = documents(spark, folder)
+    index = build_index(docs, "doc_id", ["text"])
+    rows = None
+    for word in SEARCH_WORDS:
+        found = art.search(docs, word, ["text"], tie=["doc_id"], index=index).select(F.lit(word).alias("word"), "doc_id")
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+# Ranking pages in the portal's layout, one for each day and type: a section block for
+# each event type, the most active users as its links; every other link has a title.
+
+
+def _ranking_pages(spark, folder) -> DataFrame:
+    ranked = _rankings(read_table(spark, folder, "events"))
+    sections = ranked.select("section").distinct().withColumn("number", F.dense_rank().over(Window.orderBy("section")) - 1)
+    ids = F.array(*[F.lit(name) for name in RANKING_SECTION_IDS])
+    text = F.concat(F.lit("user "), F.col("item").cast("string"))
+    title = F.when(F.col("position") % 2 == 1, F.concat(F.lit(' title="'), text, F.lit(' &amp; co"'))).otherwise("")
+    link = F.concat(F.lit('<li><b>.</b><a href="/c'), F.col("item").cast("string"), F.lit('"'), title, F.lit(">"), text, F.lit("</a></li>"))
+    blocks = ranked.join(sections, "section").groupBy("rank_date", "ranking_type", "section", "number").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", link.alias("link")))), lambda x: x["link"]), "").alias("links")
+    )
+    block = F.concat(
+        F.lit('<div class="ranking" id="'), F.get(ids, F.col("number").cast("int")), F.lit('"><div><h5>'), "section", F.lit("</h5></div><ol>"), "links", F.lit("</ol></div>")
+    )
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", block.alias("block")))), lambda x: x["block"]), "<hr>")
+    pages_ = blocks.groupBy("rank_date", "ranking_type").agg(page.alias("page"))
+    return pages_.select("rank_date", "ranking_type", F.concat(F.lit("<html><body><a href='/top'>top</a>"), "page", F.lit("</body></html>")).alias("html"))
+
+
+@query("portal_ranking")
+def portal_ranking(spark, folder):
+    return extract.extract_ranking(_ranking_pages(spark, folder), "https://portal.example")
+
+
+def _customer_pages(spark, folder) -> DataFrame:
+    customers = read_table(spark, folder, "customer")
+    html = F.concat(
+        F.lit('<span class="t11">2024.01.01.</span><h3 id="articleTitle">'), "c_name", F.lit('</h3><div id="articleBodyContents">of '),
+        "c_mktsegment", F.lit('</div><em class="guide_categorization_item">'), "c_mktsegment", F.lit("</em>"),
+    )
+    return customers.select(F.concat(F.lit("https://portal.example/c"), F.col("c_custkey").cast("string")).alias("url"), html.alias("html"))
+
+
+@query("portal_week_details")
+def portal_week_details(spark, folder):
+    details = landed_articles(_customer_pages(spark, folder))
+    found = landed_week_details(_ranking_pages(spark, folder), details, AS_OF, "https://portal.example")
+    return found.select("rank_date", "ranking_type", "blind", "position", "url", "articleTitle", "aclass")
+
+
 @query("pages_without_links")
 def pages_without_links(spark, folder):
     return extract.pages_without_links(pages(spark, folder), Selector("a"), "/t")
@@ -496,6 +589,33 @@ def comment_completeness(spark, folder):
     return extract.comment_completeness(_responses(spark, folder).select("url", F.col("jsonp").alias("body")))
 
 
+# Responses as they may land: every third conversation lacks its first page, every seventh
+# response is cut off in the middle.
+
+
+def _damaged_responses(spark, folder) -> DataFrame:
+    number = F.substring_index("url", "/", -1).cast("long")
+    landed = _responses(spark, folder).withColumn("number", number)
+    first = F.get_json_object("json", "$[0].id").cast("long") < COMMENT_PAGE_SIZE
+    kept = landed.where(~((F.col("number") % 3 == 0) & first))
+    cut = F.col("number") % 7 == 0
+    half = lambda body: F.when(cut, F.col(body).substr(F.lit(1), F.floor(F.length(body) / 2).cast("int"))).otherwise(F.col(body))
+    return kept.select("url", half("json").alias("json"), half("jsonp").alias("jsonp"))
+
+
+@query("comment_shortfall")
+def comment_shortfall(spark, folder):
+    return extract.comment_completeness(_damaged_responses(spark, folder).select("url", F.col("jsonp").alias("body")))
+
+
+@query("comment_rejects")
+def comment_rejects(spark, folder):
+    landed = _damaged_responses(spark, folder)
+    wrapped = extract.rejected_jsonp(landed.select("url", F.col("jsonp").alias("body"))).select("url", F.lit("jsonp").alias("kind"))
+    plain = extract.rejected_json(landed.select("url", F.col("json").alias("body"))).select("url", F.lit("json").alias("kind"))
+    return wrapped.unionByName(plain).groupBy("url", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("top_level_comments")
 def top_level_comments(spark, folder):
     comments = extract.parse_comments_json(_responses(spark, folder).select("url", F.col("json").alias("body")))

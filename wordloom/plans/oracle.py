@@ -18,6 +18,7 @@ from wordloom.plans.catalog import (
     SEARCH_DAYS,
     SEARCH_EVENT,
     SEARCH_WORD,
+    SEARCH_WORDS,
 )
 
 
@@ -440,3 +441,39 @@ ORACLE |= {
         where (contains("articleTitle", {quoted(SEARCH_WORD)}) or contains(article, {quoted(SEARCH_WORD)}))
           and pub_date between date '{PORTAL_DAYS[0]}' and date '{PORTAL_DAYS[1]}' order by pub_date desc, url""",
 }
+
+WHOLE = "with " + cells() + SCALE.format(edges="edges") + THRESHOLD
+RANKED_PAGES = f"""
+    with ranked as ({rankings()}),
+    shown as (select rank_date, ranking_type, section as blind, (position - 1)::integer as position, 'https://portal.example/c' || item as href,
+        if(position % 2 = 1, 'user ' || item || ' & co', 'user ' || item) as title from ranked)"""
+DAMAGED = """
+    with turns as (select conv_id, turn, turn // 20 as page from conversations),
+    page_sizes as (select conv_id, page, count(*)::bigint as n, min(turn) as first from turns group by all),
+    landed as (select conv_id, page, n, conv_id % 7 = 0 as cut from page_sizes where not (conv_id % 3 = 0 and page = 0))"""
+ORACLE |= {
+    "search_repeatedly": " union all ".join(
+        f"select {quoted(word)} as word, doc_id from documents where contains(text, {quoted(word)})" for word in SEARCH_WORDS
+    ),
+    "portal_ranking": f"{RANKED_PAGES} select * from shown",
+    "portal_week_details": f"""
+        {RANKED_PAGES}
+        select rank_date, ranking_type, blind, position, href as url, c_name as "articleTitle", c_mktsegment as aclass
+        from shown join customer on href = 'https://portal.example/c' || c_custkey
+        where rank_date between date '{AS_OF}' - 6 and date '{AS_OF}'""",
+    "comment_shortfall": f"""
+        {DAMAGED}, totals as (select conv_id, count(*)::bigint as announced from turns group by all)
+        select 'https://example.com/' || conv_id as url, if(bool_and(cut), null, any_value(announced)) as announced,
+            sum(if(cut, 0, n))::bigint as landed, coalesce(if(bool_and(cut), null, any_value(announced)) = sum(if(cut, 0, n)), false) as complete
+        from landed join totals using (conv_id) group by conv_id""",
+    "comment_rejects": f"""
+        {DAMAGED}
+        select 'https://example.com/' || conv_id as url, kind, count(*)::bigint as n
+        from landed, (values ('jsonp'), ('json')) k(kind) where cut group by all""",
+    "community_facts": f"""
+        {WHOLE} select count(*)::bigint as n_terms, true as once, true as numbered, true as settled, true as beats_one, true as beats_singles
+        from kept_nodes""",
+    "keyword_graph_nodes": ORACLE["keyword_graph"].rsplit("select src, dst, weight", 1)[0] + """
+        select n.term, round(any_value(n.weight), 6) as weight, count(*) filter (kept.src = n.term)::bigint as n_first, true as agree
+        from kept join node_weight n on n.term = kept.src or n.term = kept.dst group by n.term""",
+}
