@@ -8,7 +8,7 @@ import brute
 import pandas as pd
 import pytest
 
-from wordloom.llm import decontaminate, interpolated, queries
+from wordloom.llm import decontaminate, interpolated, mixing, queries
 
 
 def test_documents_that_start_in_the_middle_of_an_item(spark):
@@ -76,3 +76,41 @@ def test_pairs_that_the_target_lacks_count(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
     got = {r["doc_id"]: r["difference"] for r in queries.lm_digest(docs, labels).collect()}
     assert got[0] == got[19] and got[20] == got[59] and got[0] < 0 and got[20] > 1
+
+
+def test_the_mix_is_what_the_schedule_holds(spark, small, duck, monkeypatch):
+    """Slots follow each other without gaps, every word taken has one, and without a schedule nothing is taken."""
+    pieces = mixing.mix_blocks(small[0].select("doc_id", "text", "source")).where("words > 0").collect()
+    slots = {}
+    for r in pieces:
+        assert slots.setdefault(r["slot"], (r["wl_source"], r["wl_block"])) == (r["wl_source"], r["wl_block"])
+    assert sorted(slots) == list(range(len(slots)))
+    blocks = {}
+    for slot in sorted(slots):
+        source, block = slots[slot]
+        assert block == blocks.get(source, 0)
+        blocks[source] = block + 1
+    got = {tuple(r) for r in mixing.mixing_digest(small[0]).select("doc_id", "taken", "first_slot", "n_pieces").collect()}
+    rows = duck.execute(f"select doc_id, taken, first_slot, n_pieces from ({queries.ORACLE['op6_mixing']})").fetchall()
+    assert got == set(rows)
+    # Rows of the pipeline's stage stand in the order of the slots they start in.
+    first = {d: slot for d, _, slot, _ in got}
+    order = [first[r["doc_id"]] for r in mixing.mix_documents(small[0]).dropDuplicates(["doc_id"]).collect() if r["doc_id"] in first]
+    assert set(order) <= {slot for _, _, slot, _ in got if slot is not None}
+    listed, seen = [r["doc_id"] for r in mixing.mix_documents(small[0]).collect()], set()
+    starts = [first[d] for d in listed if not (d in seen or seen.add(d))]
+    assert starts == sorted(starts)
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *args: whole(*args).where("false"))
+    assert {r["taken"] for r in mixing.mixing_digest(small[0]).collect()} == {0}
+    assert mixing.mix_documents(small[0]).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[7], [3, 1_000_000], [64, 64, 65, 1], [1] * 50, [5_000, 1, 90_000, 300, 0]])
+def test_every_block_has_a_slot(spark, sizes):
+    table = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    targets = mixing.source_targets(table)
+    need = {r["wl_source"]: math.ceil(round(r["target"]) / 64) for r in targets.collect()}
+    got = mixing.schedule(targets, sum(sizes)).collect()
+    assert sorted(r["slot"] for r in got) == list(range(sum(need.values())))
+    assert {(r["wl_source"], r["wl_block"]) for r in got} == {(s, b) for s, n in need.items() for b in range(n)}

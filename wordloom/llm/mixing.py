@@ -1,11 +1,12 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Sources get weights, weights give targets in words. Each source's documents are laid end
-to end in a seeded shuffled order and cut into blocks of equal length. The slots of the
-mix are the points of a golden-ratio sequence, mapped through the cumulative targets to
-sources; the slots of a source are ranked, and rank r takes block r of the source's line,
-which starts again at its end. A source's line ends at its target, so repeats and the last
-block are exact to the word.
+to end in a seeded shuffled order and cut into blocks of equal length; the line starts again at its
+end and stops at the target, so repeats and the last block are exact to the word. The
+points of a golden-ratio sequence are mapped through the cumulative numbers of blocks to
+sources; the points of a source are ranked, and rank r takes block r of the source's line.
+Points of a source whose line has ended are passed over, the others are the slots of the
+mix. What has a slot is in the mix, nothing else.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ STEP = 1_327_217_885
 # Cells of [0, 1) by which points find the source whose interval holds them.
 CELLS = 1024
 SLOT_CHUNK = 65_536
+# Golden-ratio points in an interval are fewer than their even share by less than this.
+UNEVEN = 8
 
 
 def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -40,8 +43,7 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     A target stops at ``max_repeats`` times the source's size and the excess goes to the
     others by weight, until none is above: with sources ordered by limit over weight, the
     level is the first that stays within the next limit. Returns ``source, source_size,
-    wl_source`` (0, 1, ...)``, target, wl_low, wl_high`` (the target's interval in [0, 1)).
-    The windows are over sources, of which there are few.
+    wl_source`` (0, 1, ...)``, target``. The windows are over sources, of which there are few.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("wl_source", F.row_number().over(by_name) - 1)
@@ -58,17 +60,16 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     chosen = F.min(F.when(F.col("wl_level") <= F.col("wl_ratio"), F.struct("wl_ratio", "wl_source", "wl_level"))).over(everything)
     level = F.coalesce(chosen["wl_level"], F.lit(0.0))
     leveled = fits.withColumn("target", F.least("wl_limit", F.col("wl_weight") * level))
-    in_order = Window.partitionBy(F.lit(0)).orderBy("wl_source")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    share = F.when(F.col("wl_total") > 0, F.coalesce(F.sum("target").over(before), F.lit(0.0)) / F.col("wl_total")).otherwise(0.0)
-    last = F.row_number().over(everything.orderBy(F.col("wl_source").desc())) == 1
-    low = leveled.withColumn("wl_low", share).withColumn("wl_last", last)
-    high = F.when(F.col("wl_last"), F.lit(2.0)).otherwise(F.lead("wl_low").over(in_order))
-    return low.withColumn("wl_high", high).select("source", "source_size", "wl_source", "target", "wl_low", "wl_high")
+    return leveled.select("source", "source_size", "wl_source", "target")
+
 
+def line_words() -> Column:
+    """Words of a source's line up to its target."""
+    return F.least(F.round("target").cast("long"), F.col("source_size") * MAX_REPEATS)
 
-def placed_documents(docs: DataFrame, size: Column, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """``docs`` on the lines of their sources, and the table of sources.
+
+def placed_documents(docs: DataFrame, size: Column, seed: str = SEED, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``docs`` on the lines of their sources, and the table of sources; sizes are worked out once and written.
 
     Added: ``size, source_size, target, wl_source, wl_start`` (words before the document
     in its source's shuffled line), ``wl_bucket, wl_row`` (a name for the row) and
@@ -77,6 +78,7 @@ def placed_documents(docs: DataFrame, size: Column, seed: str = SEED) -> tuple[D
     """
     content = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
     sized = replacing(docs, size=size).withColumn("wl_mark", F.md5(content.cast("binary")))
+    sized = checkpoint(sized if with_text else sized.drop("text"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("wl_rows"))
     per_source = checkpoint(per_source)
     rows = per_source.agg(F.sum("wl_rows")).first()[0] or 0
@@ -93,27 +95,50 @@ def placed_documents(docs: DataFrame, size: Column, seed: str = SEED) -> tuple[D
     before = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
     line = known.withColumn("wl_row", F.row_number().over(in_bucket)).withColumn("wl_inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
     line = line.join(offsets, ["wl_source", "wl_bucket"]).withColumn("wl_start", F.col("wl_offset") + F.col("wl_inside"))
-    line = line.withColumn("wl_words", F.least(F.round("target").cast("long"), F.col("source_size") * MAX_REPEATS))
+    line = line.withColumn("wl_words", line_words())
     return line.drop("wl_mark", "wl_inside", "wl_offset"), sources
 
 
 def schedule(sources: DataFrame, total: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``wl_source, wl_block, slot``: the source of every slot and the block it takes there."""
-    slots = math.ceil(total / block_words)
+    """``wl_source, wl_block, slot``: the source of every slot and the block it takes there.
+
+    ``sources`` is a table of ``source_targets``, ``total`` the words of all sources. Every
+    block up to a source's target has one slot; slots are numbered without gaps.
+    """
+    lines = sources.withColumn("wl_blocks", F.ceil(line_words() / block_words)).where("wl_blocks > 0")
+    in_order = Window.partitionBy(F.lit(0)).orderBy("wl_source")
+    every = Window.partitionBy(F.lit(0))
+    edge = lambda blocks: F.coalesce(blocks, F.lit(0)) / F.sum("wl_blocks").over(every)
+    lines = lines.select(
+        "wl_source",
+        "wl_blocks",
+        edge(F.sum("wl_blocks").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).alias("wl_low"),
+        edge(F.sum("wl_blocks").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).alias("wl_high"),
+    )
+    # By this many points a source surely has as many as it has blocks.
+    lines = lines.withColumn("wl_end", F.ceil((F.col("wl_blocks") + UNEVEN) / (F.col("wl_high") - F.col("wl_low"))))
+    lines = checkpoint(lines)
+    points = lines.agg(F.max("wl_end")).first()[0] if total else None
     point = F.expr(f"(id % {PERIOD}L) * {STEP}L % {PERIOD}L / double({PERIOD})")
-    points = sources.sparkSession.range(slots).select(F.col("id").alias("slot"), point.alias("wl_point"))
-    points = points.withColumn("wl_cell", F.floor(F.col("wl_point") * CELLS))
+    drawn = sources.sparkSession.range(points or 0).select(F.col("id").alias("wl_id"), point.alias("wl_point"))
+    drawn = drawn.withColumn("wl_cell", F.floor(F.col("wl_point") * CELLS))
     cell = lambda edge: F.least(F.floor(F.col(edge) * CELLS), F.lit(CELLS - 1))
-    spread = sources.where("wl_low < wl_high").withColumn("wl_cell", F.explode(F.sequence(cell("wl_low"), cell("wl_high"))))
-    held = (F.col("wl_point") >= F.col("wl_low")) & (F.col("wl_point") < F.col("wl_high"))
-    drawn = points.join(spread.select("wl_source", "wl_low", "wl_high", "wl_cell"), "wl_cell").where(held)
-    drawn = drawn.withColumn("wl_chunk", F.expr(f"slot div {SLOT_CHUNK}")).select("wl_source", "wl_chunk", "slot")
-    counts = drawn.groupBy("wl_source", "wl_chunk").agg(F.count("*").alias("wl_count"))
-    offsets = with_offsets(counts.withColumnRenamed("wl_chunk", "wl_key"), ["wl_source"], "wl_key", "wl_count", "wl_offset")
-    offsets = offsets.select("wl_source", F.col("wl_key").alias("wl_chunk"), "wl_offset")
-    in_chunk = Window.partitionBy("wl_source", "wl_chunk").orderBy("slot")
-    ranked = drawn.withColumn("wl_rank", F.row_number().over(in_chunk) - 1).join(offsets, ["wl_source", "wl_chunk"])
-    return ranked.select("wl_source", (F.col("wl_offset") + F.col("wl_rank")).alias("wl_block"), "slot")
+    spread = lines.withColumn("wl_cell", F.explode(F.sequence(cell("wl_low"), cell("wl_high"))))
+    held = (F.col("wl_point") >= F.col("wl_low")) & (F.col("wl_point") < F.col("wl_high")) & (F.col("wl_id") < F.col("wl_end"))
+    drawn = drawn.join(spread, "wl_cell").where(held).withColumn("wl_chunk", F.expr(f"wl_id div {SLOT_CHUNK}"))
+    drawn = drawn.select("wl_source", "wl_blocks", "wl_chunk", "wl_id")
+    ranked = ranked_in_chunks(drawn, ["wl_source"], "wl_block").where(F.col("wl_block") < F.col("wl_blocks"))
+    return ranked_in_chunks(ranked, [], "slot").select("wl_source", "wl_block", "slot")
+
+
+def ranked_in_chunks(points: DataFrame, groups: list[str], name: str) -> DataFrame:
+    """``points`` with their number from 0, in order of ``wl_id``, in their group; chunks are ordered one by one."""
+    counts = points.groupBy(*groups, "wl_chunk").agg(F.count("*").alias("wl_count"))
+    offsets = with_offsets(counts.withColumnRenamed("wl_chunk", "wl_key"), groups, "wl_key", "wl_count", "wl_offset")
+    offsets = offsets.select(*groups, F.col("wl_key").alias("wl_chunk"), "wl_offset")
+    in_chunk = Window.partitionBy(*groups, "wl_chunk").orderBy("wl_id")
+    ranked = points.withColumn("wl_rank", F.row_number().over(in_chunk) - 1).join(offsets, [*groups, "wl_chunk"])
+    return ranked.withColumn(name, F.col("wl_offset") + F.col("wl_rank")).drop("wl_offset", "wl_rank")
 
 
 def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED) -> DataFrame:
@@ -121,48 +146,51 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED
 
     One row for each piece of a document in a block: the columns of ``placed_documents``
     without the text, ``epoch`` (0 to 2), ``slot`` (place of the block in the mix) and
-    ``words``. A block whose rank the schedule did not reach stands after the last slot.
-    Documents that give no words have one row with null ``epoch`` and ``words`` 0. Null
-    texts have no words; null sources are a source; nothing is dropped.
+    ``words``. Pieces in blocks without a slot have 0 words. Documents beyond the target
+    have one row with null ``epoch`` and ``words`` 0. Null texts have no words; null
+    sources are a source; nothing is dropped.
     """
-    placed, sources = placed_documents(docs, spaced_word_count(F.col("text")), seed)
+    placed, sources = placed_documents(docs, spaced_word_count(F.col("text")), seed, with_text=False)
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     epochs = F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))
     start = lambda epoch: F.col("wl_start") + epoch * F.col("source_size")
     ends = lambda epoch: F.least(start(epoch) + F.col("size"), F.col("wl_words"))
     used = F.filter(epochs, lambda epoch: (start(epoch) < ends(epoch)) & (F.col("size") > 0))
-    parts = placed.drop("text").withColumn("epoch", F.explode_outer(used))
+    parts = placed.withColumn("epoch", F.explode_outer(used))
     epoch = F.col("epoch")
     parts = parts.withColumn("wl_from", start(epoch)).withColumn("wl_to", ends(epoch))
     blocks = F.when(epoch.isNotNull(), F.sequence(F.expr(f"wl_from div {block_words}"), F.expr(f"(wl_to - 1) div {block_words}")))
     pieces = parts.withColumn("wl_block", F.explode_outer(blocks))
     low = F.greatest("wl_from", F.col("wl_block") * block_words)
     high = F.least("wl_to", (F.col("wl_block") + 1) * block_words)
-    pieces = pieces.withColumn("words", F.coalesce(high - low, F.lit(0)))
-    slots = schedule(sources, total, block_words)
-    late = F.lit(math.ceil(total / block_words)) + F.col("wl_block")
-    joined = pieces.join(slots, ["wl_source", "wl_block"], "left")
-    return joined.withColumn("slot", F.when(F.col("wl_block").isNotNull(), F.coalesce("slot", late)))
+    joined = pieces.join(schedule(sources, total, block_words), ["wl_source", "wl_block"], "left")
+    return joined.withColumn("words", F.when(F.col("slot").isNull(), F.lit(0)).otherwise(high - low))
 
 
-def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def mix_documents(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` as the mix holds them: once for each epoch that takes half of one or more.
 
+    A document stands at the slot of the block it starts in; rows are in order of slots.
     Documents beyond their source's target are left out, those of short sources repeat,
-    up to three times. Columns are those of ``docs``.
+    up to three times. Documents without words have no place in the mix. Columns are those
+    of ``docs``; rows that repeat are documents of their own.
     """
-    placed, _ = placed_documents(docs, spaced_word_count(F.col("text")), seed)
-    taken = lambda epoch: F.col("wl_words") - F.col("wl_start") - epoch * F.col("source_size")
+    placed, sources = placed_documents(docs, spaced_word_count(F.col("text")), seed)
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    start = lambda epoch: F.col("wl_start") + epoch * F.col("source_size")
     epochs = F.filter(
         F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)),
-        lambda epoch: (F.col("size") > 0) & (F.least(taken(epoch), F.col("size")) * 2 >= F.col("size")),
+        lambda epoch: (F.col("size") > 0) & (F.least(F.col("wl_words") - start(epoch), F.col("size")) * 2 >= F.col("size")),
     )
-    repeated = placed.withColumn("wl_epoch", F.explode(epochs))
-    return repeated.select(*[F.col(f"`{name}`") for name in docs.columns])
+    repeated = placed.withColumn("wl_epoch", F.explode(epochs)).withColumn("wl_from", start(F.col("wl_epoch")))
+    repeated = repeated.withColumn("wl_block", F.expr(f"wl_from div {block_words}"))
+    in_mix = repeated.join(schedule(sources, total, block_words), ["wl_source", "wl_block"])
+    ordered = in_mix.repartitionByRange("slot", "wl_from").sortWithinPartitions("slot", "wl_from")
+    return ordered.select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
-    """Words that the mix takes from every document."""
+    """Words that the mix takes from every document, the first slot that holds any, and in how many pieces."""
     pieces = mix_blocks(docs.select("doc_id", "text", "source"))
     row = ["wl_source", "wl_bucket", "wl_row"]
     return pieces.groupBy(*row).agg(
@@ -171,4 +199,6 @@ def mixing_digest(docs: DataFrame) -> DataFrame:
         F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
         F.sum("words").alias("taken"),
+        F.min("slot").alias("first_slot"),
+        F.count("slot").alias("n_pieces"),
     ).drop(*row)

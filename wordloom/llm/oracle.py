@@ -5,7 +5,7 @@ from __future__ import annotations
 from wordloom.llm.columns import LOWER, UPPER
 from wordloom.llm.lattice_dedup import COSINE
 from wordloom.llm.minhash import PERCENT
-from wordloom.llm.mixing import MAX_REPEATS, SEED, WEIGHT_CYCLE
+from wordloom.llm.mixing import BLOCK_WORDS, MAX_REPEATS, PERIOD, SEED, STEP, UNEVEN, WEIGHT_CYCLE
 from wordloom.llm.shingles import WORDS
 from wordloom.llm.spelling import LOSS, MIN_COUNT, MIN_LENGTH, RATIO
 from wordloom.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
@@ -71,13 +71,27 @@ MIXING = f"""
                 - coalesce(sum(most) over (order by most / weight, k rows between unbounded preceding and 1 preceding), 0))
                 / sum(weight) over (order by most / weight, k rows between current row and unbounded following) as level from weighed),
         chosen as (select coalesce(arg_min(level, (most / weight, k)) filter (level <= most / weight), 0) as level from levels),
-        targets as (select source, source_size, least(most, weight * chosen.level) as target from weighed, chosen),
-        line as (select docs.*, source_size, target, least(round(target)::bigint, {MAX_REPEATS} * source_size) as words,
+        targets as (select k, source, source_size, least(most, weight * chosen.level) as target from weighed, chosen),
+        line as (select docs.*, row_number() over () as text_row, k, source_size, target, least(round(target)::bigint, {MAX_REPEATS} * source_size) as words,
                 coalesce(sum(size) over (partition by docs.source order by mark, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-            from docs join targets on docs.source is not distinct from targets.source)
-    select doc_id, size, source_size, target,
-        ({' + '.join(f'greatest(0, least(start + {e} * source_size + size, words) - start - {e} * source_size)' for e in range(MAX_REPEATS))})::bigint as taken
-    from line"""
+            from docs join targets on docs.source is not distinct from targets.source),
+        needs as (select k, ceil(least(round(target)::bigint, {MAX_REPEATS} * source_size) / {BLOCK_WORDS}::double)::bigint as blocks from targets),
+        edges as (select k, blocks, coalesce(sum(blocks) over (order by k rows between unbounded preceding and 1 preceding), 0)::double
+                / sum(blocks) over () as low, sum(blocks) over (order by k)::double / sum(blocks) over () as high from needs where blocks > 0),
+        ends as (select *, ceil((blocks + {UNEVEN}) / (high - low))::bigint as ending from edges),
+        points as (select id, (id % {PERIOD}) * {STEP} % {PERIOD} / {PERIOD}::double as point
+                   from (select unnest(range(coalesce((select max(ending) from ends), 0))) as id)),
+        visits as (select k, blocks, id, row_number() over (partition by k order by id) - 1 as block
+                   from points join ends on point >= low and point < high and id < ending),
+        slots as materialized (select k, block, row_number() over (order by id) - 1 as slot from visits where block < blocks),
+        parts as (select doc_id, text_row, k, start + e * source_size as first, least(start + e * source_size + size, words) as last
+                  from line, unnest(range({MAX_REPEATS})) t(e) where size > 0),
+        pieces as (select text_row, parts.k, block, least(last, (block + 1) * {BLOCK_WORDS}) - greatest(first, block * {BLOCK_WORDS}) as n
+                   from parts, unnest(range(first // {BLOCK_WORDS}, (last - 1) // {BLOCK_WORDS} + 1)) t(block) where first < last),
+        taken as (select text_row, sum(n)::bigint as taken, min(slot)::bigint as first_slot, count(*)::bigint as n_pieces
+                  from pieces join slots using (k, block) group by text_row)
+    select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, first_slot, coalesce(n_pieces, 0)::bigint as n_pieces
+    from line left join taken using (text_row)"""
 
 VECTOR_LINKS = f"""
     with recursive
