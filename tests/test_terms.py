@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,28 @@ def test_cooccurrence_of_twenty_thousand_terms(spark, monkeypatch):
     assert cells.agg(F.count("*"), F.sum("weight")).first() == (len(expected), expected.total())
 
 
+@pytest.mark.parametrize("tiles,postings", [(100, 1 << 22), (2, 1 << 22), (2, 300)])
+def test_tiles_held_whole_and_in_portions(monkeypatch, tiles, postings):
+    """The tasks' own work: all tiles at once, or one after the other for some postings at a time."""
+    monkeypatch.setattr(cooc, "TILE_TERMS", 8)
+    monkeypatch.setattr(cooc, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(cooc, "TASK_TILES", tiles)
+    monkeypatch.setattr(cooc, "TASK_POSTINGS", postings)
+    rng = np.random.default_rng(4)
+    counts = rng.integers(1, 5, (90, 30)) * (rng.random((90, 30)) < 0.3)
+    lists = [[{"term": f"t{j:02}", "tf": int(row[j])} for j in np.flatnonzero(row)] + [{"term": "other", "tf": 1}] for row in counts]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+    batches = [pa.RecordBatch.from_arrays([pa.array([*lists[i : i + 20], None], kind)], names=["terms"]) for i in range(0, 90, 20)]
+    known = pa.array([f"t{j:02}" for j in range(30)])
+    for binary, expected in ((False, counts), (True, (counts > 0).astype(int))):
+        total, seen = np.zeros((32, 32), int), 0
+        for row, column, tile in cooc.tile_products(cooc.known_postings(iter(batches), known, binary), 4):
+            total[row * 8 : row * 8 + 8, column * 8 : column * 8 + 8] += tile
+            seen += 1
+        assert (np.triu(total)[:30, :30] == np.triu(expected.T @ expected)).all()
+        assert seen == 10 if postings > 300 else seen > 10
+
+
 def plan_of(df):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
