@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import pytest
 
-from wordloom.llm import components, decontaminate, lattice_dedup, lm_scoring, minhash, mixing, sharding, shingles, suffix_dedup, suffixes
+from wordloom.llm import components, decontaminate, lattice_dedup, minhash, mixing, sharding, shingles, suffix_dedup, suffixes
 
 
 def test_shingles_and_signatures():
@@ -255,17 +255,3 @@ def test_vectors_with_odd_ids(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.01]), (2, [5.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted((tuple(r) for r in lattice_dedup.vector_links(table).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 0, 1, True), (None, 2, 1, False), (2, 2, 1, False)], key=str)
-
-
-def test_lm_scores_equal_brute(spark, small, odd_docs, no_docs):
-    good = {d for d, _ in small[1] if d % 3 == 0}
-    marks = spark.createDataFrame([(int(d),) for d in good] + [(None,), (0,)], "doc_id long")
-    expected = brute.lm_differences(small[1], good | {0})
-    for part in (1_000_000, 3_000):
-        got = {r["doc_id"]: (r["n_tokens"], r["difference"]) for r in lm_scoring.score_documents(small[0], marks, part_tokens=part).collect()}
-        assert {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in expected.items()}
-        assert all(x[1] == pytest.approx(expected[d][1], abs=1e-9) for d, x in got.items())
-    odd = lm_scoring.score_documents(odd_docs, marks).collect()
-    assert len(odd) == odd_docs.count() and all((r["difference"] is None) == (r["n_tokens"] == 0) for r in odd)
-    assert lm_scoring.score_documents(no_docs, marks).count() == 0
-    assert lm_scoring.score_documents(small[0], marks.where("false")).count() == len(small[1])

@@ -78,27 +78,62 @@ def part_of(words: np.ndarray, before: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(dealt) % np.uint64(parts)).astype(np.int64)
 
 
-def runs(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the pairs, and where in it a new pair begins."""
-    order = np.lexsort((before, words))
-    w, v = words[order], before[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
-    return order, np.flatnonzero(new)
+def in_order(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Order of the pairs by word, then by the word before."""
+    order = np.argsort(before)
+    return order[np.argsort(words[order], kind="stable")]
+
+
+def pair_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mixed(words + mixed(before))
 
 
 def summed(words: np.ndarray, before: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
-    """Distinct pairs in order with the sums of their counts."""
-    order, starts = runs(words, before)
+    """Distinct pairs with the sums of their counts, in no order."""
+    keys = pair_keys(words, before)
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    starts = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(keys)])
     first = order[starts]
     return [words[first], before[first], *[np.add.reduceat(c[order], starts, dtype=c.dtype) if len(starts) else c for c in counts]]
 
 
+def document_pairs(codes: list[np.ndarray], marks: list[int]) -> list[np.ndarray]:
+    """Pairs of some texts in order, with their counts in all texts and in marked ones.
+
+    Besides each word with the one before it: words as contexts, and words that are
+    hashes with any word before. Both are sums over the distinct pairs. Words are numbered
+    among themselves first, so that a pair is sorted as one number.
+    """
+    sizes = [len(c) for c in codes]
+    kinds, at = np.unique(np.concatenate(codes), return_inverse=True)
+    marked = np.repeat(np.array(marks, np.uint32), sizes)
+    starts = np.cumsum([0, *sizes[:-1]])[np.array(sizes) > 0]
+    before = np.roll(at, 1)
+    before[starts] = len(kinds)
+    key = (at.astype(np.uint64) << np.uint64(32)) | before.astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    all_ = np.diff(new, append=len(key)).astype(np.uint32)
+    good = np.add.reduceat(marked[order], new, dtype=np.uint32) if len(new) else marked
+    word, last = (key[new] >> np.uint64(32)).astype(np.int64), (key[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    names = np.append(kinds, FIRST)
+    found = [(kinds[word], names[last], all_, good)]
+    for place, kept, mark in ((last, np.ones(len(kinds), bool), CONTEXT), (word, kinds >= HASHED, ANY)):
+        total, of_good = (np.bincount(place, x, len(names))[: len(kinds)].astype(np.uint32) for x in (all_, good))
+        kept = kept & (total > 0)
+        found.append((kinds[kept], np.full(kept.sum(), mark), total[kept], of_good[kept]))
+    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return [x[order] for x in columns]
+
+
 class Held:
     """The stored counts of a part, found by a hash of the pair."""
 
     def __init__(self, words: np.ndarray, before: np.ndarray, all_: np.ndarray, good: np.ndarray) -> None:
-        keys = mixed(words + mixed(before))
+        keys = pair_keys(words, before)
         order = np.argsort(keys)
         self.keys, self.all, self.good = keys[order], all_[order], good[order]
 
@@ -106,7 +141,7 @@ class Held:
         """Counts of pairs in both corpora; what is not stored was seen once, in a document with that mark."""
         if not len(self.keys):
             return np.ones(len(words)), mark.astype(np.float64)
-        keys = mixed(words + mixed(before))
+        keys = pair_keys(words, before)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         stored = self.keys[at] == keys
         return np.where(stored, self.all[at], 1).astype(np.float64), np.where(stored, self.good[at], mark).astype(np.float64)
@@ -144,30 +179,26 @@ def pair_counts(docs: DataFrame, words: Numbered, parts: int) -> DataFrame:
     """``wl_part, wl_count, wl_model``: pairs seen twice or more, with their counts in both corpora."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(found: list) -> pd.DataFrame:
-            codes, before, good = (np.concatenate(x) for x in zip(*found, strict=True))
-            w, v, all_, marked = summed(codes, before, np.ones(len(codes), np.uint32), good)
-            own = (w >= HASHED) & (v != CONTEXT)
-            single = summed(w[own], np.full(own.sum(), ANY), all_[own], marked[own])
-            every = [np.concatenate(x) for x in zip((w, v, all_, marked), single, strict=True)]
-            return pd.DataFrame(in_parts(parts, *summed(*every)), columns=["wl_part", "wl_count", "wl_model"])
-
-        found, size = [], 0
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame(in_parts(parts, *document_pairs(codes, marks)), columns=["wl_part", "wl_count", "wl_model"])
+
+        codes, marks, size = [], [], 0
         for batch in batches:
             for data, mark in zip(batch["wl_text"], batch["wl_mark"], strict=True):
-                codes, before = postings(words.codes(data))
-                found.append((codes, before, np.full(len(codes), mark, np.uint32)))
-                size += len(codes)
+                codes.append(words.codes(data))
+                marks.append(mark)
+                size += len(codes[-1])
                 if size >= RUN_TOKENS:
-                    yield rows(found)
-                    found, size = [], 0
+                    yield rows()
+                    codes, marks, size = [], [], 0
         if size:
-            yield rows(found)
+            yield rows()
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         w, v, all_, good = joined_parts(group["wl_count"], group["wl_model"], np.uint32, np.uint32)
         w, v, all_, good = summed(w, v, all_.astype(np.int64), good.astype(np.int64))
-        kept = all_ > 1
+        kept = np.flatnonzero(all_ > 1)
+        kept = kept[np.argsort(w[kept])]
         w = w[kept]
         data = squeezed(np.diff(w, prepend=np.zeros(1, w.dtype)), v[kept], all_[kept], good[kept])
         return pd.DataFrame([(group["wl_part"].iloc[0], len(w), data)], columns=["wl_part", "wl_count", "wl_model"])
@@ -233,7 +264,7 @@ def scored(marked: DataFrame, part_tokens: int, hot_share: float) -> DataFrame:
 
         def rows(found: list, alone: list) -> pd.DataFrame:
             w, v, owner, mark = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, _ = runs(w, v)
+            order = in_order(w, v)
             data = [(part, n, blob, None) for part, n, blob in in_parts(parts, w[order], v[order], owner[order], mark[order])]
             row, size, own_sum = (np.array(x) for x in zip(*alone, strict=True))
             data.append((int(row[0]) % parts, len(row), None, squeezed(row.astype(np.int64), size.astype(np.int64), own_sum.astype(np.float64))))

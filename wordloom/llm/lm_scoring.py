@@ -1,40 +1,18 @@
-"""Cross-entropy difference of two pruned bigram models over a vocabulary of fixed size.
-
-No query uses these scores: ``interpolated`` has the model of ``op2_lm_scoring``, which
-keeps every word and pair. It shares the packing and the word counts below.
-
-The target model counts the documents that labels call good, the background model all
-documents. Both use one vocabulary: the commonest words of the corpus, everything else
-being one unknown word, and the bigrams that both have seen often enough. On those a
-token's loss is that of the bigram, elsewhere both back off to the word with the same
-weight, which cancels. A token's difference is its target loss less its background loss,
-and a document's score is the mean over its tokens: the lower, the more like the target.
-
-Counts and scores are worked out from packed postings: a task sorts the bigrams of its
-documents, splits them by hash into parts and sends each part as one compressed array.
-The few bigrams that each make up a fixed share of all tokens are scored where the
-documents are, so that no part holds a bigram of all documents.
-"""
+"""Packing of arrays and counts of words for language-model scores."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.shingles import LOWER_ONLY, mixed, word_hashes
-from wordloom.llm.suffix_dedup import packed, unpacked
-from wordloom.session import checkpoint
+from wordloom.llm.shingles import LOWER_ONLY, word_hashes
+from wordloom.llm.suffix_dedup import unpacked
 
-VOCABULARY = 65_536
-# Bigrams that both models have seen this often keep a loss of their own.
-LEAST_COUNT = 2
 SMOOTHING = 0.5
 # Tokens whose bigrams one task counts, about.
 PART_TOKENS = 1_000_000
@@ -42,7 +20,6 @@ PART_TOKENS = 1_000_000
 HOT_SHARE = 2.0**-16
 # Tokens that a task keeps before it sends its arrays on.
 RUN_TOKENS = 2_000_000
-UNKNOWN = 0
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -67,10 +44,6 @@ def lowered_words(data: bytes) -> list[bytes]:
     return unpacked(data).translate(LOWER_ONLY).split()
 
 
-def differences(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=np.zeros(1, keys.dtype))
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """``wl_word, wl_all, wl_good``: counts of word hashes in all documents and in the good ones."""
 
@@ -95,198 +68,3 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     parts = docs.select("wl_text", "wl_mark").mapInPandas(count, "wl_word long, wl_all long, wl_good long")
     return parts.groupBy("wl_word").agg(F.sum("wl_all").alias("wl_all"), F.sum("wl_good").alias("wl_good"))
-
-
-class Vocabulary:
-    """Word hashes in order, their numbers (0 is the unknown word), and each word's loss difference."""
-
-    def __init__(self, words: np.ndarray, all_: np.ndarray, good: np.ndarray, tokens: int, good_tokens: int) -> None:
-        order = np.argsort(words)
-        self.words = words[order]
-        self.counts = np.concatenate(([tokens - all_.sum()], all_[order])).astype(np.float64)
-        self.good = np.concatenate(([good_tokens - good.sum()], good[order])).astype(np.float64)
-        share = lambda c: np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * len(c)))
-        self.difference = share(self.counts) - share(self.good)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, UNKNOWN)
-
-    def bigrams(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of a packed text's words and the keys of its bigrams."""
-        numbers = self.numbers(word_hashes(lowered_words(data)))
-        return numbers, (numbers[:-1] * (len(self.words) + 1) + numbers[1:]).astype(np.uint64)
-
-    def kept_difference(self, keys: np.ndarray, all_: np.ndarray, good: np.ndarray) -> np.ndarray:
-        """What a kept bigram adds to the difference that its second word alone would make."""
-        before, word = np.divmod(keys.astype(np.int64), len(self.words) + 1)
-        own = (np.log(all_) - np.log(np.maximum(self.counts[before], 1))) - (np.log(good) - np.log(np.maximum(self.good[before], 1)))
-        return own - self.difference[word]
-
-
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed(keys) % np.uint64(parts)).astype(np.int64)
-
-
-def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts with the places of their keys, keys being in order."""
-    part = part_of(keys, parts)
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        yield int(part[order[low]]), order[low:high]
-
-
-def bigram_model(docs: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
-    """``wl_part, wl_count, wl_model``: kept bigrams of every part with their counts in both corpora."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(keys: list[np.ndarray], good: list[np.ndarray]) -> pd.DataFrame:
-            found, at = np.unique(np.concatenate(keys), return_inverse=True)
-            all_ = np.bincount(at, minlength=len(found)).astype(np.uint32)
-            marked = np.bincount(at, np.concatenate(good), len(found)).astype(np.uint32)
-            packed = [(part, len(own), squeezed(differences(found[own]), all_[own], marked[own])) for part, own in by_part(found, parts)]
-            return pd.DataFrame(packed, columns=["wl_part", "wl_count", "wl_model"])
-
-        keys, good, size = [], [], 0
-        for batch in batches:
-            for data, mark in zip(batch["wl_text"], batch["wl_mark"], strict=True):
-                k = vocabulary.bigrams(data)[1]
-                keys.append(k)
-                good.append(np.full(len(k), mark, np.int64))
-                size += len(k)
-            if size >= RUN_TOKENS:
-                yield rows(keys, good)
-                keys, good, size = [], [], 0
-        if size:
-            yield rows(keys, good)
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        keys, all_, good = [], [], []
-        for count_, data in zip(group["wl_count"], group["wl_model"], strict=True):
-            k, a, g = unsqueezed(data, count_, (np.uint64, np.uint32, np.uint32))
-            keys.append(np.cumsum(k, dtype=np.uint64))
-            all_.append(a)
-            good.append(g)
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, np.concatenate(all_), len(found)).astype(np.int64)
-        marked = np.bincount(at, np.concatenate(good), len(found)).astype(np.int64)
-        kept = (marked >= LEAST_COUNT) & (total >= LEAST_COUNT)
-        data = squeezed(differences(found[kept]), total[kept], marked[kept])
-        return pd.DataFrame([(group["wl_part"].iloc[0], int(kept.sum()), data)], columns=["wl_part", "wl_count", "wl_model"])
-
-    schema = "wl_part long, wl_count long, wl_model binary"
-    return docs.select("wl_text", "wl_mark").mapInPandas(count, schema).groupBy("wl_part").applyInPandas(add, schema)
-
-
-def model_arrays(count: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, a, g = unsqueezed(data, count, (np.uint64, np.int64, np.int64))
-    return np.cumsum(k, dtype=np.uint64), a, g
-
-
-def hot_bigrams(model: DataFrame, limit: float) -> DataFrame:
-    """``wl_key, wl_all, wl_good`` of kept bigrams with ``limit`` counts or more; at most the tokens over ``limit``."""
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for count, data in zip(batch["wl_count"], batch["wl_model"], strict=True):
-                keys, all_, good = model_arrays(count, data)
-                hot = all_ >= limit
-                yield pd.DataFrame({"wl_key": keys[hot].view(np.int64), "wl_all": all_[hot], "wl_good": good[hot]})
-
-    return model.select("wl_count", "wl_model").mapInPandas(pick, "wl_key long, wl_all long, wl_good long")
-
-
-def score_documents(docs: DataFrame, good: DataFrame, vocabulary: int = VOCABULARY, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """``doc_id, n_tokens, difference``, one row for each row of ``docs``.
-
-    ``docs`` needs ``doc_id`` and ``text``; ``good`` has the ``doc_id`` of the target's
-    documents (repeats and nulls do not count). ``difference`` is the mean over tokens of
-    target loss less background loss in nats, null for texts without words. Equal rows get
-    equal scores. Without a target document every word is smoothed alike. Other columns
-    are not read; an empty table gives an empty one.
-    """
-    target = good.where("doc_id is not null").select("doc_id").distinct().withColumn("wl_mark", F.lit(1))
-    texts = docs.select("doc_id", packed("text").alias("wl_text")).join(target, "doc_id", "left")
-    texts = texts.withColumn("wl_mark", F.coalesce("wl_mark", F.lit(0))).withColumn("wl_row", F.monotonically_increasing_id())
-    return scored(checkpoint(texts), vocabulary, part_tokens)
-
-
-def scored(marked: DataFrame, vocabulary: int, part_tokens: int) -> DataFrame:
-    """Scores of ``doc_id, wl_text, wl_mark, wl_row``, where the mark is 1 for the target's documents."""
-    counts = checkpoint(word_counts(marked))
-    tokens, good_tokens = (x or 0 for x in counts.agg(F.sum("wl_all"), F.sum("wl_good")).first())
-    top = counts.where("wl_all > 1").orderBy(F.col("wl_all").desc(), "wl_word").limit(vocabulary).collect()
-    column = lambda name: np.array([row[name] for row in top], np.int64)
-    words = Vocabulary(column("wl_word").view(np.uint64), column("wl_all"), column("wl_good"), tokens, good_tokens)
-    parts = max(1, math.ceil(tokens / part_tokens))
-    model = checkpoint(bigram_model(marked, words, parts))
-    listed = hot_bigrams(model, max(1.0, tokens * HOT_SHARE)).collect()
-    listed.sort(key=lambda row: row["wl_key"])
-    hot = np.array([row["wl_key"] for row in listed], np.int64).view(np.uint64)
-    gains = words.kept_difference(hot, np.array([row["wl_all"] for row in listed], np.float64), np.array([row["wl_good"] for row in listed], np.float64))
-
-    def hot_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(hot):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-        return at, hot[at] == keys
-
-    @F.pandas_udf("n_tokens long, wl_sum double")
-    def own(texts: pd.Series) -> pd.DataFrame:
-        """What can be scored without the parts: words, and hot bigrams."""
-        rows = []
-        for data in texts:
-            numbers, keys = words.bigrams(data)
-            at, is_hot = hot_places(keys)
-            rows.append((len(numbers), float(words.difference[numbers].sum()) + float(gains[at[is_hot]].sum())))
-        return pd.DataFrame(rows, columns=["n_tokens", "wl_sum"])
-
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Packed postings of every part: keys in order, as differences, and their rows."""
-
-        def rows(keys: list[np.ndarray], owners: list[np.ndarray]) -> pd.DataFrame:
-            every, of = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(every, kind="stable")
-            every, of = every[order], of[order]
-            data = [(part, len(at), squeezed(differences(every[at]), of[at])) for part, at in by_part(every, parts)]
-            return pd.DataFrame(data, columns=["wl_part", "wl_count", "wl_posts"])
-
-        keys, owners, size = [], [], 0
-        for batch in batches:
-            for row, data in zip(batch["wl_row"], batch["wl_text"], strict=True):
-                k = words.bigrams(data)[1]
-                k = k[~hot_places(k)[1]]
-                keys.append(k)
-                owners.append(np.full(len(k), row, np.int64))
-                size += len(k)
-            if size >= RUN_TOKENS:
-                yield rows(keys, owners)
-                keys, owners, size = [], [], 0
-        if size:
-            yield rows(keys, owners)
-
-    posted = marked.select("wl_row", "wl_text").mapInPandas(post, "wl_part long, wl_count long, wl_posts binary")
-
-    def gain(posts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"wl_row": np.zeros(0, np.int64), "wl_gain": np.zeros(0)})]
-        if len(models) and models["wl_count"].iloc[0]:
-            keys, all_, good = model_arrays(int(models["wl_count"].iloc[0]), models["wl_model"].iloc[0])
-            worth = words.kept_difference(keys, all_.astype(np.float64), good.astype(np.float64))
-            for count, data in zip(posts["wl_count"], posts["wl_posts"], strict=True):
-                k, of = unsqueezed(data, int(count), (np.uint64, np.int64))
-                k = np.cumsum(k, dtype=np.uint64)
-                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                held = keys[at] == k
-                rows, place = np.unique(of[held], return_inverse=True)
-                found.append(pd.DataFrame({"wl_row": rows, "wl_gain": np.bincount(place, worth[at[held]], len(rows))}))
-        return pd.concat(found)
-
-    gains_ = posted.groupBy("wl_part").cogroup(model.groupBy("wl_part")).applyInPandas(gain, "wl_row long, wl_gain double")
-    per_row = gains_.groupBy("wl_row").agg(F.sum("wl_gain").alias("wl_gain"))
-    alone = marked.select("wl_row", "doc_id", own("wl_text").alias("wl_own")).select("wl_row", "doc_id", "wl_own.*")
-    joined = alone.join(per_row, "wl_row", "left")
-    mean = (F.col("wl_sum") + F.coalesce("wl_gain", F.lit(0.0))) / F.col("n_tokens")
-    return joined.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, mean).alias("difference"))
