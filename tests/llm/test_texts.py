@@ -126,3 +126,24 @@ def test_words_of_units_agree():
     assert len(ids) == len(shapes) == 5 and shapes[4] != quality.REPEAT
     assert quality.units("cd cd", quality.ShapeIds())[1][1] == quality.REPEAT
     assert re.match("a", "a") and len(quality.units("é É", quality.ShapeIds())[0]) == 2
+
+
+def test_account_numbers_end_after_their_length(spark):
+    """Capitals and digits that follow a number do not hide it, other than those that touch it."""
+    texts = [
+        "BE71 0961 2345 6769 EUR 5",
+        "pay BE71 0961 2345 6769 PAID",
+        "BE71 0961 2345 6769 now",
+        "DE89370400440532013000 AB12",
+        "BE71 0961 2345 6769EUR",
+        "FR14 2004 1010 0505 0001 3M02 606 X",
+        "bank ZZ82 WEST 1234 5698 7654 32",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.pii_digest(docs).collect()}
+    spans = {i: x for i, (x, _) in found.items()}
+    assert [spans[i] for i in range(4)] == ["iban:0:19", "iban:4:23", "iban:0:19", "iban:0:22"]
+    assert spans[4] == "" and spans[5] == "iban:0:33"
+    assert found[0][1] == "0.8" and found[1][1] == "0.8"
+    with_context = spark.createDataFrame([(1, "my bank BE71 0961 2345 6769 x a@b.c")], "doc_id long, text string")
+    assert pii.pii_digest(with_context).first()["scores"] == "1.0,0.8"

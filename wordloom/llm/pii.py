@@ -46,6 +46,17 @@ class Kind:
     base: bool = False
 
 
+# Lengths of account numbers by country, from the public register.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# A number of a known country ends after its length, whatever capitals follow; others are taken as far as they go.
+KNOWN_IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+OTHER_IBAN = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+
 KINDS = (
     Kind("email", "@", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@{HOST}(?:\.{HOST})++", "mail|contact|write|reach", 0.0, 0.8, base=True),
     Kind("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "ip|addr|host|server|login", 0.0, 0.6, base=True),
@@ -54,7 +65,7 @@ KINDS = (
     Kind(
         "iban",
         "[A-Z]{2}[0-9]{2}",
-        "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        f"(?<![A-Za-z0-9])(?:{KNOWN_IBAN}|{OTHER_IBAN})",
         "iban|bank|account|konto|transfer|cuenta|compte",
         0.2,
         0.8,
@@ -191,7 +202,7 @@ def written(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds and the places of all spans, one row a document."""
+    """Counts of the base kinds, the places of all spans and their scores, one row a document."""
     spans = find_pii(docs.select("doc_id", "text"))
     bases = [i for i, kind in enumerate(KINDS) if kind.base]
     count = lambda i: F.size(F.filter("pii", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i].name}")
@@ -201,4 +212,5 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         *[count(i) for i in bases],
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
