@@ -147,3 +147,34 @@ def test_account_numbers_end_after_their_length(spark):
     assert found[0][1] == "0.8" and found[1][1] == "0.8"
     with_context = spark.createDataFrame([(1, "my bank BE71 0961 2345 6769 x a@b.c")], "doc_id long, text string")
     assert pii.pii_digest(with_context).first()["scores"] == "1.0,0.8"
+
+
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal in the Software."""
+BSD_BODY = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived."""
+
+
+@pytest.mark.parametrize("text,labels", [
+    (MIT_BODY, ["mit"]),
+    (BSD_BODY, ["bsd", "bsd-3-clause"]),
+    ("This is free and unencumbered software released into the public domain.", ["unlicense"]),
+    ("License: MIT", ["mit"]),
+    ("It is licensed under MIT.", ["mit"]),
+    ("GPLv2", ["gpl-2.0"]),
+    ("use GPLv3+ here", ["gpl-3.0"]),
+    ("LGPL-2.1", ["lgpl-2.1"]),
+    ("MPL 2.0", ["mpl-2.0"]),
+    ("Apache-2.0", ["apache-2.0"]),
+    ("BSD-3-Clause", ["bsd-3-clause"]),
+    ("GNU GPL v3", ["gpl-3.0"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["apache-2.0", "mit"]),
+    ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause", ["bsd-3-clause", "gpl-2.0"]),
+    ("the apache people met 2 of 3 gpl fans; submit 20 epl forms under review", []),
+    ("mitigate the mit campus license plates", []),
+])
+def test_signatures(text, labels):
+    *_, detections, score = licenses.scan_text(text)
+    assert sorted({d[0] for d in detections}) == labels
+    assert (score > 0.5) == bool(labels)

@@ -1,7 +1,8 @@
 """License scan: ordered signature rules behind a keyword gate.
 
-Each license has a name pattern; five templates turn it into rules of falling priority
-(tag, grant, address, title with version, bare name). A rule runs only where its keyword
+Sentences of license texts, short forms with versions and name patterns are signatures.
+Templates give them their priority (tag, grant, body of a license, address, title with
+version, bare name); all operands of a tag's expression count. A rule runs only where its keyword
 occurs. A detection inside another of the same or a higher priority is dropped.
 """
 
@@ -89,8 +90,77 @@ CC_TERMS = (
 )
 CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0", None)
 
+# Sentences that license texts hold: label, words that any match must contain, signature. A
+# work may be under a text that never says its name.
+BODIES = (
+    ("mit", "hereby granted free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "for any purpose with or without fee", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("bsd-0-clause", "for any purpose with or without fee", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\."),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "used to endorse or promote", r"neither the name of [^\n]{1,120}?(?: [^\n]{1,120}?)?nor the names of (?:its|other)(?: [a-z]+)? ?contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", "used to endorse or promote", r"the names? of the (?:author|copyright holder|contributors?)s? may not be used to endorse or promote products"),
+    ("bsd-4-clause", "all advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("unlicense", "unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "compile sell or distribute", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "authors be held liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "person or organization", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("apache-2.0", "use reproduction and distribution", r"terms and conditions for use, reproduction, and distribution"),
+    ("apache-2.0", "unless required by applicable law", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \S?as is\S? basis"),
+    ("gpl-2.0", "take away your freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft license", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("agpl-3.0", "copyleft license", r"the gnu affero general public license is a free, copyleft license for software and other kinds of works"),
+    ("gpl-2.0", "free software foundation", r"under the terms of the gnu general public license as published by the free software foundation[;,] either version 2 of the license"),
+    ("gpl-3.0", "free software foundation", r"under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license"),
+    ("lgpl-2.1", "free software foundation", r"under the terms of the gnu lesser general public license as published by the free software foundation; either version 2\.1 of the license"),
+    ("lgpl-3.0", "free software foundation", r"under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license"),
+    ("agpl-3.0", "free software foundation", r"under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license"),
+    ("gfdl", "cover texts", r"with no invariant sections, (?:with )?no front[ -]cover texts,? and (?:with )?no back[ -]cover texts"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license, v\. ?2\.0"),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("cddl-1.0", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl-1.0", "accompanying program", r"the accompanying program is provided under the terms of this eclipse public license \(.agreement.\)"),
+    ("ms-pl", "bring a patent claim", r"if you bring a patent claim against any contributor over patents that you claim are infringed by the software"),
+    ("postgresql", "without a written agreement", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("python-2.0", "psf is making", r"psf is making python available to licensee on an \S?as is\S? basis"),
+    ("ofl-1.1", "font software", r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "reserved font name", r"no modified version of the font software may use the reserved font name"),
+    ("wtfpl", "you just do what", r"you just do what the f\S+ you want to"),
+    ("cc0-1.0", "a work with this deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic-2.0", "standard version", r"you are permitted to use the standard version and create and use modified versions for any purpose without restriction"),
+    ("beerware", "buy me a beer", r"if we meet some day, and you think this stuff is worth it, you can buy me a beer"),
+)
+
+# Short forms with a version; they stand for themselves wherever they are.
+ACRONYMS = (
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl[ -]?(?:version |v\.? ?)?1(?:\.0)?\+?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl[ -]?(?:version |v\.? ?)?2(?:\.0)?\+?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl[ -]?(?:version |v\.? ?)?3(?:\.0)?\+?"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl[ -]?(?:version |v\.? ?)?2(?:\.0)?\+?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl[ -]?(?:version |v\.? ?)?2\.1\+?"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl[ -]?(?:version |v\.? ?)?3(?:\.0)?\+?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl[ -]?(?:version |v\.? ?)?3(?:\.0)?\+?"),
+    ("gfdl-1.3", "gfdl", r"(?:gnu )?gfdl[ -]?(?:version |v\.? ?)?1\.3"),
+    ("mpl-1.1", "mpl", r"mpl[ -]?(?:version |v\.? ?)?1\.1"),
+    ("mpl-2.0", "mpl", r"mpl[ -]?(?:version |v\.? ?)?2(?:\.0)?"),
+    ("apache-2.0", "apache", r"apache[ -](?:version |v\.? ?)?2(?:\.0)?"),
+    ("apache-2.0", "asl", r"asl[ -]?(?:version |v\.? ?)?2(?:\.0)?"),
+    ("bsd-2-clause", "bsd", r"(?:bsd[ -]2[ -]clause|2[ -]clause[ -]bsd)"),
+    ("bsd-3-clause", "bsd", r"(?:bsd[ -]3[ -]clause|3[ -]clause[ -]bsd)"),
+    ("bsd-4-clause", "bsd", r"(?:bsd[ -]4[ -]clause|4[ -]clause[ -]bsd)"),
+    ("epl-1.0", "epl", r"epl[ -]?(?:version |v\.? ?)?1(?:\.0)?"),
+    ("epl-2.0", "epl", r"epl[ -]?(?:version |v\.? ?)?2(?:\.0)?"),
+    ("cddl-1.0", "cddl", r"cddl[ -]?(?:version |v\.? ?)?1(?:\.0)?"),
+    ("eupl-1.2", "eupl", r"eupl[ -]?(?:version |v\.? ?)?1\.2"),
+    ("bsl-1.0", "bsl", r"bsl[ -]1\.0"),
+)
+
+# Names that are words of their own: they count after a grant or a title only.
+BARE_NAMES = ("mit", "isc", "zlib", "bsd", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "unlicense", "wtfpl", "postgresql")
+
 # Template names, by falling priority, with the score of a detection.
-TEMPLATES = (("tag", 1.0), ("grant", 0.95), ("address", 0.85), ("titled", 0.75), ("name", 0.6))
+TEMPLATES = (("tag", 1.0), ("grant", 0.95), ("body", 0.9), ("address", 0.85), ("titled", 0.75), ("name", 0.6))
 BASE_SCORE = 0.5
 GRANT = r"(?:licen[cs]ed|released|distributed|made available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:conditions of )?(?:the )?"
 
@@ -152,11 +222,45 @@ def rules() -> tuple[Rule, ...]:
         made.append(signature(label, "grant", keyword, GRANT + name))
         made.append(signature(label, "titled", keyword, rf"(?:licen[cs]e|licen[cs]ing)[:=] ?{name}"))
         made.append(signature(label, "name", keyword, name + "(?![a-z0-9])"))
+    made += [signature(label, "body", keyword, pattern) for label, keyword, pattern in BODIES]
+    ends = r"(?![a-z0-9]|\.[0-9])"
+    for label, keyword, name in (*ACRONYMS, *[(name, name, name) for name in BARE_NAMES]):
+        made.append(signature(label, "grant", keyword, GRANT + name + ends))
+        made.append(signature(label, "titled", keyword, rf"(?:licen[cs]e|licen[cs]ing)[:=] ?{name}{ends}"))
+        if name not in BARE_NAMES:
+            made.append(signature(label, "name", keyword, name + ends))
     return tuple(sorted(made, key=lambda rule: -rule.priority))
 
 
 #: The words of every match hold one of these, so a text without them is not looked at again.
-STEMS = (b"licen", b"spdx", b"http", b"cc by", b"cc0", b"creative commons", b"bsd", b"mit no")
+STEMS = (
+    b"licen", b"spdx", b"http", b"cc by", b"cc0", b"creative commons", b"bsd", b"mit no", b" under ", b"hereby granted", b"permission notice",
+    b"redistribution and use", b"to endorse or", b"all advertising", b"unencumbered", b"compile sell", b"misrepresented", b"held liable",
+    b"reproduction and distribution", b"your freedom", b"cover texts", b"patent claim", b"psf is", b"font software", b"you just do",
+    b"with this deed", b"without fee", b"person or organization", b"written agreement", b"font name", b"standard version", b"me a beer", b"gpl", b"gfdl", b"mpl", b"apache", b" asl", b"epl", b"cddl", b"eupl", b"bsl",
+)
+
+EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
+OPERAND = re.compile(rb"[a-z0-9][a-z0-9.+-]*")
+
+
+def expression_operands(low: bytes) -> list[tuple[int, int, int, Rule]]:
+    """Licenses in a tag's expression after the first one, each in its own place; exceptions after WITH are none."""
+    tags = {rule.label: rule for rule in rules() if rule.template == "tag"}
+    found = []
+    for expression in EXPRESSION.finditer(low):
+        joint = None
+        for number, operand in enumerate(OPERAND.finditer(expression[1])):
+            name = operand[0].decode()
+            if number % 2:
+                joint = name
+                if joint not in ("and", "or", "with"):
+                    break
+            label = re.sub(r"(?:-only|-or-later|\+)$", "", name)
+            if number % 2 == 0 and joint in ("and", "or") and label in tags:
+                at = expression.start(1)
+                found.append((at + operand.start(), -(at + operand.end()), -tags[label].priority, tags[label]))
+    return found
 
 
 def suppressed(found: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, int, Rule]]:
@@ -195,6 +299,8 @@ def scan_text(text: str | None) -> tuple:
                 gates[rule.keyword] = rule.keyword in line
             if gates[rule.keyword]:
                 found += [(m.start(), -m.end(), -rule.priority, rule) for m in rule.pattern.finditer(low)]
+        if b"spdx" in line:
+            found += expression_operands(low)
     kept = suppressed(found)
     score = max([rule.score for *_, rule in kept] + [BASE_SCORE if base else 0.0])
     place = lambda at: len(raw[:at].decode("utf-8", "surrogatepass"))
