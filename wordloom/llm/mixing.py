@@ -68,8 +68,8 @@ def line_words() -> Column:
     return F.least(F.round("target").cast("long"), F.col("source_size") * MAX_REPEATS)
 
 
-def placed_documents(docs: DataFrame, size: Column, seed: str = SEED, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``docs`` on the lines of their sources, and the table of sources; sizes are worked out once and written.
+def placed_documents(docs: DataFrame, size: Column, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """``docs`` without their text on the lines of their sources, and the table of sources; sizes are worked out once and written.
 
     Added: ``size, source_size, target, wl_source, wl_start`` (words before the document
     in its source's shuffled line), ``wl_bucket, wl_row`` (a name for the row) and
@@ -78,7 +78,7 @@ def placed_documents(docs: DataFrame, size: Column, seed: str = SEED, with_text:
     """
     content = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
     sized = replacing(docs, size=size).withColumn("wl_mark", F.md5(content.cast("binary")))
-    sized = checkpoint(sized if with_text else sized.drop("text"))
+    sized = checkpoint(sized.drop("text"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("wl_rows"))
     per_source = checkpoint(per_source)
     rows = per_source.agg(F.sum("wl_rows")).first()[0] or 0
@@ -150,7 +150,7 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = SEED
     have one row with null ``epoch`` and ``words`` 0. Null texts have no words; null
     sources are a source; nothing is dropped.
     """
-    placed, sources = placed_documents(docs, spaced_word_count(F.col("text")), seed, with_text=False)
+    placed, sources = placed_documents(docs, spaced_word_count(F.col("text")), seed)
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     epochs = F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))
     start = lambda epoch: F.col("wl_start") + epoch * F.col("source_size")
@@ -175,7 +175,10 @@ def mix_documents(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WO
     up to three times. Documents without words have no place in the mix. Columns are those
     of ``docs``; rows that repeat are documents of their own.
     """
-    placed, sources = placed_documents(docs, spaced_word_count(F.col("text")), seed)
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    keyed = docs.select("*", F.xxhash64(*columns).alias("wl_key"), F.xxhash64(F.lit(1), *columns).alias("wl_key2"))
+    narrow = keyed.select("wl_key", "wl_key2", "doc_id", "text", "source")
+    placed, sources = placed_documents(narrow, spaced_word_count(F.col("text")), seed)
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     start = lambda epoch: F.col("wl_start") + epoch * F.col("source_size")
     epochs = F.filter(
@@ -185,8 +188,11 @@ def mix_documents(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WO
     repeated = placed.withColumn("wl_epoch", F.explode(epochs)).withColumn("wl_from", start(F.col("wl_epoch")))
     repeated = repeated.withColumn("wl_block", F.expr(f"wl_from div {block_words}"))
     in_mix = repeated.join(schedule(sources, total, block_words), ["wl_source", "wl_block"])
-    ordered = in_mix.repartitionByRange("slot", "wl_from").sortWithinPartitions("slot", "wl_from")
-    return ordered.select(*[F.col(f"`{name}`") for name in docs.columns])
+    in_mix = in_mix.select("wl_key", "wl_key2", F.col("slot").alias("wl_slot"), "wl_from")
+    # Texts come back when all places are known; one row stands for all that equal it in every column.
+    whole = in_mix.join(keyed.dropDuplicates(["wl_key", "wl_key2"]), ["wl_key", "wl_key2"])
+    ordered = whole.repartitionByRange("wl_slot", "wl_from").sortWithinPartitions("wl_slot", "wl_from")
+    return ordered.select(*columns)
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
