@@ -159,6 +159,34 @@ def test_tiles_held_whole_and_in_portions(monkeypatch, tiles, postings):
         assert seen == 10 if postings > 300 else seen > 10
 
 
+def test_few_tiles_take_postings_as_they_come(monkeypatch):
+    """What a task holds does not grow with its documents: a part of a batch is passed on before the next is looked up."""
+    monkeypatch.setattr(cooc, "LOOKUP_DOCS", 14, raising=False)
+    monkeypatch.setattr(cooc, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(cooc, "TILE_TERMS", 8)
+    rng = np.random.default_rng(6)
+    counts = rng.integers(1, 5, (90, 30)) * (rng.random((90, 30)) < 0.3)
+    lists = [[{"term": f"t{j:02}", "tf": int(row[j])} for j in np.flatnonzero(row)] for row in counts]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+    read = []
+
+    def batches():
+        for i in range(0, 90, 45):
+            read.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(lists[i : i + 45], kind)], names=["terms"])
+
+    known = pa.array([f"t{j:02}" for j in range(30)])
+    seen = []
+    for some in cooc.known_postings(batches(), known, False, 1):
+        seen.append((len(read), len(np.unique(some.rows))))
+        assert some.rows.itemsize <= 4 and some.counts.itemsize <= 4
+    assert [n for n, _ in seen] == [1, 1, 1, 1, 2, 2, 2, 2] and max(docs for _, docs in seen) <= 14
+    total = np.zeros((32, 32), int)
+    for row, column, tile in cooc.tile_products(cooc.known_postings(batches(), known, False, 1), 4):
+        total[row * 8 : row * 8 + 8, column * 8 : column * 8 + 8] += tile
+    assert (np.triu(total)[:30, :30] == np.triu(counts.T @ counts)).all()
+
+
 def plan_of(df):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from wordloom.operators.terms import counted, vocab_index
 from wordloom.session import checkpoint
 
-# Documents per dense block inside a task, terms per side of a tile, and the tiles that a
-# task holds (256 MB of them). With more tiles than that a task holds postings instead, so
-# many at a time, and works out one tile after the other.
+# Documents per dense block inside a task, documents whose terms are looked up at a time,
+# terms per side of a tile, and the tiles that a task holds (256 MB of them). With more tiles
+# than that a task holds postings instead, so many at a time, and works out one tile after the other.
 BLOCK_DOCS = 512
+LOOKUP_DOCS = 4 * BLOCK_DOCS
 TILE_TERMS = 512
 TASK_TILES = 128
 TASK_POSTINGS = 1 << 22
@@ -79,13 +80,14 @@ def summed_tiles(tiles: DataFrame, *keys: str) -> DataFrame:
 def tile_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells ``(i, j, weight)`` on and above the diagonal of the whole matrix."""
     for batch in batches:
-        for one in batch.to_pylist():
+        for row, column, places, weights in zip(*[batch.column(name) for name in ("row", "column", "places", "weights")], strict=True):
+            row, column = row.as_py(), column.as_py()
             tile = np.zeros(TILE_TERMS * TILE_TERMS, np.int64)
-            add_packed(tile, one["places"], one["weights"])
+            add_packed(tile, places.as_py(), weights.as_py())
             tile = tile.reshape(TILE_TERMS, TILE_TERMS)
-            i, j = np.nonzero(np.triu(tile) if one["row"] == one["column"] else tile)
+            i, j = np.nonzero(np.triu(tile) if row == column else tile)
             weights = tile[i, j]
-            ends = [i + one["row"] * TILE_TERMS, j + one["column"] * TILE_TERMS]
+            ends = [i + row * TILE_TERMS, j + column * TILE_TERMS]
             arrays = [*[pa.array(end.astype(np.int32)) for end in ends], pa.array(weights)]
             yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "weight"])
 
@@ -148,23 +150,31 @@ def tile_products(postings: Iterator[Postings], strips: int) -> Iterator[tuple[i
                     yield row, column, tile
 
 
-def known_postings(batches: Iterator[pa.RecordBatch], lookup: pa.Array, binary: bool) -> Iterator[Postings]:
-    """Postings of known terms, ``TASK_POSTINGS`` or somewhat more at a time; counts are 1 if ``binary``."""
+def known_postings(batches: Iterator[pa.RecordBatch], lookup: pa.Array, binary: bool, most: int | None = None) -> Iterator[Postings]:
+    """Postings of known terms, ``most`` (``TASK_POSTINGS``) or somewhat more at a time; counts are 1 if ``binary``.
+
+    Terms are looked up for some documents of a batch after the other, and what is held until
+    there are enough of them is numbers, no wider than they must be.
+    """
+    most = TASK_POSTINGS if most is None else most
     held: list[tuple[np.ndarray, ...]] = []
     size = docs = 0
     for batch in batches:
-        lists = batch.column(0)
-        postings = lists.flatten()
-        rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-        found = pc.index_in(postings.field("term"), value_set=lookup)
-        valid = found.is_valid().to_numpy(zero_copy_only=False)
-        counts = postings.field("tf").to_numpy()[valid]
-        held.append((rows[valid] + docs, found.drop_null().to_numpy(), np.ones_like(counts) if binary else counts))
-        size += len(held[-1][0])
-        docs += len(lists)
-        if size >= TASK_POSTINGS:
-            yield Postings(*map(np.concatenate, zip(*held, strict=True)))
-            held, size, docs = [], 0, 0
+        for start in range(0, len(batch), LOOKUP_DOCS):
+            lists = batch.column(0).slice(start, LOOKUP_DOCS)
+            postings = lists.flatten()
+            rows = np.repeat(np.arange(docs, docs + len(lists), dtype=np.int32), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            found = pc.index_in(postings.field("term"), value_set=lookup)
+            valid = found.is_valid().to_numpy(zero_copy_only=False)
+            counts = postings.field("tf").to_numpy()[valid]
+            kind = np.int32 if not len(counts) or counts.max() < 1 << 31 else np.int64
+            held.append((rows[valid], found.drop_null().to_numpy(), np.ones_like(counts, kind) if binary else counts.astype(kind)))
+            size += len(held[-1][0])
+            docs += len(lists)
+            if size >= most:
+                some, held, size, docs = Postings(*map(np.concatenate, zip(*held, strict=True))), [], 0, 0
+                yield some
+                del some
     if size:
         yield Postings(*map(np.concatenate, zip(*held, strict=True)))
 
@@ -186,10 +196,13 @@ def cooccurrence(docs: DataFrame, vocab: DataFrame, binary: bool = False, min_to
     terms = [row["term"] for row in numbers.orderBy("idx").collect()]
     known = spark.sparkContext.broadcast(terms)
     strips = -(-len(terms) // TILE_TERMS)
+    # With few tiles a task adds documents into them as they come.
+    most = 1 if strips * (strips + 1) // 2 <= TASK_TILES else TASK_POSTINGS
 
     def partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = None
-        for row, column, tile in tile_products(known_postings(batches, pa.array(known.value, pa.string()), binary), strips):
+        postings = known_postings(batches, pa.array(known.value, pa.string()), binary, most)
+        for row, column, tile in tile_products(postings, strips):
             if part is None:
                 part = xxhash.xxh3_64_intdigest(tile.tobytes()) % TASK_GROUPS
             yield tile_batch(row, column, part, tile)
