@@ -187,6 +187,22 @@ def test_few_tiles_take_postings_as_they_come(monkeypatch):
     assert (np.triu(total)[:30, :30] == np.triu(counts.T @ counts)).all()
 
 
+def test_common_terms_travel_as_numbers(spark, monkeypatch):
+    """A common posting is two numbers on its way to the norm, and a batch is weighed by parts."""
+    monkeypatch.setattr(terms, "WEIGHED_DOCS", 2, raising=False)
+    docs = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb"), (3, ""), (4, "dd aa"), (5, None)], "doc_id long, text string").coalesce(1)
+    rows = terms.weighed_rows(terms.counted(docs), {"aa": 2.0, "bb": 0.5})
+    assert "string" not in rows.select("numbers", "counts").schema.simpleString()
+    found = {r["doc_id"]: (r["numbers"], r["counts"], r["common_square"], [tuple(t) for t in r["rare"]]) for r in rows.collect()}
+    assert found == {
+        1: ([0, 1], [2, 1], 16.25, [("cc", 1)]),
+        2: ([1], [1], 0.25, []),
+        3: ([], [], 0.0, []),
+        4: ([0], [1], 4.0, [("dd", 1)]),
+        5: ([], [], 0.0, []),
+    }
+
+
 def plan_of(df):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 

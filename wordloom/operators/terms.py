@@ -127,38 +127,51 @@ def term_idf(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
 COMMON_SHARE = 1e-4
 
 
+# Documents of a batch that are weighed at a time.
+WEIGHED_DOCS = 2048
+
+
 def weighed_rows(runs: DataFrame, common: dict[str, float]) -> DataFrame:
-    """``(doc_id, common, common_square, rare)``: a document's terms by whether ``common`` holds their idf.
+    """``(doc_id, numbers, counts, common_square, rare)``: a document's terms by whether ``common`` holds their idf.
 
-    ``common`` lists terms and weights, ``common_square`` is the sum of the squares of these
-    weights, and ``rare`` lists the other terms and their counts.
+    ``numbers`` are the places in ``common`` of the terms it holds, ``counts`` their counts,
+    ``common_square`` is the sum of the squares of their weights, and ``rare`` lists the other
+    terms and their counts. A batch is worked off and sent on by parts.
     """
     names, idf = list(common), np.array(list(common.values()), float)
 
-    def part(rows: np.ndarray, size: int, held: np.ndarray, **fields: pa.Array) -> pa.ListArray:
+    def part(rows: np.ndarray, size: int, held: np.ndarray, values: pa.Array) -> pa.ListArray:
         ends = np.concatenate([[0], np.cumsum(np.bincount(rows[held], minlength=size))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+        return pa.ListArray.from_arrays(pa.array(ends), values)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = pa.array(names, pa.string())
-        for batch in batches:
-            lists, size = batch.column("terms"), len(batch)
-            postings = lists.flatten()
-            terms, counts = postings.field("term"), postings.field("tf").to_numpy()
-            rows = np.repeat(np.arange(size), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            found = pc.index_in(terms, value_set=lookup)
-            held = found.is_valid().to_numpy(zero_copy_only=False)
-            weights = counts[held] * idf[found.drop_null().to_numpy()]
-            square = np.bincount(rows[held], weights * weights, size).astype(float)
-            common_list = part(rows, size, held, term=terms.filter(pa.array(held)), w=pa.array(weights))
-            rare_list = part(rows, size, ~held, term=terms.filter(pa.array(~held)), tf=pa.array(counts[~held]))
-            columns = [batch.column("doc_id"), common_list, pa.array(square), rare_list]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "common", "common_square", "rare"])
-
-    lists = [T.StructField("term", T.StringType()), T.StructField("w", T.DoubleType())], [T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]
-    common_type, rare_type = (T.ArrayType(T.StructType(fields)) for fields in lists)
+        for whole in batches:
+            for start in range(0, len(whole), WEIGHED_DOCS):
+                batch = whole.slice(start, WEIGHED_DOCS)
+                lists, size = batch.column("terms"), len(batch)
+                postings = lists.flatten()
+                terms, counts = postings.field("term"), postings.field("tf").to_numpy()
+                rows = np.repeat(np.arange(size), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                found = pc.index_in(terms, value_set=lookup)
+                held = found.is_valid().to_numpy(zero_copy_only=False)
+                numbers = found.drop_null().to_numpy()
+                weights = counts[held] * idf[numbers]
+                square = np.bincount(rows[held], weights * weights, size).astype(float)
+                rare = pa.StructArray.from_arrays([terms.filter(pa.array(~held)), pa.array(counts[~held])], ["term", "tf"])
+                lists_of = [part(rows, size, held, pa.array(numbers.astype(np.int16))), part(rows, size, held, pa.array(counts[held]))]
+                columns = [batch.column("doc_id"), *lists_of, pa.array(square), part(rows, size, ~held, rare)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "numbers", "counts", "common_square", "rare"])
+
+    rare_type = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
     schema = T.StructType(
-        [runs.schema["doc_id"], T.StructField("common", common_type), T.StructField("common_square", T.DoubleType()), T.StructField("rare", rare_type)]
+        [
+            runs.schema["doc_id"],
+            T.StructField("numbers", T.ArrayType(T.ShortType())),
+            T.StructField("counts", T.ArrayType(T.LongType())),
+            T.StructField("common_square", T.DoubleType()),
+            T.StructField("rare", T.ArrayType(rare_type)),
+        ]
     )
     return runs.select("doc_id", "terms").mapInArrow(weigh, schema)
 
@@ -167,24 +180,36 @@ def doc_tfidf(docs: DataFrame, min_token_len: int = 2) -> DataFrame:
     """TF-IDF with every document scaled to unit length: ``(doc_id, term, tfidf)``.
 
     Terms are counted once and written. Common terms, few by definition and most of all
-    postings, get their idf inside the document's row. The postings of rare terms meet
-    their idf in a join, where no key is busy, and come back to the row as one list.
+    postings, get their idf inside the document's row and travel as numbers. The postings of
+    rare terms meet their idf in a join, where no key is busy, and come back to the row as one list.
     """
     runs = counted_documents(docs, min_token_len)
     stats = checkpoint(vocab_stats(runs).select("term", "df"))
     idf = stats.select("term", "df", idf_of(F.col("df"), document_count(runs)).alias("idf"))
     common = idf.where(F.col("df") >= F.lit(COMMON_SHARE) * stats.agg(F.sum("df")).scalar())
-    rows = weighed_rows(runs, {row["term"]: row["idf"] for row in common.collect()})
+    known = {row["term"]: row["idf"] for row in common.collect()}
+    rows = weighed_rows(runs, known)
     postings = rows.select("doc_id", F.explode("rare").alias("t")).select("doc_id", "t.term", "t.tf")
     weights = postings.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     rare = weights.groupBy("doc_id").agg(
         F.collect_list(F.struct("term", "w")).alias("rare"), F.sum(F.col("w") * F.col("w")).alias("rare_square")
     )
-    whole = rows.select("doc_id", "common", "common_square").join(rare, "doc_id", "left")
+    whole = rows.select("doc_id", "numbers", "counts", "common_square").join(rare, "doc_id", "left")
     norm = F.sqrt(F.col("common_square") + F.coalesce("rare_square", F.lit(0.0)))
-    terms = F.concat("common", F.coalesce("rare", F.slice("common", 1, 0)))
+
+    def entry(number: Column | None, tf: Column | None, term: Column | None, w: Column | None) -> Column:
+        kinds = {"number": (number, "smallint"), "tf": (tf, "long"), "term": (term, "string"), "w": (w, "double")}
+        return F.struct(*[(F.lit(None) if value is None else value).cast(kind).alias(name) for name, (value, kind) in kinds.items()])
+
+    common_terms = F.transform("numbers", lambda n, i: entry(n, F.get("counts", i), None, None))
+    rare_terms = F.transform("rare", lambda t: entry(None, None, t["term"], t["w"]))
+    terms = F.concat(common_terms, F.coalesce(rare_terms, F.slice(common_terms, 1, 0)))
     exploded = whole.select("doc_id", norm.alias("norm"), F.explode(terms).alias("t"))
-    return exploded.select("doc_id", "t.term", (F.col("t.w") / F.col("norm")).alias("tfidf"))
+    # The common terms and their idf in order of their numbers: one row, as long as there can be common terms.
+    listed = runs.sparkSession.createDataFrame([(list(known), list(known.values()))], "terms array<string>, idf array<double>")
+    term = F.coalesce("t.term", F.get(listed.select("terms").scalar(), F.col("t.number").cast("int")))
+    w = F.coalesce("t.w", F.col("t.tf") * F.get(listed.select("idf").scalar(), F.col("t.number").cast("int")))
+    return exploded.select("doc_id", term.alias("term"), (w / F.col("norm")).alias("tfidf"))
 
 
 def tfidf_table(docs: DataFrame, rows: int = TFIDF_ROWS, min_token_len: int = 2) -> DataFrame:
