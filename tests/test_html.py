@@ -1,8 +1,10 @@
 import html as python_html
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from wordloom.functions import html
 from wordloom.functions.html import (
     Selector,
     decode_entities,
@@ -97,3 +99,13 @@ def test_walk_equals_plain_nesting():
             for inner in ("div", "p", "a"):
                 found = matching(elements, Selector(inner, inside=Selector(outer)))
                 assert [f"<{inner}>{root[1][e.start : e.end]}</{inner}>" for e in found] == nested(root, (outer, inner))
+
+
+def test_markups_of_a_batch_are_found_in_arrow():
+    """A batch of pages stays in Arrow but for the few that are worked on."""
+    rules = html.json.dumps([html.asdict(Selector("h1")), html.asdict(Selector("p"))])
+    for size in (0, 1, 150):
+        pages = [None if i % 7 == 3 else f"<h1>{i}</h1><p>ö{i}" if i % 2 else "" for i in range(size)]
+        found = html._first_markups.func(pa.array(pages, pa.string()), pa.array([rules] * size, pa.string()))
+        assert isinstance(found, pa.Array)
+        assert found.to_pylist() == [[str(i), f"ö{i}"] if page else [None, None] for i, page in enumerate(pages)]

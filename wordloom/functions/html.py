@@ -10,6 +10,7 @@ from functools import lru_cache
 from html.entities import name2codepoint
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,14 +118,23 @@ def _read_selectors(text: str) -> tuple[Selector, ...]:
     return tuple(map(selector, json.loads(text)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _first_markups(pages: pd.Series, selectors: pd.Series) -> pd.Series:
-    found = []
-    for page, text in zip(pages, selectors, strict=True):
+# Pages whose texts a task holds as Python strings at a time; the rest of a batch stays in Arrow.
+HELD_PAGES = 64
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _first_markups(pages: pa.Array, selectors: pa.Array) -> pa.Array:
+    def firsts(page: str | None, text: str) -> list[str | None]:
         elements = page_elements(page) if page is not None else []
-        firsts = [next(iter(matching(elements, selector)), None) for selector in _read_selectors(text)]
-        found.append([None if e is None else page[e.start : e.end] for e in firsts])
-    return pd.Series(found, dtype=object)
+        found = [next(iter(matching(elements, selector)), None) for selector in _read_selectors(text)]
+        return [None if e is None else page[e.start : e.end] for e in found]
+
+    kind = pa.list_(pa.string())
+    parts = [pa.array([], kind)]
+    for start in range(0, len(pages), HELD_PAGES):
+        some = zip(pages.slice(start, HELD_PAGES).to_pylist(), selectors.slice(start, HELD_PAGES).to_pylist(), strict=True)
+        parts.append(pa.array([firsts(page, text) for page, text in some], kind))
+    return pa.concat_arrays(parts)
 
 
 def element_markups(markup: Column, selectors: Sequence[Selector]) -> Column:
