@@ -78,6 +78,18 @@ def test_pairs_that_the_target_lacks_count(spark):
     assert got[0] == got[19] and got[20] == got[59] and got[0] < 0 and got[20] > 1
 
 
+def test_postings_travel_once_and_texts_not_at_all(spark, small):
+    """Each word of a run stands in one posting, each document's end in another; marking moves no text."""
+    codes = [interpolated.HASHED | pd.Series(ws, dtype="uint64").to_numpy() for ws in ([5, 3, 5, 3, 5], [], [3], [7, 5, 3])]
+    w, v, all_, good, place = interpolated.run_postings(codes, [1, 0, 0, 1])
+    assert len(place) == all_.sum() == 9 + 3 and good.sum() == 8 + 2
+    blocks = list(interpolated.in_parts(4, w, v, all_, good, place))
+    assert sum(b[1] for b in blocks) == len(w) and sum(b[3] for b in blocks) == 12 and len({b[0] for b in blocks}) == len(blocks)
+    marked = interpolated.marked_texts(small[0], spark.createDataFrame([(3,), (3,), (None,)], "doc_id long"))
+    assert [r["doc_id"] for r in marked.where("wl_mark = 1").collect()] == [3] and marked.count() == len(small[1])
+    assert "SortMergeJoin" not in marked._jdf.queryExecution().toString()
+
+
 def test_the_mix_is_what_the_schedule_holds(spark, small, duck, monkeypatch):
     """Slots follow each other without gaps, every word taken has one, and without a schedule nothing is taken."""
     pieces = mixing.mix_blocks(small[0].select("doc_id", "text", "source")).where("words > 0").collect()

@@ -12,10 +12,11 @@ is the mean over its words: the lower, the more like the target. Pairs that the
 has never seen count like the others.
 
 No table of words is gathered. Words with a fixed share of all tokens or more, at most
-1 / share, are numbered and broadcast; any other word is its 64-bit hash. Postings
-(word, word before) are dealt by the hash of the word, those of a numbered word by both,
-so a part holds all counts of its words. As the background holds every scored document, a
-posting whose count is not stored was seen once: by the posting itself.
+1 / share, are numbered and broadcast; any other word is its 64-bit hash. Documents are
+read in runs. A run's postings (word, word before) travel once: each distinct pair of the
+run with its counts and the places of its documents, dealt by the hash of the word, those
+of a numbered word by both. So a part holds all counts of its words and pairs, scores them
+and sends each run back the sums of its documents, one packed row for a run and a part.
 """
 
 from __future__ import annotations
@@ -36,21 +37,23 @@ from wordloom.session import checkpoint
 BACKOFF = 2.0
 # Words by hash have this bit, numbered ones have not.
 HASHED = np.uint64(1 << 63)
-# What stands for the word before: any word (counts the word), the word as a context, no word.
-ANY, CONTEXT, FIRST = (np.uint64((1 << 62) + k) for k in range(3))
-PAIR = (np.uint64, np.uint64)
+# What stands for the word before: no word; in a posting of its own, that the document ends with the word.
+FIRST, LAST = (np.uint64((1 << 62) + k) for k in range(2))
+COUNTED = (np.uint64, np.uint64, np.uint32, np.uint32)
+# Rows of which the marked ones are listed together: their places in it are 16-bit numbers.
+CHUNK_BITS = 12
 
 
 class Numbered:
-    """The common words with their counts in both models and what they add to a difference."""
+    """The common words with their counts in both models, as last words too."""
 
     def __init__(self, rows: list, kinds: int, tokens: int, good_tokens: int) -> None:
         rows = sorted(rows, key=lambda row: row["wl_word"] % (1 << 64))
         column = lambda name: np.array([row[name] for row in rows], np.int64)
         self.words = column("wl_word").view(np.uint64)
         self.all_size, self.good_size = tokens + SMOOTHING * kinds, good_tokens + SMOOTHING * kinds
-        self.all_share, self.good_share = self.shares(column("wl_all"), column("wl_good"))
-        self.single = np.log(self.all_share) - np.log(self.good_share)
+        self.all, self.good = column("wl_all"), column("wl_good")
+        self.all_last, self.good_last = column("wl_all_last"), column("wl_good_last")
 
     def shares(self, all_: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(w) of both models from the counts of words."""
@@ -78,147 +81,67 @@ def part_of(words: np.ndarray, before: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(dealt) % np.uint64(parts)).astype(np.int64)
 
 
-def in_order(words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Order of the pairs by word, then by the word before."""
-    order = np.argsort(before)
-    return order[np.argsort(words[order], kind="stable")]
-
-
 def pair_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mixed(words + mixed(before))
 
 
-def summed(words: np.ndarray, before: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
-    """Distinct pairs with the sums of their counts, in no order."""
-    keys = pair_keys(words, before)
-    order = np.argsort(keys)
-    sorted_keys = keys[order]
-    starts = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(keys)])
-    first = order[starts]
-    return [words[first], before[first], *[np.add.reduceat(c[order], starts, dtype=c.dtype) if len(starts) else c for c in counts]]
-
+def run_postings(codes: list[np.ndarray], marks: list[int]) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of a run in order, their counts in all texts and in marked ones, and the texts' places, pair by pair.
 
-def document_pairs(codes: list[np.ndarray], marks: list[int]) -> list[np.ndarray]:
-    """Pairs of some texts in order, with their counts in all texts and in marked ones.
-
-    Besides each word with the one before it: words as contexts, and words that are
-    hashes with any word before. Both are sums over the distinct pairs. Words are numbered
-    among themselves first, so that a pair is sorted as one number.
+    Words are numbered among themselves first, so that a pair is sorted as one number.
     """
-    sizes = [len(c) for c in codes]
+    sizes = np.array([len(c) for c in codes])
     kinds, at = np.unique(np.concatenate(codes), return_inverse=True)
-    marked = np.repeat(np.array(marks, np.uint32), sizes)
-    starts = np.cumsum([0, *sizes[:-1]])[np.array(sizes) > 0]
+    place = np.repeat(np.arange(len(codes), dtype=np.uint32), sizes)
+    ends = np.cumsum(sizes)[sizes > 0]
     before = np.roll(at, 1)
-    before[starts] = len(kinds)
+    before[ends - sizes[sizes > 0]] = len(kinds)
+    at, place = np.append(at, at[ends - 1]), np.append(place, place[ends - 1])
+    before = np.append(before, np.full(len(ends), len(kinds) + 1))
     key = (at.astype(np.uint64) << np.uint64(32)) | before.astype(np.uint64)
-    order = np.argsort(key)
-    key = key[order]
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     all_ = np.diff(new, append=len(key)).astype(np.uint32)
-    good = np.add.reduceat(marked[order], new, dtype=np.uint32) if len(new) else marked
-    word, last = (key[new] >> np.uint64(32)).astype(np.int64), (key[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    names = np.append(kinds, FIRST)
-    found = [(kinds[word], names[last], all_, good)]
-    for place, kept, mark in ((last, np.ones(len(kinds), bool), CONTEXT), (word, kinds >= HASHED, ANY)):
-        total, of_good = (np.bincount(place, x, len(names))[: len(kinds)].astype(np.uint32) for x in (all_, good))
-        kept = kept & (total > 0)
-        found.append((kinds[kept], np.full(kept.sum(), mark), total[kept], of_good[kept]))
-    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-    order = np.argsort(columns[0], kind="stable")
-    return [x[order] for x in columns]
-
-
-class Held:
-    """The stored counts of a part, found by a hash of the pair."""
-
-    def __init__(self, words: np.ndarray, before: np.ndarray, all_: np.ndarray, good: np.ndarray) -> None:
-        keys = pair_keys(words, before)
-        order = np.argsort(keys)
-        self.keys, self.all, self.good = keys[order], all_[order], good[order]
-
-    def counts(self, words: np.ndarray, before: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of pairs in both corpora; what is not stored was seen once, in a document with that mark."""
-        if not len(self.keys):
-            return np.ones(len(words)), mark.astype(np.float64)
-        keys = pair_keys(words, before)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        stored = self.keys[at] == keys
-        return np.where(stored, self.all[at], 1).astype(np.float64), np.where(stored, self.good[at], mark).astype(np.float64)
-
-
-def in_parts(parts: int, words: np.ndarray, before: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Pairs in order, by part: part, number and packed arrays."""
-    part = part_of(words, before, parts)
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
+    good = np.add.reduceat(np.array(marks, np.uint32)[place], new, dtype=np.uint32)
+    names = np.append(kinds, [FIRST, LAST])
+    return names[(key[new] >> np.uint64(32)).astype(np.int64)], names[(key[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)], all_, good, place
+
+
+def in_parts(parts: int, words: np.ndarray, before: np.ndarray, all_: np.ndarray, good: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+    """A run's postings by part: part, number of pairs, packed pairs with counts, number of places, packed places."""
+    part = part_of(words, before, parts).astype(np.min_scalar_type(parts))
+    order, places = np.argsort(part, kind="stable"), place[np.argsort(np.repeat(part, all_), kind="stable")]
+    edges = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+    done = 0
+    for low, high in zip(edges, [*edges[1:], len(order)], strict=True):
         own = order[low:high]
-        w = words[own]
-        yield int(part[own[0]]), len(own), squeezed(np.diff(w, prepend=np.zeros(1, w.dtype)), before[own], *[x[own] for x in others])
-
-
-def from_part(count: int, data: bytes, *kinds: type) -> list[np.ndarray]:
-    w, v, *others = unsqueezed(data, count, (*PAIR, *kinds))
-    return [np.cumsum(w, dtype=np.uint64), v, *others]
+        w, size = words[own], int(all_[own].sum())
+        pairs = squeezed(np.diff(w, prepend=np.zeros(1, w.dtype)), before[own], all_[own], good[own])
+        yield int(part[own[0]]), len(own), pairs, size, squeezed(places[done : done + size])
+        done += size
 
 
-def joined_parts(counts: pd.Series, blobs: pd.Series, *kinds: type) -> list[np.ndarray]:
-    empty = [np.zeros(0, kind) for kind in (*PAIR, *kinds)]
-    blocks = [empty] + [from_part(int(n), data, *kinds) for n, data in zip(counts, blobs, strict=True)]
-    return [np.concatenate(arrays) for arrays in zip(*blocks, strict=True)]
+def worths(words: Numbered, w: np.ndarray, v: np.ndarray, all_: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """What each posting of the listed pairs adds to the sum of its document; a pair may be listed for many runs.
 
-
-def postings(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's pairs: each word with the word before it, and each word that another follows as a context."""
-    before = np.concatenate(([FIRST], codes[:-1])) if len(codes) else codes
-    return np.concatenate((codes, codes[:-1])), np.concatenate((before, np.full(max(0, len(codes) - 1), CONTEXT)))
-
-
-def pair_counts(docs: DataFrame, words: Numbered, parts: int) -> DataFrame:
-    """``wl_part, wl_count, wl_model``: pairs seen twice or more, with their counts in both corpora."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame(in_parts(parts, *document_pairs(codes, marks)), columns=["wl_part", "wl_count", "wl_model"])
-
-        codes, marks, size = [], [], 0
-        for batch in batches:
-            for data, mark in zip(batch["wl_text"], batch["wl_mark"], strict=True):
-                codes.append(words.codes(data))
-                marks.append(mark)
-                size += len(codes[-1])
-                if size >= RUN_TOKENS:
-                    yield rows()
-                    codes, marks, size = [], [], 0
-        if size:
-            yield rows()
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        w, v, all_, good = joined_parts(group["wl_count"], group["wl_model"], np.uint32, np.uint32)
-        w, v, all_, good = summed(w, v, all_.astype(np.int64), good.astype(np.int64))
-        kept = np.flatnonzero(all_ > 1)
-        kept = kept[np.argsort(w[kept])]
-        w = w[kept]
-        data = squeezed(np.diff(w, prepend=np.zeros(1, w.dtype)), v[kept], all_[kept], good[kept])
-        return pd.DataFrame([(group["wl_part"].iloc[0], len(w), data)], columns=["wl_part", "wl_count", "wl_model"])
-
-    schema = "wl_part long, wl_count long, wl_model binary"
-    return docs.select("wl_text", "wl_mark").mapInPandas(count, schema).groupBy("wl_part").applyInPandas(add, schema)
-
-
-def common_pairs(model: DataFrame, limit: float) -> list:
-    """Pairs of numbered words, or such a word as a context, with ``limit`` counts or more."""
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for count, data in zip(batch["wl_count"], batch["wl_model"], strict=True):
-                w, v, all_, good = from_part(count, data, np.int64, np.int64)
-                hot = all_ >= limit
-                hot &= w < HASHED
-                yield pd.DataFrame({"wl_word": w[hot].view(np.int64), "wl_before": v[hot].view(np.int64), "wl_all": all_[hot], "wl_good": good[hot]})
-
-    return model.select("wl_count", "wl_model").mapInPandas(pick, "wl_word long, wl_before long, wl_all long, wl_good long").collect()
+    A word counts as a context wherever it stands, and is taken back where a document ends with it.
+    """
+    _, pair = np.unique(pair_keys(w, v), return_inverse=True)
+    pair_all, pair_good = (np.bincount(pair, x)[pair] for x in (all_, good))
+    kinds, at = np.unique(w, return_inverse=True)
+    last = v == LAST
+    totals = [np.bincount(at, np.where(which, x, 0)) for which in (~last, last) for x in (all_, good)]
+    common = kinds < HASHED
+    number = kinds[common].astype(np.int64)
+    for total, known in zip(totals, (words.all, words.good, words.all_last, words.good_last), strict=True):
+        total[common] = known[number]
+    total_all, total_good, last_all, last_good = totals
+    all_share, good_share = words.shares(total_all, total_good)
+    single = np.log(all_share) - np.log(good_share)
+    context = context_difference(total_all - last_all, total_good - last_good)
+    worth = np.where(v == FIRST, single[at], pair_difference(pair_all, pair_good, all_share[at], good_share[at]))
+    return np.where(last, 0, worth) + np.where(last, -context[at], context[at])
 
 
 def score_documents(docs: DataFrame, good: DataFrame, part_tokens: int = PART_TOKENS, hot_share: float = HOT_SHARE) -> DataFrame:
@@ -230,10 +153,23 @@ def score_documents(docs: DataFrame, good: DataFrame, part_tokens: int = PART_TO
     alike. ``hot_share`` and ``part_tokens`` move work, not scores. Other columns are not
     read; an empty table gives an empty one.
     """
-    target = good.where("doc_id is not null").select("doc_id").distinct().withColumn("wl_mark", F.lit(1))
-    texts = docs.select("doc_id", packed("text").alias("wl_text")).join(target, "doc_id", "left")
-    texts = texts.withColumn("wl_mark", F.coalesce("wl_mark", F.lit(0))).withColumn("wl_row", F.monotonically_increasing_id())
-    return scored(checkpoint(texts), part_tokens, hot_share)
+    return scored(marked_texts(docs, good), part_tokens, hot_share)
+
+
+def marked_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """``doc_id, wl_text, wl_row, wl_mark``: packed texts, written once; the mark is 1 for the target's documents.
+
+    Texts are not shuffled to be marked: ids are, and each chunk of rows gets the places of its
+    marked ones, two bytes each, a table that Spark broadcasts as long as it is small.
+    """
+    target = good.where("doc_id is not null").select("doc_id").distinct()
+    texts = checkpoint(docs.select("doc_id", packed("text").alias("wl_text"), F.monotonically_increasing_id().alias("wl_row")))
+    chunk, place = F.shiftright("wl_row", CHUNK_BITS), F.col("wl_row").bitwiseAND((1 << CHUNK_BITS) - 1).cast("short")
+    found = texts.select("doc_id", "wl_row").join(target, "doc_id", "left_semi")
+    places = checkpoint(found.groupBy(chunk.alias("wl_chunk")).agg(F.collect_list(place).alias("wl_places")))
+    joined = texts.withColumn("wl_chunk", chunk).join(places, "wl_chunk", "left")
+    mark = F.coalesce(F.array_contains("wl_places", place), F.lit(False)).cast("long")
+    return joined.select("doc_id", "wl_text", "wl_row", mark.alias("wl_mark"))
 
 
 def scored(marked: DataFrame, part_tokens: int, hot_share: float) -> DataFrame:
@@ -243,85 +179,61 @@ def scored(marked: DataFrame, part_tokens: int, hot_share: float) -> DataFrame:
     limit = max(1.0, tokens * hot_share)
     words = Numbered(counts.where(F.col("wl_all") >= limit).collect(), kinds, tokens, good_tokens)
     parts = max(1, math.ceil(tokens / part_tokens))
-    model = checkpoint(pair_counts(marked, words, parts))
-    listed = common_pairs(model, limit)
-    column = lambda name: np.array([row[name] for row in listed], np.int64)
-    hot = [column("wl_word").view(np.uint64), column("wl_before").view(np.uint64)]
-    hot_all, hot_good = column("wl_all").astype(np.float64), column("wl_good").astype(np.float64)
-    as_context = hot[1] == CONTEXT
-    own = hot[0].astype(np.int64)
-    gains = np.where(as_context, context_difference(hot_all, hot_good), pair_difference(hot_all, hot_good, words.all_share[own], words.good_share[own]))
-    # Numbers are below 2 ** 31, so common pairs of them have one sorted key; the marks of no pair or context have places above.
-    code = lambda v: np.where(v >= ANY, v - ANY + np.uint64(1 << 31), v)
-    key = lambda w, v: (w << np.uint64(32)) | code(v)
-    usual = hot[1] < HASHED
-    keys, gains = key(hot[0][usual], hot[1][usual]), gains[usual]
-    order = np.argsort(keys)
-    keys, gains = keys[order], gains[order]
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Packed postings of every part with their rows and marks, and what rows have without the parts."""
+        """Packed postings of runs for every part; rows and sizes of a run's documents go with them."""
 
-        def rows(found: list, alone: list) -> pd.DataFrame:
-            w, v, owner, mark = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = in_order(w, v)
-            data = [(part, n, blob, None) for part, n, blob in in_parts(parts, w[order], v[order], owner[order], mark[order])]
-            row, size, own_sum = (np.array(x) for x in zip(*alone, strict=True))
-            data.append((int(row[0]) % parts, len(row), None, squeezed(row.astype(np.int64), size.astype(np.int64), own_sum.astype(np.float64))))
-            return pd.DataFrame(data, columns=["wl_part", "wl_count", "wl_posts", "wl_sums"])
+        def rows() -> pd.DataFrame:
+            run, sizes = row[0], np.array([len(c) for c in codes], np.int64)
+            found = [(int(run % parts), run, len(row), None, 0, squeezed(np.array(row, np.int64), sizes))]
+            if sizes.any():
+                found += [(part, run, *x) for part, *x in in_parts(parts, *run_postings(codes, marks))]
+            return pd.DataFrame(found, columns=["wl_part", "wl_run", "wl_count", "wl_pairs", "wl_size", "wl_places"])
 
-        found, alone, size = [], [], 0
+        row, codes, marks, size = [], [], [], 0
         for batch in batches:
-            for row, data, mark in zip(batch["wl_row"], batch["wl_text"], batch["wl_mark"], strict=True):
-                codes = words.codes(data)
-                w, v = postings(codes)
-                gained, left = 0.0, np.ones(len(w), bool)
-                first = (v == FIRST) & (w < HASHED)
-                gained += float(words.single[w[first].astype(np.int64)].sum())
-                left &= ~first
-                plain = np.flatnonzero((w < HASHED) & (v < HASHED) & left)
-                if len(keys) and len(plain):
-                    k = key(w[plain], v[plain])
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    is_hot = keys[at] == k
-                    gained += float(gains[at[is_hot]].sum())
-                    left[plain[is_hot]] = False
-                w, v = w[left], v[left]
-                found.append((w, v, np.full(len(w), row, np.int64), np.full(len(w), mark, np.uint8)))
-                alone.append((row, len(codes), gained))
-                size += len(w)
+            for number, data, mark in zip(batch["wl_row"], batch["wl_text"], batch["wl_mark"], strict=True):
+                row.append(number)
+                codes.append(words.codes(data))
+                marks.append(mark)
+                size += len(codes[-1])
                 if size >= RUN_TOKENS:
-                    yield rows(found, alone)
-                    found, alone, size = [], [], 0
-        if alone:
-            yield rows(found, alone)
-
-    def gain(posts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"wl_row": np.zeros(0, np.int64), "wl_size": np.zeros(0, np.int64), "wl_gain": np.zeros(0)})]
-        held = Held(*joined_parts(models["wl_count"], models["wl_model"], np.int64, np.int64))
-        for n, blob, sums in zip(posts["wl_count"], posts["wl_posts"], posts["wl_sums"], strict=True):
-            if sums is not None:
-                row, size, own_sum = unsqueezed(sums, int(n), (np.int64, np.int64, np.float64))
-                found.append(pd.DataFrame({"wl_row": row, "wl_size": size, "wl_gain": own_sum}))
-                continue
-            w, v, of, mark = from_part(int(n), blob, np.int64, np.uint8)
-            all_, good = held.counts(w, v, mark)
-            new = np.diff(w, prepend=~w[:1]) != 0
-            first, at = np.flatnonzero(new), np.cumsum(new) - 1
-            all_share, good_share = words.shares(*held.counts(w[first], np.full(len(first), ANY), mark[first]))
-            numbered = w[first] < HASHED
-            number = w[first][numbered].astype(np.int64)
-            all_share[numbered], good_share[numbered] = words.all_share[number], words.good_share[number]
-            single = np.log(all_share) - np.log(good_share)
-            worth = pair_difference(all_, good, all_share[at], good_share[at])
-            worth = np.where(v == CONTEXT, context_difference(all_, good), np.where(v == FIRST, single[at], worth))
-            rows, place = np.unique(of, return_inverse=True)
-            found.append(pd.DataFrame({"wl_row": rows, "wl_size": np.zeros(len(rows), np.int64), "wl_gain": np.bincount(place, worth, len(rows))}))
-        return pd.concat(found)
-
-    posted = marked.select("wl_row", "wl_text", "wl_mark").mapInPandas(post, "wl_part long, wl_count long, wl_posts binary, wl_sums binary")
-    gains_ = posted.groupBy("wl_part").cogroup(model.groupBy("wl_part")).applyInPandas(gain, "wl_row long, wl_size long, wl_gain double")
-    per_row = gains_.groupBy("wl_row").agg(F.sum("wl_size").alias("n_tokens"), F.sum("wl_gain").alias("wl_gain"))
+                    yield rows()
+                    row, codes, marks, size = [], [], [], 0
+        if row:
+            yield rows()
+
+    def gain(posts: pd.DataFrame) -> pd.DataFrame:
+        """Sums of a part for the documents of each run, by their places."""
+        heads, posts = posts[posts["wl_pairs"].isna()], posts[posts["wl_pairs"].notna()]
+        found = [(run, -1, n, blob) for run, n, blob in zip(heads["wl_run"], heads["wl_count"], heads["wl_places"], strict=True)]
+        blocks = [unsqueezed(blob, int(n), COUNTED) for n, blob in zip(posts["wl_count"], posts["wl_pairs"], strict=True)]
+        if blocks:
+            w, v, all_, good = (np.concatenate(x) for x in zip(*[(np.cumsum(w, dtype=np.uint64), *x) for w, *x in blocks], strict=True))
+            worth, done = worths(words, w, v, all_, good), 0
+            for run, n, size, blob in zip(posts["wl_run"], posts["wl_count"], posts["wl_size"], posts["wl_places"], strict=True):
+                (place,) = unsqueezed(blob, int(size), (np.uint32,))
+                sums = np.bincount(place, np.repeat(worth[done : done + n], all_[done : done + n]))
+                held = np.flatnonzero(np.bincount(place))
+                found.append((run, int(posts["wl_part"].iloc[0]), len(held), squeezed(np.diff(held, prepend=0).astype(np.uint32), sums[held])))
+                done += n
+        return pd.DataFrame(found, columns=["wl_run", "wl_part", "wl_count", "wl_sums"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        """Sums of a run's documents over all parts, in the order of the parts."""
+        group = group.sort_values("wl_part")
+        head, *others = zip(group["wl_count"], group["wl_sums"], strict=True)
+        row, size = unsqueezed(head[1], int(head[0]), (np.int64, np.int64))
+        total = np.zeros(len(row))
+        for n, blob in others:
+            held, sums = unsqueezed(blob, int(n), (np.uint32, np.float64))
+            total[np.cumsum(held)] += sums
+        return pd.DataFrame({"wl_row": row, "n_tokens": size, "wl_gain": total})
+
+    schema = "wl_part long, wl_run long, wl_count long, wl_pairs binary, wl_size long, wl_places binary"
+    posted = marked.select("wl_row", "wl_text", "wl_mark").mapInPandas(post, schema)
+    gains = posted.groupBy("wl_part").applyInPandas(gain, "wl_run long, wl_part long, wl_count long, wl_sums binary")
+    per_row = gains.groupBy("wl_run").applyInPandas(add, "wl_row long, n_tokens long, wl_gain double")
     joined = marked.select("wl_row", "doc_id").join(per_row, "wl_row", "left")
     mean = F.when(F.col("n_tokens") > 0, F.col("wl_gain") / F.col("n_tokens"))
     return joined.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), mean.alias("difference"))

@@ -14,11 +14,11 @@ from wordloom.llm.shingles import LOWER_ONLY, word_hashes
 from wordloom.llm.suffix_dedup import unpacked
 
 SMOOTHING = 0.5
-# Tokens whose bigrams one task counts, about.
+# Tokens whose bigrams one task scores, about.
 PART_TOKENS = 1_000_000
-# A bigram with this share of all tokens or more is scored by every task itself; there are at most 1 / share.
+# A word with this share of all tokens or more is numbered; there are at most 1 / share.
 HOT_SHARE = 2.0**-16
-# Tokens that a task keeps before it sends its arrays on.
+# Tokens of a run, about: a task keeps them before it sends its arrays on.
 RUN_TOKENS = 2_000_000
 
 
@@ -45,20 +45,23 @@ def lowered_words(data: bytes) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``wl_word, wl_all, wl_good``: counts of word hashes in all documents and in the good ones."""
+    """``wl_word, wl_all, wl_good, wl_all_last, wl_good_last``: counts of word hashes in all documents, in the good ones, and as last words."""
+    names = ["wl_all", "wl_good", "wl_all_last", "wl_good_last"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(hashes: list[np.ndarray], good: list[np.ndarray]) -> pd.DataFrame:
+        def rows(hashes: list[np.ndarray], good: list[int]) -> pd.DataFrame:
             words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            marked = np.concatenate(good)
-            return pd.DataFrame({"wl_word": words.view(np.int64), "wl_all": np.bincount(at, minlength=len(words)), "wl_good": np.bincount(at, marked, len(words)).astype(np.int64)})
+            sizes = np.array([len(h) for h in hashes])
+            marked, ends = np.repeat(good, sizes), at[np.cumsum(sizes)[sizes > 0] - 1]
+            counts = [np.bincount(at, minlength=len(words)), np.bincount(at, marked, len(words)), np.bincount(ends, minlength=len(words)), np.bincount(ends, np.array(good)[sizes > 0], len(words))]
+            return pd.DataFrame({"wl_word": words.view(np.int64)} | {name: n.astype(np.int64) for name, n in zip(names, counts, strict=True)})
 
         hashes, good, size = [], [], 0
         for batch in batches:
             for data, mark in zip(batch["wl_text"], batch["wl_mark"], strict=True):
                 h = word_hashes(lowered_words(data))
                 hashes.append(h)
-                good.append(np.full(len(h), mark, np.int64))
+                good.append(mark)
                 size += len(h)
             if size >= RUN_TOKENS:
                 yield rows(hashes, good)
@@ -66,5 +69,5 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if size:
             yield rows(hashes, good)
 
-    parts = docs.select("wl_text", "wl_mark").mapInPandas(count, "wl_word long, wl_all long, wl_good long")
-    return parts.groupBy("wl_word").agg(F.sum("wl_all").alias("wl_all"), F.sum("wl_good").alias("wl_good"))
+    parts = docs.select("wl_text", "wl_mark").mapInPandas(count, "wl_word long, " + ", ".join(f"{name} long" for name in names))
+    return parts.groupBy("wl_word").agg(*[F.sum(name).alias(name) for name in names])
