@@ -67,6 +67,15 @@ def test_rest_of_buckets_is_searched(spark, monkeypatch):
         assert got == brute.components(sets, links)
 
 
+def test_only_rows_of_open_buckets_meet_their_sketches(spark, monkeypatch):
+    """Buckets of one component drop out before anything is joined; the others are dealt to pairs of blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    rows = [(1, 0, n, 7) for n in range(20)] + [(2, 1, n, n % 2) for n in range(3)]
+    members = spark.createDataFrame(rows, "wl_bucket long, wl_band int, wl_node long, component long")
+    got = minhash.open_members(members).collect()
+    assert {r["wl_bucket"] for r in got} == {2} and len(got) == 3 * 2 and all(r["wl_i"] <= r["wl_j"] for r in got)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = minhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()

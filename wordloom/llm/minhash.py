@@ -110,12 +110,11 @@ def likely(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both / union >= limit - SKETCH_ERRORS * np.sqrt(limit * (1 - limit) / union)
 
 
-def possible_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members in different components that their sketches do not rule out.
+def open_members(members: DataFrame) -> DataFrame:
+    """The rows of the buckets whose members are in several components, once for each pair of blocks that they are in.
 
-    ``members`` has ``wl_bucket, wl_band, wl_node, n_shingles, wl_bands, wl_sketch,
-    component``. Buckets are cut into blocks of about ``BLOCK`` members and each pair of
-    blocks is a group of its own. A pair comes from the first band on which it agrees.
+    ``members`` has ``wl_bucket, wl_band, wl_node, component``. Buckets are cut into blocks
+    of about ``BLOCK`` members; ``wl_i, wl_j`` is the pair, ``wl_mine`` the row's own block.
     """
     sizes = members.groupBy("wl_bucket").agg(F.count("*").alias("wl_size"), F.min("component").alias("wl_low"), F.max("component").alias("wl_high"))
     open_ = checkpoint(sizes.where("wl_low < wl_high").select("wl_bucket", F.ceil(F.col("wl_size") / BLOCK).cast("int").alias("wl_blocks")))
@@ -123,7 +122,17 @@ def possible_pairs(members: DataFrame, percent: int) -> DataFrame:
     rows = members.join(open_, "wl_bucket").withColumn("wl_mine", mine)
     rows = rows.withColumn("wl_other", F.explode(F.sequence(F.lit(0), F.col("wl_blocks") - 1)))
     rows = rows.withColumn("wl_i", F.least("wl_mine", "wl_other")).withColumn("wl_j", F.greatest("wl_mine", "wl_other"))
-    rows = rows.drop("wl_other", "wl_blocks")
+    return rows.drop("wl_other", "wl_blocks")
+
+
+def possible_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members in different components that their sketches do not rule out.
+
+    ``members`` is as in ``open_members``, ``sketches`` has ``wl_node, n_shingles, wl_bands,
+    wl_sketch``. Each pair of blocks is a group of its own. A pair comes from the first
+    band on which it agrees. Sketches are joined to rows of open buckets only.
+    """
+    rows = checkpoint(open_members(members)).join(sketches, "wl_node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         nodes, label, size = group["wl_node"].to_numpy(), group["component"].to_numpy(), group["n_shingles"].to_numpy()
@@ -171,7 +180,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = checkpoint(named.select("doc_id", "wl_class").join(classes, "wl_class").select("doc_id", "wl_class", "wl_node"))
     first = members.where("doc_id = wl_node").select("wl_class", "wl_node").distinct()
     banded = named.where("wl_bands is not null").join(first, (named["doc_id"] == first["wl_node"]) & (named["wl_class"] == first["wl_class"]))
-    banded = banded.select(first["wl_class"], "wl_node", "n_shingles", "wl_bands").dropDuplicates(["wl_class"])
+    banded = checkpoint(banded.select(first["wl_class"], "wl_node", "n_shingles", "wl_bands").dropDuplicates(["wl_class"]))
     placed = banded.select("wl_node", F.posexplode("wl_bands").alias("wl_band", "wl_bucket"))
     buckets = placed.groupBy("wl_bucket").agg(F.min("wl_node").alias("wl_hub"), F.max("wl_node").alias("wl_last"))
     buckets = checkpoint(buckets.where("wl_hub < wl_last").select("wl_bucket", "wl_hub"))
@@ -192,9 +201,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = checkpoint(links.unionByName(same))
     labels = checkpoint(components(links, "wl_a", "wl_b"))
 
-    joined = shared.join(texts.drop("text", "wl_class"), "wl_node").join(labels.withColumnRenamed("node", "wl_node"), "wl_node", "left")
+    joined = shared.drop("wl_hub").join(labels.withColumnRenamed("node", "wl_node"), "wl_node", "left")
     joined = joined.withColumn("component", F.coalesce("component", "wl_node"))
-    rest = checkpoint(possible_pairs(joined, percent))
+    rest = checkpoint(possible_pairs(joined, texts.drop("text", "wl_class"), percent))
     more = checkpoint(confirm(rest, texts, percent))
     if more.first() is not None:
         labels = checkpoint(components(links.unionByName(more), "wl_a", "wl_b"))
