@@ -126,3 +126,9 @@ def test_every_block_has_a_slot(spark, sizes):
     got = mixing.schedule(targets, sum(sizes)).collect()
     assert sorted(r["slot"] for r in got) == list(range(sum(need.values())))
     assert {(r["wl_source"], r["wl_block"]) for r in got} == {(s, b) for s, n in need.items() for b in range(n)}
+
+
+def test_no_plan_of_the_mix_repeats_what_leads_to_it(spark, small):
+    for mix in (mixing.mix_documents(small[0]), mixing.mixing_digest(small[0].select("doc_id", "text", "source"))):
+        plan = mix._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= 10, plan.count("Exchange")

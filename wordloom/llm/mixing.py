@@ -89,8 +89,8 @@ def placed_documents(docs: DataFrame, size: Column, seed: str = SEED) -> tuple[D
     known = sized.join(names, sized["source"].eqNullSafe(names["wl_name"])).drop("wl_name")
     first = F.conv(F.substring("wl_mark", 1, 8), 16, 10).cast("long")
     known = known.withColumn("wl_bucket", F.shiftright(first * buckets, 32))
-    sums = known.groupBy("wl_source", "wl_bucket").agg(F.sum("size").alias("wl_sum"))
-    offsets = with_offsets(sums, ["wl_source"], "wl_bucket", "wl_sum", "wl_offset").drop("wl_sum")
+    sums = checkpoint(known.groupBy("wl_source", "wl_bucket").agg(F.sum("size").alias("wl_sum")))
+    offsets = checkpoint(with_offsets(sums, ["wl_source"], "wl_bucket", "wl_sum", "wl_offset").drop("wl_sum"))
     in_bucket = Window.partitionBy("wl_source", "wl_bucket").orderBy("wl_mark", "size")
     before = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
     line = known.withColumn("wl_row", F.row_number().over(in_bucket)).withColumn("wl_inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -128,14 +128,18 @@ def schedule(sources: DataFrame, total: int, block_words: int = BLOCK_WORDS) ->
     drawn = drawn.join(spread, "wl_cell").where(held).withColumn("wl_chunk", F.expr(f"wl_id div {SLOT_CHUNK}"))
     drawn = drawn.select("wl_source", "wl_blocks", "wl_chunk", "wl_id")
     ranked = ranked_in_chunks(drawn, ["wl_source"], "wl_block").where(F.col("wl_block") < F.col("wl_blocks"))
+    ranked = checkpoint(ranked.drop("wl_blocks"))
     return ranked_in_chunks(ranked, [], "slot").select("wl_source", "wl_block", "slot")
 
 
 def ranked_in_chunks(points: DataFrame, groups: list[str], name: str) -> DataFrame:
-    """``points`` with their number from 0, in order of ``wl_id``, in their group; chunks are ordered one by one."""
-    counts = points.groupBy(*groups, "wl_chunk").agg(F.count("*").alias("wl_count"))
-    offsets = with_offsets(counts.withColumnRenamed("wl_chunk", "wl_key"), groups, "wl_key", "wl_count", "wl_offset")
-    offsets = offsets.select(*groups, F.col("wl_key").alias("wl_chunk"), "wl_offset")
+    """``points`` with their number from 0, in order of ``wl_id``, in their group; chunks are ordered one by one.
+
+    The chunks' counts and offsets are written, else a plan holds what leads to ``points`` four times.
+    """
+    counts = checkpoint(points.groupBy(*groups, F.col("wl_chunk").alias("wl_key")).agg(F.count("*").alias("wl_count")))
+    offsets = with_offsets(counts, groups, "wl_key", "wl_count", "wl_offset")
+    offsets = checkpoint(offsets.select(*groups, F.col("wl_key").alias("wl_chunk"), "wl_offset"))
     in_chunk = Window.partitionBy(*groups, "wl_chunk").orderBy("wl_id")
     ranked = points.withColumn("wl_rank", F.row_number().over(in_chunk) - 1).join(offsets, [*groups, "wl_chunk"])
     return ranked.withColumn(name, F.col("wl_offset") + F.col("wl_rank")).drop("wl_offset", "wl_rank")
@@ -188,7 +192,7 @@ def mix_documents(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WO
     repeated = placed.withColumn("wl_epoch", F.explode(epochs)).withColumn("wl_from", start(F.col("wl_epoch")))
     repeated = repeated.withColumn("wl_block", F.expr(f"wl_from div {block_words}"))
     in_mix = repeated.join(schedule(sources, total, block_words), ["wl_source", "wl_block"])
-    in_mix = in_mix.select("wl_key", "wl_key2", F.col("slot").alias("wl_slot"), "wl_from")
+    in_mix = checkpoint(in_mix.select("wl_key", "wl_key2", F.col("slot").alias("wl_slot"), "wl_from"))
     # Texts come back when all places are known; one row stands for all that equal it in every column.
     whole = in_mix.join(keyed.dropDuplicates(["wl_key", "wl_key2"]), ["wl_key", "wl_key2"])
     ordered = whole.repartitionByRange("wl_slot", "wl_from").sortWithinPartitions("wl_slot", "wl_from")
