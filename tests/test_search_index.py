@@ -35,6 +35,14 @@ def test_lists_hold_a_row_once_and_are_in_order(table):
     assert "PushedFilters: [In(gram" in plan or "PushedFilters: [Or(" in plan or "In(gram" in plan
 
 
+def test_no_task_sorts_more_lists_when_there_are_more(table, monkeypatch):
+    monkeypatch.setattr(si, "LIST_ROWS", 200, raising=False)
+    lists = si.build_index(table, "id", ["title", "body"]).lists
+    sorted_by_one = [r["count"] for r in lists.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sorted_by_one) == lists.count() > 2_000
+    assert max(sorted_by_one) <= 600
+
+
 def test_wrong_use(table):
     with pytest.raises(ValueError):
         si.build_index(table, "id", ["title"], 0)

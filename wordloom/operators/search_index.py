@@ -9,6 +9,7 @@ rest of the files; a list may stretch over several files.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from wordloom.session import checkpoint
 GRAM = 2
 # Lists that a search reads: the shortest ones of its grams.
 LISTS = 4
+# Rows of lists that one task sorts, and so one file holds, about.
+LIST_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -34,13 +37,20 @@ class SearchIndex:
 
 
 def build_index(table: DataFrame, key: str, columns: Sequence[str], gram: int = GRAM) -> SearchIndex:
-    """Index of whole texts; ``key`` tells the rows apart. Nulls are as empty texts."""
+    """Index of whole texts; ``key`` tells the rows apart. Nulls are as empty texts.
+
+    Rows of lists are written before they are sorted: their number says into how many ranges.
+    Spark would choose ranges by their bytes in the shuffle, which rows of few grams
+    and similar keys shrink many times over, and one task would sort tens of millions.
+    """
     if gram < 1:
         raise ValueError("a gram has at least one character")
     pattern = F.lit(f"(?s)(?=({'.' * gram}))")
     found = [F.coalesce(F.regexp_extract_all(F.col(name), pattern, F.lit(1)), F.array().cast("array<string>")) for name in columns]
     grams = table.select(key, F.explode(F.array_distinct(F.concat(*found))).alias("gram"))
-    lists = checkpoint(grams.select("gram", key).repartitionByRange("gram", key).sortWithinPartitions("gram", key))
+    grams = checkpoint(grams.select("gram", key))
+    ranges = max(1, math.ceil(grams.count() / LIST_ROWS))
+    lists = checkpoint(grams.repartitionByRange(ranges, "gram", key).sortWithinPartitions("gram", key))
     sizes = checkpoint(lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     return SearchIndex(key, tuple(columns), gram, lists, sizes)
 
