@@ -22,6 +22,25 @@ def test_documents_that_start_in_the_middle_of_an_item(spark):
     assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(docs, held).collect()) == [3, 5]
 
 
+def test_each_text_is_split_once(spark, monkeypatch):
+    plans, write = [], decontaminate.checkpoint
+    monkeypatch.setattr(decontaminate, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    docs, held = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "b")], "item_id long, text string")
+    decontaminate.build_index(docs, decontaminate.item_places(held))
+    index = next(plan for plan in plans if "doc_id" in plan)
+    assert index.count("coalesce(text") == 1
+
+
+def test_words_at_the_ends_letters_beyond_ascii_and_items_beyond_64_words(spark):
+    long = [f"w{i % 64}" for i in range(150)]
+    items = [(1, " ".join(long)), (2, "École ÉCOLE İ ß Σ a1B"), (3, "x"), (4, "[x_y]"), (5, "\x7fnul\x00byte\x7f")]
+    texts = ["x", ".x.", "École ÉCOLE İ ß Σ A1b", "école école i ß σ a1b", "X\nY", "...", "nul byte", " ".join(long[60:80]), " ".join(long[64:73] + ["w0"]), " ".join(long[3:9] + long[73:80])]
+    rows = list(enumerate([*texts, None, "", "a x" * 90]))
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.contamination_digest(docs, held).collect()))
+    assert got == sorted(brute.contamination(rows, items))
+
+
 def interpolated_differences(rows, good):
     """doc_id: (n_tokens, mean of target loss less background loss) by plain counting, no word or pair left out."""
     split = {d: interpolated.lowered_words(interpolated.packed.func(pd.Series([t]))[0]) for d, t in rows}
