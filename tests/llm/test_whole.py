@@ -41,6 +41,17 @@ def test_words_at_the_ends_letters_beyond_ascii_and_items_beyond_64_words(spark)
     assert got == sorted(brute.contamination(rows, items))
 
 
+@pytest.mark.parametrize("bits", [0, 20])
+def test_only_marked_postings_are_shuffled_and_shared_buckets_lose_none(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BUCKET_BITS", bits)
+    item = [f"w{i}" for i in range(12)]
+    items, rows = [(1, " ".join(item))], [(i, " ".join(["w3"] * 40 * i + item[: 8 + i] + ["w5"] * 300)) for i in range(6)]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    result = decontaminate.contamination_digest(docs, held)
+    assert "LeftSemi" in result._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, result.collect())) == sorted(brute.contamination(rows, items))
+
+
 def interpolated_differences(rows, good):
     """doc_id: (n_tokens, mean of target loss less background loss) by plain counting, no word or pair left out."""
     split = {d: interpolated.lowered_words(interpolated.packed.func(pd.Series([t]))[0]) for d, t in rows}

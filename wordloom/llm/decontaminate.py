@@ -25,6 +25,8 @@ NEAR_WORDS = 8
 # Postings of 2 ** STRETCH_BITS words of a document are shuffled and looked up together, so
 # that a shuffled block names its document once and not with every posting.
 STRETCH_BITS = 7
+# Stretches with an alignment to look at are marked in so many buckets; other postings are not shuffled.
+BUCKET_BITS = 20
 
 # The term of the posting that ends each document; its position is the number of words.
 END = -1
@@ -135,9 +137,14 @@ def exact_matches(index: DataFrame, places: DataFrame, window: int = WINDOW) ->
     wanted = checkpoint(wanted.select(*ALIGNED, "wl_place", "wl_term", (F.col("wl_shift") + F.col("wl_place")).alias("wl_pos"), "wl_open"))
     # Dealt by document and stretch of text, not by posting, so that a shuffled list names its document once.
     stretch = F.shiftright("wl_pos", STRETCH_BITS)
+    bucket = F.xxhash64("wl_key", "wl_stretch").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("wl_bucket")
+    placed = wanted.withColumn("wl_stretch", stretch)
+    # Of any corpus at most 2 ** BUCKET_BITS whole numbers, so the hint is safe: few megabytes.
+    marked = F.broadcast(checkpoint(placed.select(bucket).distinct()))
     lists = index.select(*KEY, F.col("wl_pos").alias("wl_at"), F.col("wl_term").alias("wl_held"), stretch.alias("wl_stretch"))
+    lists = lists.select("*", bucket).join(marked, "wl_bucket", "left_semi").drop("wl_bucket")
     same = F.expr("wl_at - wl_pos = 0 and wl_held - wl_term = 0")
-    met = wanted.withColumn("wl_stretch", stretch).join(lists, [*KEY, "wl_stretch"]).where(same)
+    met = placed.join(lists, [*KEY, "wl_stretch"]).where(same)
     rows = met.groupBy(*ALIGNED).agg(F.collect_set("wl_place").alias("wl_met"), F.first("wl_open").alias("wl_open"))
     span = lambda w: F.sequence(w["wl_from"], w["wl_from"] + w["wl_length"] - 1)
     whole = F.filter("wl_open", lambda w: F.size(F.array_except(span(w), F.col("wl_met"))) == 0)
